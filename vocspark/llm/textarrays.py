@@ -120,8 +120,8 @@ def shingle_hashes(word_hash: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct k-word shingles of each text, sorted, with the bounds of each text's set.
+def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct k-word shingles of each text, sorted, how often each occurs, and the bounds of each text's set.
 
     A text of fewer than k words, but not none, has its whole sequence as its one shingle.
     """
@@ -130,8 +130,9 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     runs = shingle_hashes(words.hash, k)
     text_of = np.repeat(np.arange(n_texts), np.maximum(counts - k + 1, 0))
     first = words.bounds[:-1]
-    place = np.arange(len(text_of)) - np.repeat(np.cumsum(np.maximum(counts - k + 1, 0)) - np.maximum(counts - k + 1, 0), np.maximum(counts - k + 1, 0))
-    hashes = runs[np.repeat(first, np.maximum(counts - k + 1, 0)) + place] if len(text_of) else np.zeros(0, dtype=np.uint64)
+    own = np.maximum(counts - k + 1, 0)
+    place = np.arange(len(text_of)) - np.repeat(np.cumsum(own) - own, own)
+    hashes = runs[np.repeat(first, own) + place] if len(text_of) else np.zeros(0, dtype=np.uint64)
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
         with np.errstate(over="ignore"):
@@ -143,8 +144,10 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         hashes = np.concatenate([hashes, whole])
     order = np.lexsort((hashes, text_of))
     text_of, hashes = text_of[order], hashes[order]
+    times = np.zeros(0, dtype=np.int64)
     if len(hashes):
         fresh = np.ones(len(hashes), dtype=bool)
         fresh[1:] = (hashes[1:] != hashes[:-1]) | (text_of[1:] != text_of[:-1])
+        times = np.diff(np.append(np.flatnonzero(fresh), len(hashes)))
         text_of, hashes = text_of[fresh], hashes[fresh]
-    return hashes, np.searchsorted(text_of, np.arange(n_texts + 1))
+    return hashes, times, np.searchsorted(text_of, np.arange(n_texts + 1))
