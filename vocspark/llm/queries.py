@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocspark.llm import chat, decontamination, fingerprints, langid, packing, pii, quality, toxicity
+from vocspark.llm import chat, decontamination, fingerprints, langid, neardup, packing, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
 
@@ -56,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.ORACLE_SQL, "op8_chat_formatting": chat.ORACLE_SQL}
+    return {"op2_decontamination": decontamination.ORACLE_SQL, "op5_minhash_neardup": neardup.ORACLE_SQL, "op8_chat_formatting": chat.ORACLE_SQL}
