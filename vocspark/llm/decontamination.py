@@ -128,6 +128,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int = 3) -> DataFrame:
+    """``docs`` without the documents that hold a window of ``benchmark``; all columns kept.
+
+    Rows that share a doc_id are one document, and go together. Rows without an id are judged
+    alike: they go if one of them is contaminated.
+    """
+    hit = contamination(docs, benchmark, size, shingle).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti")
+
+
 ORACLE_SQL = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),

@@ -219,6 +219,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, all columns kept.
+
+    Rows that share a doc_id are one document: they go if none of them is kept.
+    """
+    gone = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_gone"))
+    gone = buckets.bounded(Scratch(docs.sparkSession, "neardup-gone").keep(gone), MAX_BROADCAST_NODES)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
 ORACLE_SQL = r"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 places as (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as p from d where len(w) > 0),
