@@ -60,10 +60,9 @@ def label_of_score(score: Column) -> Column:
 
 
 def _hits(low: Column, words: Iterable[str]) -> Column:
-    total = F.lit(0)
-    for w in words:
-        total = total + low.contains(w).cast("int")
-    return total
+    """How many of ``words`` a lower-case text contains; a loop over a constant array keeps the generated code small."""
+    words = list(words)
+    return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w))) if words else F.lit(0)
 
 
 def sentiment_vote(c: Column | str) -> Column:
