@@ -44,22 +44,25 @@ def leader_pairs(buckets: DataFrame, several: DataFrame) -> DataFrame:
     return twos.unionByName(rest).distinct()
 
 
-def across_components(buckets: DataFrame, several: DataFrame, labels: DataFrame, payloads: DataFrame, compare: Compare, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of different components that share a bucket of three or more and that ``compare`` keeps.
+def blocks_across(buckets: DataFrame, several: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, side, node, label): members of buckets of three or more that hold several components, dealt to pairs of blocks.
 
-    labels (node, label) may lack nodes without links; payloads is (node, payload binary).
+    labels (node, label) may lack nodes without links. A key is a pair of blocks of one bucket:
+    its two blocks have sides 0 and 1, a block with itself has side 2.
     """
     large = bounded(several.where("members > 2").select("key"), MAX_BROADCAST_KEYS)
-    rows = buckets.join(large, "key").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    rows = scratch.keep(rows)
+    rows = scratch.keep(buckets.join(large, "key").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     mixed = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
     rows = rows.join(mixed.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key")
     rows = rows.withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int"))
-    dealt = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), side.alias("side"), "node", "label")
-    dealt = dealt.join(payloads, "node").select("key", "side", "node", "label", "payload")
+    return rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), side.alias("side"), "node", "label")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _in_blocks(dealt: DataFrame, payloads: DataFrame, make: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``make`` over the rows (key, side, node, label, payload) of whole keys."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -69,18 +72,18 @@ def across_components(buckets: DataFrame, several: DataFrame, labels: DataFrame,
                 continue
             last = int(np.argmax(keys == keys[-1]))  # the last key may go on in the next batch
             held = table.slice(last).combine_chunks()
-            yield _pairs(table.slice(0, last), compare)
+            yield make(table.slice(0, last))
         if held is not None:
-            yield _pairs(held, compare)
+            yield make(held)
 
-    return dealt.repartition("key").sortWithinPartitions("key", "side").mapInArrow(compared, "a long, b long")
+    rows = dealt.join(payloads, "node").select("key", "side", "node", "label", "payload")
+    return rows.repartition("key").sortWithinPartitions("key", "side").mapInArrow(made, schema)
 
 
-def _pairs(table: pa.Table, compare: Compare) -> pa.RecordBatch:
-    """Rows (key, side, node, label, payload) by key and side; sides 0 and 1 are two blocks, side 2 is a block with itself."""
-    keys, side, node, label = (table.column(i).to_numpy() for i in range(4))
+def _met(table: pa.Table, compare: Compare) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of different labels that ``compare`` keeps, key by key."""
+    keys, side, label = (table.column(i).to_numpy() for i in (0, 1, 3))
     payload = table.column(4).to_pylist()
-    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else [0]
     for s, t in zip(cuts, cuts[1:]):
         if side[s] == 2:
@@ -94,7 +97,29 @@ def _pairs(table: pa.Table, compare: Compare) -> pa.RecordBatch:
         for at in range(0, len(i), 1 << 14):
             x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
             alive = compare(payload, x, y)
-            lefts.append(node[x[alive]])
-            rights.append(node[y[alive]])
-    a, b = np.concatenate(lefts), np.concatenate(rights)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            yield x[alive], y[alive]
+
+
+def pairs_across(dealt: DataFrame, payloads: DataFrame, compare: Compare) -> DataFrame:
+    """(a, b): pairs of different labels that ``compare`` keeps."""
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        node, none = table.column(2).to_numpy(), np.zeros(0, np.int64)
+        x, y = (np.concatenate(c) for c in zip((none, none), *_met(table, compare), strict=True))
+        a, b = node[x.astype(np.int64)], node[y.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _in_blocks(dealt, payloads, pairs, "a long, b long")
+
+
+def rows_across(dealt: DataFrame, payloads: DataFrame, compare: Compare) -> DataFrame:
+    """The rows of ``dealt`` that are in a pair that ``compare`` keeps."""
+
+    def rows(table: pa.Table) -> pa.RecordBatch:
+        used = np.zeros(table.num_rows, dtype=bool)
+        for x, y in _met(table, compare):
+            used[x] = used[y] = True
+        kept = table.select([0, 1, 2, 3]).filter(pa.array(used)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in kept.columns], names=kept.column_names)
+
+    return _in_blocks(dealt, payloads, rows, "key long, side int, node long, label long")

@@ -10,8 +10,8 @@ Survivors are counted exactly on the full sets.
 No bucket is spread into all its pairs. First every member is held against its bucket's least
 member only, which joins large groups of near copies in a number of pairs linear in their size.
 Then only buckets that still hold different components are looked at again: their members are
-dealt to blocks, pairs of blocks are compared inside tasks by their signatures, and pairs of
-different components that survive go to exact verification. So every pair that meets is either
+dealt to blocks, and pairs of blocks are compared inside tasks, by signature and then exactly,
+across components only. So every pair that meets is either
 compared or already joined; no bucket is capped.
 """
 
@@ -137,28 +137,57 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(alive), batch.column(1).take(alive)], names=["a", "b"])
 
 
+def similar(x: bytes, y: bytes) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    if 100 * min(len(x), len(y)) < 75 * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= 75 * (len(both) - shared)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-            x, y = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-            if 100 * min(len(x), len(y)) < 75 * max(len(x), len(y)):
-                continue
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            if 100 * shared >= 75 * (len(both) - shared):
-                keep.append(i)
-        keep = pa.array(keep, pa.int64())
+        keep = pa.array([i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if similar(x, y)], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
 
+_SIG_BYTES = BANDS * ROWS * 4
+
+
 def _compare(payload: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Survivors by the signatures that payloads begin with."""
+    if not len(x):
+        return x
     used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-    rows = np.frombuffer(b"".join(payload[i] for i in used), dtype=np.uint32).reshape(len(used), -1)
+    rows = np.frombuffer(b"".join(payload[i][:_SIG_BYTES] for i in used), dtype=np.uint32).reshape(len(used), -1)
     return survivors(rows[at[: len(x)]], rows[at[len(x) :]])
 
 
+def _compare_sets(payload: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Survivors whose full sets, after the signature, reach the threshold.
+
+    A pair that others of this call have already joined is not counted again.
+    """
+    above: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while above.get(i, i) != i:
+            above[i] = above.get(above[i], above[i])
+            i = above[i]
+        return i
+
+    keep = []
+    for p in _compare(payload, x, y):
+        i, j = root(int(x[p])), root(int(y[p]))
+        if i != j and similar(payload[x[p]][_SIG_BYTES:], payload[y[p]][_SIG_BYTES:]):
+            above[i] = j
+            keep.append(p)
+    return np.asarray(keep, dtype=np.int64)
+
+
 _PAIR = "a long, b long"
 
 
@@ -174,13 +203,16 @@ class _Finder:
         self.buckets = self.nodes.select("node", "sig").mapInArrow(_bands, "key long, node long")
         self.several = buckets.crowded(self.buckets, self.scratch)
 
+    def full_sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, full) for distinct ``nodes``: the full sets, from the texts of their representatives."""
+        wanted = self.scratch.keep(nodes.join(self.nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct())
+        texts = self.docs.join(buckets.bounded(wanted, MAX_BROADCAST_NODES), "doc_id").select("doc_id", "text")
+        return self.scratch.keep(texts.mapInArrow(_full_sets, "node long, full binary"))
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those pairs whose full sets reach the threshold."""
         pairs = self.scratch.keep(pairs.distinct())
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes.select("node", "rep"), "node")
-        wanted = buckets.bounded(self.scratch.keep(wanted.select(F.col("rep").alias("doc_id")).distinct()), MAX_BROADCAST_NODES)
-        texts = self.docs.join(wanted, "doc_id").select("doc_id", "text")
-        sets = self.scratch.keep(texts.mapInArrow(_full_sets, "node long, full binary"))
+        sets = self.full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         left, right = sets.toDF("a", "full_a"), sets.toDF("b", "full_b")
         return self.scratch.keep(pairs.join(right, "b").join(left, "a").select("a", "b", "full_a", "full_b").mapInArrow(_verify, _PAIR))
 
@@ -192,8 +224,17 @@ class _Finder:
         return pairs.mapInArrow(_prune, _PAIR)
 
     def across(self, labels: DataFrame) -> DataFrame:
-        """Survivors among the pairs of different components in buckets that hold several."""
-        return buckets.across_components(self.buckets, self.several, labels, self.nodes.select("node", F.col("sig").alias("payload")), _compare, self.scratch)
+        """Links between different components in buckets that hold several.
+
+        Signatures pick the rows with a survivor; only these get their sets, and are counted
+        exactly inside the same blocks, so that pairs just below the threshold are never rows.
+        """
+        sigs = self.nodes.select("node", F.col("sig").alias("payload"))
+        dealt = buckets.blocks_across(self.buckets, self.several, labels, self.scratch)
+        rows = self.scratch.keep(buckets.rows_across(dealt, sigs, _compare))
+        sets = self.full_sets(rows.select("node").distinct())
+        payloads = self.nodes.select("node", "sig").join(sets, "node").select("node", F.concat("sig", "full").alias("payload"))
+        return self.scratch.keep(buckets.pairs_across(rows, payloads, _compare_sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -208,7 +249,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     run = _Finder(docs)
     links = run.confirmed(run.to_leaders())
     labels = components(links, run.scratch)
-    more = run.confirmed(run.across(labels))
+    more = run.across(labels)
     if more.limit(1).count():
         labels = components(links.union(more), run.scratch)
     grouped = run.nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
