@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocspark.sources.shared import shared_dir
+
 
 def conversation_roots(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``messages`` with conversation_id: the id of the first message up the reply links.
@@ -32,10 +34,7 @@ def _kept(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
-        context.setCheckpointDir(named or "/tmp/checkpoints")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

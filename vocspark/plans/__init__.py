@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vocspark.plans import kpi_queries, message_queries, registry, run_queries, text_queries  # noqa: F401  (modules register their queries)
+from vocspark.plans import io_queries, kpi_queries, message_queries, registry, retrieval_queries, run_queries, text_queries  # noqa: F401  (modules register their queries)
 
 
 def queries() -> dict[str, registry.Query]:
