@@ -63,11 +63,17 @@ def windows(benchmark: DataFrame, size: int, shingle: int) -> DataFrame:
     return found.withColumn("shingles", keys)
 
 
-def _places(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each shingle of n words of each document."""
+def _places(docs: DataFrame, n: int, size: int) -> DataFrame:
+    """A row for each shingle of n words: its place, key, and the words that a window around it can cover.
+
+    Only these words go on, and Spark cuts them out after a key has met its anchor: a long
+    document with many matches is not copied with each of them.
+    """
     at = docs.select("id", "hash", "w", F.posexplode("w").alias("pos", "word"))
     rest = [F.get("w", F.col("pos") + i) for i in range(1, n)]
-    return at.where(F.col("pos") <= F.size("w") - n).select("id", "hash", "w", "pos", F.xxhash64("word", *rest).alias("key"))
+    shift = F.least(F.col("pos"), F.lit(size - 1))
+    near = F.slice("w", F.col("pos") - shift + 1, 2 * size - 1)
+    return at.where(F.col("pos") <= F.size("w") - n).select("id", "hash", "pos", F.xxhash64("word", *rest).alias("key"), shift.alias("shift"), near.alias("near"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int = 3, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
@@ -87,22 +93,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle
     for n in sorted(sizes):
         own = held.where(F.col("n") == n)
         known = own.select(F.explode("shingles.key").alias("key")).distinct()
-        places = _places(base, n)
+        places = _places(base, n, size)
         counts = places.select("key").join(side(known), "key", "left_semi").groupBy("key").count()
         # Rarest shingle of each window whose shingles all occur.
-        each = own.select("words", "items", F.size("shingles").alias("all"), F.explode("shingles").alias("s")).join(side(counts) if small else counts, F.col("s.key") == counts["key"])
+        each = own.select("words", "items", F.size("shingles").alias("all"), F.explode("shingles").alias("s")).join(side(counts), F.col("s.key") == counts["key"])
         anchors = each.groupBy("words", "items", "all").agg(F.count("*").alias("seen"), F.min(F.struct("count", "key", F.col("s.off").alias("off"))).alias("rarest")).where("seen = all")
         anchors = anchors.groupBy(F.col("rarest.key").alias("key")).agg(F.collect_list(F.struct("words", "items", F.col("rarest.off").alias("off"))).alias("windows"))
-        if small:
-            near, shift = F.col("w"), F.col("pos")
-            joined = places.join(F.broadcast(anchors), "key")
-        else:  # only the words that a window can cover travel with the row
-            reach = F.least(F.col("pos"), F.lit(size - 1))
-            places = places.select("id", "hash", "key", "pos", reach.alias("shift"), F.slice("w", F.col("pos") - reach + 1, 2 * size - 1).alias("near"))
-            near, shift = F.col("near"), F.col("shift")
-            joined = places.join(anchors, "key")
-
-        found = joined.select("id", "hash", "pos", F.filter("windows", _holds(near, shift)).alias("windows")).where("size(windows) > 0")
+        joined = places.join(side(anchors), "key")
+        found = joined.select("id", "hash", "pos", F.filter("windows", _holds(F.col("near"), F.col("shift"))).alias("windows")).where("size(windows) > 0")
         found = found.select("id", "hash", F.transform("windows", lambda x: F.struct((F.col("pos") - x["off"]).alias("first"), (F.col("pos") - x["off"] + F.size(x["words"])).alias("end"), x["items"].alias("items"))).alias("hits"))
         matches = found if matches is None else matches.unionByName(found)
     empty_sha = F.sha2(F.lit(""), 256)
