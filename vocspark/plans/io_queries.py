@@ -127,12 +127,12 @@ over_events("a15_last_rows", lambda m: io.last_rows(_history(m)).select("run_id"
 
 # --- streams
 def _source(spark, d, name):
-    """Messages as the files of a stream: one write a week, since a stream takes files by their age."""
+    """Messages as the files of a stream: a write for every eight days, since a stream takes files by their age; a conversation is in one file."""
     path = fresh(spark, name)
     m = adapters.from_events(spark, d)
     for first in range(1, 32, 8):
-        m.where(F.dayofmonth("created_at").between(first, first + 7)).coalesce(1).write.mode("append").parquet(path)
-    return jobs.read_stream(spark, path, m.schema, 1)
+        m.where(F.dayofmonth("created_at").between(first, first + 7)).repartition("conversation_id").write.mode("append").parquet(path)
+    return jobs.read_stream(spark, path, m.schema, 8)
 
 
 def _a2(spark, d):
