@@ -111,7 +111,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
         best[~letters], score[~letters] = UNDETERMINED, 0.0
         return pd.DataFrame({"lang": best, "score": np.round(score.astype(float), 4)})
 
-    return docs.withColumn("_language", of_text(F.col(text_col).cast("string"))).withColumn(out, F.col("_language.lang")).withColumn(score_out, F.col("_language.score")).drop("_language")
+    return docs.withColumn("__language", of_text(F.col(text_col).cast("string"))).withColumn(out, F.col("__language.lang")).withColumn(score_out, F.col("__language.score")).drop("__language")
 
 
 def identify(docs: DataFrame, per_language: int = 500) -> DataFrame:
