@@ -131,5 +131,5 @@ register("b6_required_columns", lambda spark, d: labels.require(adapters.from_ev
 register(
     "b1_resolve_columns",
     lambda spark, d: (lambda df, found: df.select(F.col(found["text"]).alias("text"), F.col(found["tweet_id"]).alias("tweet_id")))(*(lambda df: (df, labels.resolve_columns(df, {"tweet_id": "doc_id"})))(adapters.read(spark, d, "documents").withColumnRenamed("text", "remark"))).select("tweet_id", F.length("text").alias("n")),
-    "select doc_id as tweet_id, length(text) as n from documents",
+    "select doc_id as tweet_id, cast(length(text) as integer) as n from documents",
 )

@@ -14,8 +14,16 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Places and parts of dates are long in SQL.
+PLACES = ("rank", "place", "severity_rank", "volume_rank", "pain_point_rank", "y", "m")
+
+
 def register(name: str, query: Query, sql: str | None = None) -> None:
-    QUERIES[name] = query
+    def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.withColumns({c: df[c].cast("long") for c, kind in df.dtypes if kind == "int" and c in PLACES})
+
+    QUERIES[name] = typed
     if sql:
         ORACLES[name] = sql
 

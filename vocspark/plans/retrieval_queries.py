@@ -83,7 +83,7 @@ _SCORES = f"""sc as (select *, case when {_N} = 0 then 0.0 when {_N} <= 2 then 0
   case when len({_QT}) = 0 then 0.5 else len(list_intersect({_QT}, {_tokens('text', '-')})) * 1.0 / len({_QT}) end as intent,
   case when regexp_matches(text, '(?i){'|'.join(f'(?:{p})' for p in S.CANNED).replace("'", "''")}') then 0.15 when not inbound or regexp_matches(lower(author_id), 'support|help|care') then 0.4 else 0.95 end as metadata,
   regexp_matches(' ' || regexp_replace(lower(text), '[^{L}]+', ' ', 'g') || ' ', ' (delayed|login) ') as bad from cand)"""
-register("i4_candidate_scores", lambda spark, d: R.rerank(_candidates(spark, d), 100).select("query_id", "id", "specificity", "intent", "metadata"), f"with {_KEYWORDS}, {_SCORES} select query_id, id, specificity, intent, metadata from sc")
+register("i4_candidate_scores", lambda spark, d: R.rerank(_candidates(spark, d), 100).select("query_id", "id", "specificity", "intent", "metadata"), f"with {_KEYWORDS}, {_SCORES} select query_id, id, specificity::double as specificity, intent, metadata::double as metadata from sc")
 register(
     "i5_rerank",
     lambda spark, d: R.rerank(_candidates(spark, d)).select("query_id", "id", "rerank_score", "rank"),

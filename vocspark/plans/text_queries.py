@@ -81,13 +81,13 @@ _neg, _pos = _any(low, W.NEGATIVE_STEMS), _any(low, W.POSITIVE_STEMS)
 over_events(
     "c4_sentiment_fast",
     lambda m: m.select("tweet_id", T.sentiment_fast("text").alias("s")).select("tweet_id", "s.sentiment", "s.score", "s.confidence"),
-    f"select tweet_id, case when {_neg} and not {_pos} then 'negative' when {_pos} and not {_neg} then 'positive' else 'neutral' end as sentiment, case when {_neg} and not {_pos} then -1 when {_pos} and not {_neg} then 1 else 0 end as score, case when {_neg} <> {_pos} then 0.88 else 0.70 end as confidence from ev",
+    f"select tweet_id, case when {_neg} and not {_pos} then 'negative' when {_pos} and not {_neg} then 'positive' else 'neutral' end as sentiment, case when {_neg} and not {_pos} then -1 when {_pos} and not {_neg} then 1 else 0 end as score, case when {_neg} <> {_pos} then 0.88 else 0.70 end::double as confidence from ev",
 )
 _lead = f"(({_hits(low, W.POSITIVE_VOTES)}) - ({_hits(low, W.NEGATIVE_VOTES)}))"
 over_conversations(
     "c5_sentiment_vote",
     lambda m: m.select("tweet_id", T.sentiment_vote("text").alias("s")).select("tweet_id", "s.sentiment", "s.confidence"),
-    f"select tweet_id, case when {_lead} < 0 then 'negative' when {_lead} > 0 then 'positive' else 'neutral' end as sentiment, case when {_lead} < 0 then 0.85 when {_lead} > 0 then 0.80 else 0.70 end as confidence from cv",
+    f"select tweet_id, case when {_lead} < 0 then 'negative' when {_lead} > 0 then 'positive' else 'neutral' end as sentiment, case when {_lead} < 0 then 0.85 when {_lead} > 0 then 0.80 else 0.70 end::double as confidence from cv",
 )
 over_conversations(
     "c6_topic_rule",
@@ -119,7 +119,7 @@ over_events(
 over_conversations(
     "c12_intent",
     lambda m: m.select("tweet_id", T.intent("text").alias("i")).select("tweet_id", "i.intent", "i.confidence"),
-    f"select tweet_id, i as intent, case when i = 'general_support' then 0.65 else 0.88 end as confidence from (select tweet_id, {case([(_whole(low, w), text(n)) for n, w in W.INTENTS], text('general_support'))} as i from cv)",
+    f"select tweet_id, i as intent, case when i = 'general_support' then 0.65 else 0.88 end::double as confidence from (select tweet_id, {case([(_whole(low, w), text(n)) for n, w in W.INTENTS], text('general_support'))} as i from cv)",
 )
 over_conversations(
     "c13_entities",
@@ -130,7 +130,7 @@ _cn, _cp = _any(low, W.CONTEXT_NEGATIVE), _any(low, W.CONTEXT_POSITIVE)
 over_conversations(
     "c14_context",
     lambda m: m.select("tweet_id", T.context("text").alias("c")).select("tweet_id", "c.*"),
-    f"select tweet_id, case when {_cn} then 'negative' when {_cp} then 'positive' else 'neutral' end as sentiment, case when {_cn} then 0.9 when {_cp} then 0.82 else 0.7 end as confidence, "
+    f"select tweet_id, case when {_cn} then 'negative' when {_cp} then 'positive' else 'neutral' end as sentiment, case when {_cn} then 0.9 when {_cp} then 0.82 else 0.7 end::double as confidence, "
     f"case when {_any(low, ['crash', 'unstable'])} then 'app_crash' when {_any(low, ['login', 'password'])} then 'login_problem' when contains({low}, 'refund') then 'refund_request' else 'general_support' end as topic, "
     f"case when {_any(low, ['crash', 'unstable'])} then 'application instability' when {_any(low, ['login', 'password'])} then 'account access friction' when {_any(low, ['refund', 'charge'])} then 'billing or refund friction' else 'unspecified support friction' end as pain_point, "
     f"case when {_any(low, ['crash', 'unstable'])} then 'high' when {_any(low, ['login', 'password', 'refund', 'charge'])} then 'medium' else 'low' end as severity from cv",
