@@ -15,8 +15,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: what a word is, after A-Z have become a-z.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Fixed value: what stands between words, after A-Z have become a-z.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Windows up to this number are broadcast (some 200 bytes each); more are joined by shuffle.
 MAX_BROADCAST_WINDOWS = 200_000
@@ -26,7 +26,7 @@ def words(text: Column) -> Column:
     """Words of a text, null for none. Only A-Z are lower-cased."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     plain = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-    return F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(plain, BETWEEN), "")
 
 
 def _shingle(at: Column, of: Column, n: int) -> Column:
