@@ -98,6 +98,44 @@ def test_fuzzy_lines(spark):
     assert out[2] == "" and out[3] == "something else" and out[1].startswith("Head line one\n")
 
 
+def edit_similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def test_recall_of_short_long_and_non_latin_lines(spark):
+    """Pairs of one changed word or character, of similarity 0.9 at least: nine in ten are found in each kind of line."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    cjk = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    docs, kinds = [], {}
+    for i in range(240):
+        kind = ("short", "middle", "long", "cjk")[i % 4]
+        if kind == "cjk":
+            n = rng.choice((14, 30, 60))
+            line, at = cjk(n), rng.randrange(n)
+            other = line[:at] + cjk(1) + line[at + 1 :]
+        else:
+            words = [word(rng.randint(3, 8)) for _ in range({"short": 4, "middle": 12, "long": 60}[kind])]
+            line, at = " ".join(words), rng.randrange(len(words))
+            words[at] = words[at][:1] + word(1) + words[at][2:] if kind == "short" else word(len(words[at]))
+            other = " ".join(words)
+        if line == other or edit_similarity(line, other) < linededup.SIMILARITY:
+            continue
+        docs += [(2 * i, line), (2 * i + 1, other)]
+        kinds.setdefault(kind, []).append(2 * i)
+    classes = {r["doc_id"]: r["class_ids"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for kind, ids in kinds.items():
+        found = sum(classes[i] == classes[i + 1] for i in ids)
+        assert len(ids) >= 40 and found >= 0.9 * len(ids), (kind, found, len(ids))
+
+
 def test_line_edge_rows(spark):
     docs = H.edge_docs(spark)
     out = linededup.dedup_lines(docs)
