@@ -33,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
-    return decontamination.clean(docs, queries.table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Documents without a window of the benchmark; rows that share an id are judged each."""
+    return decontamination.clean(docs, queries.table(spark, sf_dir, "benchmark"), whole_ids=False).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

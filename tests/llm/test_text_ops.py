@@ -44,6 +44,20 @@ def test_contamination_edge_rows(spark):
     assert decontamination.clean(H.edge_docs(spark), bench).count() == 7
 
 
+def test_clean_rows_stay_beside_contaminated_ones(spark, monkeypatch):
+    """Rows without an id, or of one id: only those that hold a window themselves go, and repeated rows alike."""
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([("a", H.PROSE)], "item_id string, text string")
+    rows = [(None, H.PROSE), (None, "clean one"), (None, None), (7, "x " + H.PROSE), (7, "clean two"), (8, H.PROSE), (8, H.PROSE), (9, "clean three")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    want = sorted([(None, "clean one"), (None, None), (7, "clean two"), (9, "clean three")], key=str)
+    assert left(decontamination.clean(docs, bench, whole_ids=False)) == want
+    monkeypatch.setattr(queries, "table", lambda *_: bench)
+    assert left(corpus_pipeline.decontaminate(spark, docs, SF)) == want
+
+
 # --- personal data
 def _luhn(d):
     return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if c > "4" else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0

@@ -76,14 +76,14 @@ def _places(docs: DataFrame, n: int, size: int) -> DataFrame:
     return at.where(F.col("pos") <= F.size("w") - n).select("id", "hash", "pos", F.xxhash64("word", *rest).alias("key"), shift.alias("shift"), near.alias("near"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int = 3, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
+def _row_hash() -> Column:
+    """Tells rows of one doc_id, or of none, apart by their text."""
+    return F.xxhash64("doc_id", "text")
 
-    n_hit counts the words inside any occurrence of a window, n_items the items with an occurring
-    window. Null texts have no words. Repeated rows each have their result; an empty benchmark
-    hits nothing. Other columns of either table are not read.
-    """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"), F.xxhash64("doc_id", "text").alias("hash"))
+
+def _hits(docs: DataFrame, benchmark: DataFrame, size: int, shingle: int, max_broadcast: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows as (doc_id, w, hash, id), and the windows that occur as (id, hash, hits), if the benchmark has any."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"), _row_hash().alias("hash"))
     base = base.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     held = windows(benchmark, size, shingle)
     sizes = {r["n"]: r["count"] for r in held.groupBy("n").count().collect()}  # at most ``shingle`` rows
@@ -103,6 +103,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle
         found = joined.select("id", "hash", "pos", F.filter("windows", _holds(F.col("near"), F.col("shift"))).alias("windows")).where("size(windows) > 0")
         found = found.select("id", "hash", F.transform("windows", lambda x: F.struct((F.col("pos") - x["off"]).alias("first"), (F.col("pos") - x["off"] + F.size(x["words"])).alias("end"), x["items"].alias("items"))).alias("hits"))
         matches = found if matches is None else matches.unionByName(found)
+    return base, matches
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int = 3, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
+
+    n_hit counts the words inside any occurrence of a window, n_items the items with an occurring
+    window. Null texts have no words. Repeated rows each have their result; an empty benchmark
+    hits nothing. Other columns of either table are not read.
+    """
+    base, matches = _hits(docs, benchmark, size, shingle, max_broadcast)
     empty_sha = F.sha2(F.lit(""), 256)
     if matches is None:
         return base.select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), empty_sha.alias("items_sha256"), F.lit(False).alias("contaminated"))
@@ -126,14 +137,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int = 3) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int = 3, whole_ids: bool = True) -> DataFrame:
     """``docs`` without the documents that hold a window of ``benchmark``; all columns kept.
 
-    Rows that share a doc_id are one document, and go together. Rows without an id are judged
-    alike: they go if one of them is contaminated.
+    With ``whole_ids``, rows that share a doc_id are one document and go together, as do rows
+    without an id. Without it, each row is judged by its own id and text: clean rows stay,
+    whatever other rows have the same id or none.
     """
-    hit = contamination(docs, benchmark, size, shingle).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti")
+    _, matches = _hits(docs, benchmark, size, shingle, MAX_BROADCAST_WINDOWS)
+    if matches is None:
+        return docs
+    hit = matches.select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    if whole_ids:
+        hit = hit.select("_id").distinct()
+    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
+    same = own == hit["_id"]
+    return docs.join(hit, same if whole_ids else same & (F.xxhash64(docs["doc_id"], docs["text"]) == hit["_hash"]), "left_anti")
 
 
 ORACLE_SQL = r"""
