@@ -31,6 +31,18 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_stream_states_stay_off_the_driver(spark, monkeypatch):
+    """The update stream is written by the executors; no memory sink holds it on the driver."""
+    from vocspark.streaming import jobs
+
+    def no_sink(*_, **__):
+        raise AssertionError("memory sink")
+
+    monkeypatch.setattr(jobs, "run_to_memory", no_sink)
+    out = QUERIES["j5_stream_states"](spark, SF)
+    assert out.inputFiles() and all(f"batch_id={n}" in "".join(out.inputFiles()) for n in (0,)) and out.count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -176,9 +176,7 @@ register("j4_stream_trend", _j4, f"{_EV} select strftime(created_at, '%Y-%m-%d 0
 
 
 def _j5(spark, d):
-    from uuid import uuid4
-
-    states = jobs.run_to_memory(jobs.conversation_states(_source(spark, d, "state-in")), f"state_{uuid4().hex}", fresh(spark, "state-point"), "update")
+    states = jobs.run_to_files(jobs.conversation_states(_source(spark, d, "state-in")), fresh(spark, "state-out"), fresh(spark, "state-point"))
     return states.groupBy("conversation_id").agg(F.max_by(F.struct("messages_count", "reopened", "resolved", "escalated"), "messages_count").alias("s")).select("conversation_id", "s.*")
 
 

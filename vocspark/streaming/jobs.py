@@ -86,6 +86,20 @@ def conversation_states(messages: DataFrame) -> DataFrame:
     return rows.groupBy("conversation_id").applyInPandasWithState(_update, STATES, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def run_to_files(df: DataFrame, out: str, checkpoint: str, mode: str = "update") -> DataFrame:
+    """All available input through ``df`` into Parquet, read back with batch_id; executors write, the driver gets no rows.
+
+    A batch has a partition of its own, which a retry overwrites, so rows are written once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("batch_id", F.lit(number).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out)
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(out)
+
+
 def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """All available input through ``df`` into a table of this session; for small results and tests."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
