@@ -85,6 +85,12 @@ def test_pii_against_brute_force(spark):
         assert [x for x in got["spans"].split(",") if x.split(":")[0] in ("email", "ip", "card", "phone")] == want
 
 
+def test_card_with_a_hyphen_between_all_digits(spark):
+    text = "paid by " + "-".join("4539148803436467") + " today"
+    row = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_card"] == 1 and row["spans"] == ",".join(brute_pii(text)) == "card:8:39"
+
+
 def test_pii_further_kinds_and_edges(spark):
     docs = spark.createDataFrame([(1, "pay to GB82 WEST 1234 5698 7654 32 now"), (2, "GB82 WEST 1234 5698 7654 33"), (3, "tel: 030 123 4567"), (4, "sum 030 123 4567")], "doc_id long, text string")
     out = {r["doc_id"]: (r["n_iban"], r["n_local"]) for r in pii.report(docs).collect()}

@@ -107,7 +107,7 @@ def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, text_col: str = "text
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, value: string, score: double>>)")
     sign = {"email": text.contains("@"), "phone": text.contains("+")}
-    return docs.withColumn(out, F.struct(*(F.when(sign.get(k.name, text.rlike("[0-9]{2}|[0-9] ?[0-9]|[0-9]\\.[0-9]")), _spans(text, k, window)).otherwise(none).alias(k.name) for k in kinds)))
+    return docs.withColumn(out, F.struct(*(F.when(sign.get(k.name, text.rlike("[0-9][ .-]?[0-9]")), _spans(text, k, window)).otherwise(none).alias(k.name) for k in kinds)))
 
 
 def _listed(spans: Column, kind: str) -> Column:
