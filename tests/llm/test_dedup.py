@@ -169,6 +169,26 @@ def test_fingerprints_against_plain_python(spark):
             assert out[i]["n_near"] is None
 
 
+def test_near_classes_hold_every_partner(spark, monkeypatch):
+    """Against brute force over all pairs, with hot blocks and a group of edits of one text."""
+    import random
+
+    monkeypatch.setattr(buckets, "BLOCK", 8)
+    rng = random.Random(6)
+    prose = " ".join(f"w{rng.randrange(5000)}" for _ in range(400)).split(" ")
+    docs = [(i, " ".join(prose[:k] + [f"new{i}"] + prose[k + 1 :])) for i, k in enumerate(rng.sample(range(400), 40))]
+    docs += [(100 + i, " ".join(f"u{rng.randrange(5000)}" for _ in range(100))) for i in range(20)] + [(7, docs[7][1])]
+    out = fingerprints.fingerprint_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    bits = {r["fingerprint"]: int(r["fingerprint"], 16) for r in out}
+    links = [(a, b) for a in bits for b in bits if a < b and (bits[a] ^ bits[b]).bit_count() <= fingerprints.CLASS_RADIUS]
+    root = H.components(bits, links)
+    ids = {}
+    for r in out:
+        ids.setdefault(root[r["fingerprint"]], []).append(r["doc_id"])
+    assert all((r["near_class"], r["class_rows"]) == (min(ids[root[r["fingerprint"]]]), len(ids[root[r["fingerprint"]]])) for r in out)
+    assert max(map(len, ids.values())) >= 36
+
+
 def test_fingerprint_edge_rows(spark):
     rows = fingerprints.fingerprint_report(H.edge_docs(spark)).collect()
     assert len(rows) == 13

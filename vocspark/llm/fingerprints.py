@@ -6,6 +6,7 @@ share a part p of such terms differ in about arccos(p) / pi of the bits.
 
 Two fingerprints within a radius smaller than the number of blocks agree in one whole block at
 least. So a table per block, led by that block's bits, brings together all pairs within it.
+Near classes are the connected groups within ``CLASS_RADIUS``, found for all rows.
 """
 
 from __future__ import annotations
@@ -18,11 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vocspark.llm import buckets
+from vocspark.llm.components import components
 from vocspark.llm.scratch import Scratch
 from vocspark.llm.textarrays import Words, mix, row_slices, shingle_sets, text_buffer
 
 BITS = 256
 BLOCKS = 8
+#: One changed word of a text of 248 words, the median of sf0.1, moves some 256 / pi * arccos(1 - 2 / 247) = 10.4 bits.
+CLASS_RADIUS = 15
+CLASS_BLOCKS = 16
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1)
 
 
@@ -133,8 +139,34 @@ def hamming(a: str, b: str):
     return total
 
 
+def _near_bits(payload: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    prints = np.frombuffer(b"".join(payload), dtype=np.uint8).reshape(len(payload), -1)
+    return np.flatnonzero(np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64) <= CLASS_RADIUS)
+
+
+def near_classes(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fingerprint, near_class, class_rows): the connected group of each fingerprint within ``CLASS_RADIUS``.
+
+    near_class is the smallest doc_id in the group, or null if no row there has one; class_rows counts the group's rows.
+    """
+    entries = scratch.keep(prints.groupBy("fingerprint").agg(F.count("*").alias("rows"), F.min("doc_id").alias("id")).withColumn("node", F.xxhash64("fingerprint")))
+    width = BITS // CLASS_BLOCKS // 4
+    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("fingerprint", i * width + 1, width)) for i in range(CLASS_BLOCKS)))
+    held = entries.select(F.explode(keys).alias("key"), "node")
+    several = buckets.crowded(held, scratch)
+    ends = [entries.select(F.col("node").alias(x), F.col("fingerprint").alias(f"print_{x}")) for x in "ab"]
+    pairs = buckets.leader_pairs(held, several).join(ends[1], "b").join(ends[0], "a")
+    links = scratch.keep(pairs.where(hamming("print_a", "print_b") <= CLASS_RADIUS).select("a", "b"))
+    dealt = buckets.blocks_across(held, several, components(links, scratch), scratch)
+    more = buckets.pairs_across(dealt, entries.select("node", F.unhex("fingerprint").alias("payload")), _near_bits)
+    labels = components(links.union(scratch.keep(more.distinct())), scratch)
+    of = scratch.keep(entries.join(labels, "node", "left").select("fingerprint", "rows", "id", F.coalesce("label", "node").alias("label")))
+    groups = of.groupBy("label").agg(F.min("id").alias("near_class"), F.sum("rows").alias("class_rows"))
+    return of.select("fingerprint", "label").join(groups, "label").select("fingerprint", "near_class", "class_rows")
+
+
 def near_counts(prints: DataFrame, is_query, radius: int = 7) -> DataFrame:
-    """(fingerprint, n_near, nearest_ids): for the fingerprints of query rows, all rows within ``radius``.
+    """(fingerprint, n_near, near_min_id): for the fingerprints of query rows, all rows within ``radius``.
 
     Equal fingerprints are one entry with their number of rows, so copies make no pairs. A pair
     is formed in the first table in which it meets, and checked there before it is a row.
@@ -157,13 +189,14 @@ def near_counts(prints: DataFrame, is_query, radius: int = 7) -> DataFrame:
 
 
 def fingerprint_report(docs: DataFrame, query_every: int = 50, radius: int = 7) -> DataFrame:
-    """``fingerprint_with_next`` with n_near and near_min_id for ids divisible by ``query_every``.
+    """``fingerprint_with_next`` with near_class and class_rows, and n_near and near_min_id for ids divisible by ``query_every``.
 
     n_near is the number of rows within ``radius`` bits of the row's fingerprint, itself included,
     and near_min_id the smallest id among them; both are null for rows that do not ask.
+    Every row has its near class (see ``near_classes``), so all its partners are the rows of that class.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
     rows = scratch.keep(fingerprint_with_next(docs))
     asks = F.coalesce(F.col("doc_id") % query_every == 0, F.lit(False))
     near = near_counts(rows, asks, radius)
-    return rows.withColumn("asks", asks).join(near.withColumn("asks", F.lit(True)), ["fingerprint", "asks"], "left").select(*(f.split()[0] for f in _PAIRS.split(", ")), "n_near", "near_min_id")
+    return rows.withColumn("asks", asks).join(near.withColumn("asks", F.lit(True)), ["fingerprint", "asks"], "left").join(near_classes(rows, scratch), "fingerprint").select(*(f.split()[0] for f in _PAIRS.split(", ")), "n_near", "near_min_id", "near_class", "class_rows")
