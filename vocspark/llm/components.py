@@ -1,32 +1,5 @@
-"""Connected components of a graph of links, as joins and grouped minima."""
+"""Connected components, shared with the operators."""
 
-from __future__ import annotations
+from vocspark.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from vocspark.llm.scratch import Scratch
-
-
-def components(links: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
-    """(node, label) for every node of ``links`` (a, b): the smallest node reachable.
-
-    Each round takes the smallest label among a node and its neighbours, then the label of that
-    label, so that labels travel twice as far with every round. Only nodes with links take
-    part, and minima are combined before the shuffle, so a node with very many links is no
-    burden. Rounds are written tables; the driver sees one number a round.
-    """
-    both = scratch.keep(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().toDF("node", "other"))
-    labels = scratch.keep(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")))
-    for _ in range(max_rounds):
-        nearby = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        stepped = labels.join(nearby, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        root = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        jumped = scratch.keep(stepped.join(root, "label", "left").select("node", "was", F.least("label", F.coalesce("beyond", "label")).alias("label")))
-        changed = jumped.where("label <> was").limit(1).count()
-        scratch.drop(labels)
-        labels = scratch.keep(jumped.select("node", "label")) if changed else jumped.select("node", "label")
-        if not changed:
-            return labels
-        scratch.drop(jumped)
-    raise RuntimeError("components did not settle")
+__all__ = ["components"]

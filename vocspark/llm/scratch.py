@@ -1,47 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Intermediate tables, shared with the operators."""
 
-Iterative operators cut their lineage by writing a table and reading it back. The folder
-is the one the cluster names in ``spark.checkpoint.dir``; only a local session that names
-none gets one of its own, because on a cluster a machine-local folder would lose rows.
-"""
+from vocspark.sources.scratch import LOCAL_DEFAULT, Scratch, shared_dir
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-LOCAL_DEFAULT = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
-    return LOCAL_DEFAULT
-
-
-class Scratch:
-    """Tables of one operator run; ``drop`` removes those that are no longer read."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` as Parquet and read it back: the same rows with a one-step lineage."""
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
-        kept = self.spark.read.schema(df.schema).parquet(path)
-        kept._scratch_path = path
-        return kept
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that ``keep`` returned, when nothing will read it again."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["LOCAL_DEFAULT", "Scratch", "shared_dir"]
