@@ -74,13 +74,23 @@ def row_slices(offsets: np.ndarray, max_bytes: int = 1 << 20, max_rows: int = 40
         first = last
 
 
+def polynomials(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums P of the bytes' polynomial, and the inverse powers: (P[end] - P[start]) * inverse[start] is a run's hash."""
+    powers, inverses = _power_tables(len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_VALUES[data] * powers[: len(data)], out=sums[1:])
+    return sums, inverses
+
+
 class Words:
     """The words of some texts: hash, first and last byte of each, and the words' range per text.
 
-    With ``tails``, a full stop or comma between a letter a-z and a gap is a word of its own.
+    With ``tails``, a full stop or comma between a letter a-z and a gap is a word of its own; with
+    ``singles``, so is every character of three or four bytes (scripts without spaces are among them).
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, lower: bool = True, tails: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, lower: bool = True, tails: bool = False, singles: bool = False):
         data = LOWER[data] if lower else data
         n = len(data)
         self.data = data
@@ -92,12 +102,15 @@ class Words:
         if tails and n > 1:
             mark = ((data[1:] == 46) | (data[1:] == 44)) & (data[:-1] >= 97) & (data[:-1] <= 122) & (gap[3:] | edge[2:])
             edge[1:-1] |= mark & ~edge[1:-1]
+        if singles:
+            firsts = np.flatnonzero((data & 0xC0) != 0x80)
+            wide = np.flatnonzero(data[firsts] >= 0xE0)
+            edge[firsts[wide]] = True
+            edge[np.append(firsts, n)[wide + 1]] = True
         self.start = np.flatnonzero(inside & (gap[:-2] | edge[:-1]))
         self.end = np.flatnonzero(inside & (gap[2:] | edge[1:])) + 1
-        powers, inverses = _power_tables(n)
-        sums = np.zeros(n + 1, dtype=np.uint64)
+        sums, inverses = polynomials(data)
         with np.errstate(over="ignore"):
-            np.cumsum(_VALUES[data] * powers[:n], out=sums[1:])
             self.hash = mix((sums[self.end] - sums[self.start]) * inverses[self.start])
         self.bounds = np.searchsorted(self.start, offsets)
 
