@@ -7,26 +7,38 @@ from pyspark.sql import functions as F
 
 from vocspark.sources.scratch import Scratch
 
+#: Labels (two longs each) that may be broadcast; more are joined by shuffle.
+MAX_BROADCAST_LABELS = 1_000_000
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_LABELS + 1).count() <= MAX_BROADCAST_LABELS else df
+
 
 def components(links: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b): the smallest node reachable.
 
     Each round takes the smallest label among a node and its neighbours, then the label of that
-    label, so that labels travel twice as far with every round. Only nodes with links take
-    part, and minima are combined before the shuffle, so a node with very many links is no
-    burden. Rounds are written tables; the driver sees one number a round.
+    label, so that labels travel twice as far with every round. Only nodes with links take part,
+    and minima are combined before the shuffle. The labels that a round looks up (those of the
+    neighbours, and those of labels that are not yet their own) are broadcast up to a counted
+    bound, so that no task gathers the neighbours of a hub or the members of a component; beyond
+    it they are joined by shuffle, where adaptive execution splits the hot keys of the side with
+    many rows. Rounds are written tables; the driver sees single numbers.
     """
     both = scratch.keep(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().toDF("node", "other"))
     labels = scratch.keep(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")))
     for _ in range(max_rounds):
-        nearby = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        stepped = labels.join(nearby, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        root = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        jumped = scratch.keep(stepped.join(root, "label", "left").select("node", "was", F.least("label", F.coalesce("beyond", "label")).alias("label")))
+        nearby = both.join(_bounded(labels.toDF("other", "near")), "other").groupBy("node").agg(F.min("near").alias("near"))
+        stepped = scratch.keep(labels.join(nearby, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
+        moving = stepped.select("label").distinct().join(labels.where("label < node").toDF("label", "beyond"), "label")
+        jumped = scratch.keep(stepped.join(_bounded(scratch.keep(moving)), "label", "left").select("node", "was", F.least("label", F.coalesce("beyond", "label")).alias("label")))
         changed = jumped.where("label <> was").limit(1).count()
         scratch.drop(labels)
-        labels = scratch.keep(jumped.select("node", "label")) if changed else jumped.select("node", "label")
+        scratch.drop(stepped)
         if not changed:
-            return labels
+            scratch.drop(both)
+            return jumped.select("node", "label")
+        labels = scratch.keep(jumped.select("node", "label"))
         scratch.drop(jumped)
     raise RuntimeError("components did not settle")

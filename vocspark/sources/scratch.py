@@ -25,12 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator run; ``drop`` removes those that are no longer read."""
+    """Tables of one operator run.
+
+    ``drop`` removes those that are no longer read. What is left, as a result may still be read
+    from it, goes when the application ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and read it back: the same rows with a one-step lineage."""
