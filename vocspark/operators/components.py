@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 
 from vocspark.sources.scratch import Scratch
 
-#: Labels (two longs each) that may be broadcast; more are joined by shuffle.
+#: Nodes whose labels (two longs each) may be broadcast; more are joined by shuffle.
 MAX_BROADCAST_LABELS = 1_000_000
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_LABELS + 1).count() <= MAX_BROADCAST_LABELS else df
-
-
 def components(links: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b): the smallest node reachable.
 
@@ -28,17 +24,30 @@ def components(links: DataFrame, scratch: Scratch, max_rounds: int = 100) -> Dat
     """
     both = scratch.keep(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().toDF("node", "other"))
     labels = scratch.keep(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")))
+    few = labels.limit(MAX_BROADCAST_LABELS + 1).count() <= MAX_BROADCAST_LABELS  # as many in every round
+    look_up = F.broadcast if few else (lambda df: df)
     for _ in range(max_rounds):
-        nearby = both.join(_bounded(labels.toDF("other", "near")), "other").groupBy("node").agg(F.min("near").alias("near"))
+        nearby = both.join(look_up(labels.toDF("other", "near")), "other").groupBy("node").agg(F.min("near").alias("near"))
         stepped = scratch.keep(labels.join(nearby, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
         moving = stepped.select("label").distinct().join(labels.where("label < node").toDF("label", "beyond"), "label")
-        jumped = scratch.keep(stepped.join(_bounded(scratch.keep(moving)), "label", "left").select("node", "was", F.least("label", F.coalesce("beyond", "label")).alias("label")))
+        jumped = scratch.keep(stepped.join(look_up(moving), "label", "left").select("node", "was", F.least("label", F.coalesce("beyond", "label")).alias("label")))
         changed = jumped.where("label <> was").limit(1).count()
         scratch.drop(labels)
         scratch.drop(stepped)
+        labels = scratch.view(jumped, "node", "label")
         if not changed:
             scratch.drop(both)
-            return jumped.select("node", "label")
-        labels = scratch.keep(jumped.select("node", "label"))
-        scratch.drop(jumped)
+            return labels
     raise RuntimeError("components did not settle")
+
+
+def extended(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` of ``components`` after more ``links`` (a, b): the components of what these join.
+
+    Only the labels that the new links touch go through the rounds.
+    """
+    of = [labels.toDF(x, f"label_{x}") for x in "ab"]
+    joined = links.select("a", "b").join(of[0], "a", "left").join(of[1], "b", "left")
+    whole = components(joined.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")), scratch)
+    fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return scratch.keep(labels.unionByName(fresh).join(whole.toDF("label", "least"), "label", "left").select("node", F.coalesce("least", "label").alias("label")))

@@ -47,6 +47,12 @@ class Scratch:
         kept._scratch_path = path
         return kept
 
+    def view(self, df: DataFrame, *columns: str) -> DataFrame:
+        """Some columns of a kept table, which can be dropped by them too."""
+        some = df.select(*columns)
+        some._scratch_path = df._scratch_path
+        return some
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that ``keep`` returned, when nothing will read it again."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
