@@ -1,5 +1,5 @@
 """Connected components, shared with the operators."""
 
-from vocspark.operators.components import components
+from vocspark.operators.components import components, extended
 
-__all__ = ["components"]
+__all__ = ["components", "extended"]
