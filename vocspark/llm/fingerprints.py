@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ BLOCKS = 8
 #: One changed word of a text of 248 words, the median of sf0.1, moves some 256 / pi * arccos(1 - 2 / 247) = 10.4 bits.
 CLASS_RADIUS = 15
 CLASS_BLOCKS = 16
+#: Fingerprints (some 100 bytes each) that may be broadcast with what is known of them; more are joined by shuffle,
+#: where adaptive execution splits the rows of a fingerprint that very many documents have.
+MAX_BROADCAST_PRINTS = 200_000
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1)
 
 
@@ -98,30 +102,49 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = table.slice(len(table) - 1)
 
 
+def _range_numbers(cuts: np.ndarray, place: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """The range of each row; a place that takes up several cuts is dealt to the ranges between them by its tie."""
+    low, high = np.searchsorted(cuts, place, "left"), np.searchsorted(cuts, place, "right")
+    share = (tie.astype(np.float64) + 2.0**63) / 2.0**64
+    return np.where(high - low > 1, low + np.minimum((share * (high - low + 1)).astype(np.int64), high - low), high).astype(np.int32)
+
+
 def fingerprint_with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row per document in order of doc_id: its fingerprint, its edited text's, and their likeness.
 
-    A null text is empty; null ids come first, and rows of one id are in order of their text. The
-    document after the last is the first; a single one is its own next. Documents are dealt to
-    ranges of ids with about as many rows each, and a range's first row is lent to the range
-    before it, so each text moves once and no task has more than its range.
+    A null text is empty; null ids come first, and rows of one id are in order of a hash of their
+    text. The document after the last is the first; a single one is its own next. Documents are
+    dealt to ranges with about as many rows each, and a range's first row is lent to the range
+    before it, so each text moves once and no task has more than its range. An id that many rows
+    share takes several ranges; only rows with id and text in common stay together.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    cuts = sorted({int(x) for x in rows.approxQuantile("place", [i / n for i in range(1, n)], 1 / (8 * n))})
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("place"))) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
-    firsts = [(r["bucket"], r["first"]) for r in rows.groupBy("bucket").agg(F.min("place").alias("first")).orderBy("bucket").collect()]  # one row per range
-    before = F.lit(None).cast("int")
-    for i, (_, first) in enumerate(firsts):
-        before = F.when(F.col("place") == first, firsts[i - 1][0]).otherwise(before)
-    lent = F.when(before.isNotNull(), F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("lent")), F.struct(before.alias("to"), F.lit(True).alias("lent")))).otherwise(F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("lent"))))
-    rows = rows.select("doc_id", "text", "place", F.explode(lent).alias("go"))
+    found = rows.approxQuantile("place", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else []
+    cuts = np.sort(np.asarray(found, dtype=np.float64)).clip(max=2.0**63 - 1024).astype(np.int64)
+    several = len(np.unique(cuts)) < len(cuts)
+    rows = rows.withColumn("tie", F.xxhash64("text") if several else F.lit(0).cast("long"))
+    held = spark.sparkContext.broadcast(cuts)  # one number per range
+
+    @F.pandas_udf("int")
+    def number(place: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(_range_numbers(held.value, place.to_numpy(), tie.to_numpy()))
+
+    firsts = rows.select("place", "tie", number("place", "tie").alias("range")).groupBy("range").agg(F.min(F.struct("place", "tie")).alias("first")).orderBy("range").collect()  # one row per range
+    before = {(r["first"]["place"], r["first"]["tie"]): firsts[i - 1]["range"] for i, r in enumerate(firsts)}
+    lends = spark.sparkContext.broadcast(before)
+
+    @F.pandas_udf("array<int>")
+    def goes_to(place: pd.Series, tie: pd.Series) -> pd.Series:
+        known = lends.value
+        own = _range_numbers(held.value, place.to_numpy(), tie.to_numpy())
+        return pd.Series([[r] if to is None else [r, to] for r, to in zip(own.tolist(), map(known.get, zip(place.tolist(), tie.tolist())))])
+
     # The row lent round from the very first range to the last comes after all others there.
-    rows = rows.select("doc_id", "text", F.col("go.lent").alias("lent"), "place", F.col("go.to").alias("to"))
-    rows = rows.repartitionById(n + 1, F.col("to").cast("int")).sortWithinPartitions("lent", "place", "text").select("doc_id", "text", "lent")
+    rows = rows.select("doc_id", "text", "place", "tie", F.posexplode(goes_to("place", "tie")).alias("lent", "range"))
+    rows = rows.withColumn("lent", F.col("lent") == 1).repartitionById(n + 1, "range").sortWithinPartitions("lent", "place", "tie", "text").select("doc_id", "text", "lent")
     return rows.mapInArrow(_with_next, _PAIRS)
 
 
@@ -198,5 +221,8 @@ def fingerprint_report(docs: DataFrame, query_every: int = 50, radius: int = 7)
     scratch = Scratch(docs.sparkSession, "fingerprints")
     rows = scratch.keep(fingerprint_with_next(docs))
     asks = F.coalesce(F.col("doc_id") % query_every == 0, F.lit(False))
-    near = near_counts(rows, asks, radius)
-    return rows.withColumn("asks", asks).join(near.withColumn("asks", F.lit(True)), ["fingerprint", "asks"], "left").join(near_classes(rows, scratch), "fingerprint").select(*(f.split()[0] for f in _PAIRS.split(", ")), "n_near", "near_min_id", "near_class", "class_rows")
+    # Both sides of this join have each fingerprint once; copies meet only where rows are looked up below.
+    known = near_classes(rows, scratch).join(near_counts(rows, asks, radius), "fingerprint", "left")
+    known = buckets.bounded(scratch.keep(known), MAX_BROADCAST_PRINTS)
+    found = [F.when(asks, F.col(c)).alias(c) for c in ("n_near", "near_min_id")]
+    return rows.join(known, "fingerprint").select(*(f.split()[0] for f in _PAIRS.split(", ")), *found, "near_class", "class_rows")
