@@ -5,9 +5,10 @@ where the sum over gaps of (number of open sequences with that gap) squared beco
 Keeping those counts low and even leaves a fitting gap for whatever length comes next.
 
 The rule looks at all open sequences, so it is sequential. It runs here in shards of a fixed
-number of documents, dealt by hash, so that no task grows with the corpus. Sequences that a
-shard leaves with room go, as items of their filled length, to a next level with fewer
-shards, until one shard is left. All rows are packed; nothing is dropped or padded.
+number of pieces, dealt by hash, so that no task grows with the corpus. Sequences that a shard
+leaves with room go, as items of their filled length, to shards of a next level, until one shard
+holds them all or a level merges fewer than one pair a shard. All rows are packed; nothing is
+dropped or padded.
 """
 
 from __future__ import annotations
@@ -33,9 +34,12 @@ class WordTokens:
     The tokenizer drops white space and never joins what it separates, so the ids of a text
     are those of its chunks in order. A full stop or comma that ends a chunk after a letter a-z
     is a pre-token of its own, and so a chunk of its own. Chunks are known by their 64-bit hash
-    after lower-casing A-Z, which the tokenizer does too. At most ``limit`` are remembered.
+    after lower-casing A-Z, which the tokenizer does too. At most ``limit`` are remembered. A
+    tokenizer that does not encode ``SAMPLES`` so is refused.
     """
 
+    SAMPLES = ("Ab, cd. Ef", "x.y ,z .. a,b, don't 'S", "one\ttwo\nthree\r\n four  five ", "ÄÖ é, straße. 漢字 12.5 A1. B-2, <s>", "")
+
     def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
@@ -44,6 +48,12 @@ class WordTokens:
         for token, i in self.tokenizer.get_vocab().items():
             ends[i] = token.endswith("</w>")
         self.ends, self.limit = ends, limit
+        self.kind = np.uint16 if len(ends) <= 1 << 16 else np.uint32
+        self.clear()
+        for text in self.SAMPLES:
+            raw = np.frombuffer(text.encode(), dtype=np.uint8)
+            if self.encode(raw, np.array([0, len(raw)]))[0].tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError(f"the tokenizer {path} does not work on white-space separated, lower-cased chunks")
         self.clear()
 
     def clear(self) -> None:
@@ -52,7 +62,7 @@ class WordTokens:
         self.late_keys = np.zeros(0, dtype=np.uint64)
         self.late_at = np.zeros(0, dtype=np.int64)
         self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint16)
+        self.ids = np.zeros(0, dtype=self.kind)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         found = np.full(len(keys), -1, dtype=np.int64)
@@ -67,12 +77,12 @@ class WordTokens:
         """Ids of all chunks, flat, and the start and number of each chunk's own."""
         plain = np.array([c.isalpha() for c in chunks], dtype=bool)
         sizes = np.zeros(len(chunks), dtype=np.int64)
-        flat = np.zeros(0, dtype=np.uint16)
+        flat = np.zeros(0, dtype=self.kind)
         if plain.any():
             # Letters make one pre-token, so many chunks of letters are encoded as one text
             # and cut after each token that ends a word.
             text = " ".join(c for c, p in zip(chunks, plain) if p)
-            flat = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint16)
+            flat = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
             cuts = np.flatnonzero(self.ends[flat]) + 1
             if len(cuts) == plain.sum():
                 sizes[plain] = np.diff(cuts, prepend=0)
@@ -83,7 +93,7 @@ class WordTokens:
         if len(rest):
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)]
             sizes[rest] = [len(x) for x in ids]
-            parts.append(np.asarray([i for x in ids for i in x], dtype=np.uint16))
+            parts.append(np.asarray([i for x in ids for i in x], dtype=self.kind))
             order = np.concatenate([order, rest])
         starts = np.zeros(len(chunks), dtype=np.int64)
         starts[order] = np.cumsum(sizes[order]) - sizes[order]
@@ -147,7 +157,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
                 flat, bounds = tokens.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 out: list[tuple] = []
                 for i in range(b - a):
-                    own = np.append(flat[bounds[i] : bounds[i + 1]], np.uint16(end_id)).astype("<u4")
+                    own = np.append(flat[bounds[i] : bounds[i + 1]].astype("<u4"), np.uint32(end_id))
                     out += [(i, p, s, min(capacity, len(own) - s), zlib.crc32(own[s : s + capacity].tobytes())) for p, s in enumerate(range(0, len(own), capacity))]
                 row, *rest = zip(*out)
                 yield pa.RecordBatch.from_arrays(
@@ -173,6 +183,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     used = 0
     for i in np.argsort(-lengths, kind="stable"):
         size = int(lengths[i])
+        if size == capacity:
+            bins[i], places[i], used = used, 0, used + 1
+            continue
         before = n[size:]
         change = 2 * (n[: capacity + 1 - size] - before) + 2
         change[0] = 1 - 2 * n[size]
@@ -194,7 +207,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def _in_shards(items: DataFrame, key: list[str], size: str, keep: str, shards: int, level: int, capacity: int) -> DataFrame:
-    """``items`` with (sequence, offset, filled): each shard packs its own items."""
+    """``items`` with (sequence, offset, filled): each shard packs its own items.
+
+    items must be a written table: the salt of the deal, which parts repeated rows too, is the place there.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable")
@@ -203,31 +219,40 @@ def _in_shards(items: DataFrame, key: list[str], size: str, keep: str, shards: i
         filled = np.bincount(bins, weights=lengths, minlength=used).astype(np.int64)
         return pdf.assign(sequence=bins + (level << 56 | int(pdf["shard"].iloc[0]) << 32), offset=places, filled=filled[bins]).drop(columns="shard")
 
-    dealt = items.withColumn("shard", F.expr(f"pmod(xxhash64({', '.join(key)}), {shards})"))
+    salted = items.withColumn("shard", F.monotonically_increasing_id())
+    dealt = salted.withColumn("shard", F.expr(f"pmod(xxhash64({', '.join(key)}, shard), {shards})"))
     return dealt.groupBy("shard").applyInPandas(one, f"{keep}, sequence long, offset long, filled long")
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, docs_per_shard: int = 8192, n_docs: int | None = None) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, per_shard: int = 8192, repack: float = 15 / 16) -> DataFrame:
     """``pieces`` with sequence_id and offset, in as few sequences of ``capacity`` as the rule finds.
 
     pieces has the columns of ``tokenised_pieces``; lengths are 1 to ``capacity``. Sequences
-    are filled without holes from 0. Repeated rows are packed each; no rows give no rows.
+    are filled without holes from 0. Repeated rows are packed each; no rows give no rows. A shard
+    has about ``per_shard`` items at every level. Sequences filled to ``repack`` of the capacity at
+    most go to the next level; at 1.0 all with room do.
     """
     scratch = Scratch(pieces.sparkSession, "pack")
-    shards = max(1, -(-(pieces.count() if n_docs is None else n_docs) // docs_per_shard))
-    placed = scratch.keep(_in_shards(pieces, ["doc_id", "piece", "start"], "length", PIECES, shards, 0, capacity))
-    open_ = placed.filter(f"offset = 0 and filled <= {capacity - capacity // 16}").select(F.col("sequence").alias("item"), F.col("filled").alias("size"))
-    level, moves = 0, []
+    pieces = scratch.keep(pieces)
+    shards, level, moves = max(1, -(-pieces.count() // per_shard)), 0, []
+
+    def left_open(packed: DataFrame) -> DataFrame:
+        return scratch.keep(packed.where(f"offset = 0 and filled <= {int(repack * capacity)} and filled < {capacity}").select(F.col("sequence").alias("item"), F.col("filled").alias("size")))
+
+    placed = scratch.keep(_in_shards(pieces, ["doc_id", "piece", "start"], "length", PIECES, shards, level, capacity))
     while shards > 1:
-        shards, level = max(1, shards // 16), level + 1
-        moved = scratch.keep(_in_shards(open_, ["item"], "size", "item long, size long", shards, level, capacity))
-        open_ = moved.filter(f"offset = 0 and filled <= {capacity - capacity // 16}").select(F.col("sequence").alias("item"), F.col("filled").alias("size"))
-        moves.append(moved.select("item", F.col("sequence").alias("to"), F.col("offset").alias("by")))
+        items = left_open(placed if level == 0 else moves[-1])
+        n = items.count()
+        shards, level = max(1, -(-n // per_shard)), level + 1
+        moves.append(scratch.keep(_in_shards(items, ["item"], "size", "item long, size long", shards, level, capacity)))
+        if n - moves[-1].where("offset = 0").count() < shards:
+            break
     for moved in moves:
-        placed = placed.join(moved, placed["sequence"] == moved["item"], "left").select(*(placed[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), F.coalesce("to", "sequence").alias("sequence"), (F.col("offset") + F.coalesce("by", F.lit(0))).alias("offset"))
+        step = moved.select("item", F.col("sequence").alias("to"), F.col("offset").alias("by"))
+        placed = placed.join(step, placed["sequence"] == step["item"], "left").select(*(placed[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), F.coalesce("to", "sequence").alias("sequence"), (F.col("offset") + F.coalesce("by", F.lit(0))).alias("offset"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, docs_per_shard: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, per_shard: int = 8192, id_col: str = "doc_id", text_col: str = "text", repack: float = 15 / 16) -> DataFrame:
     """Tokenise and pack: one row per piece with its place. See ``tokenised_pieces`` and ``pack``."""
-    return pack(tokenised_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), capacity, docs_per_shard, docs.count())
+    return pack(tokenised_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), capacity, per_shard, repack)
