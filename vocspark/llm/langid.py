@@ -91,7 +91,8 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
 
     The score is the share of the best language in a softmax of the regressions. A null text,
     or one without any letter, is ``und`` with score 0. Whole texts are read; other columns
-    pass through, and columns of the two new names are replaced.
+    pass through, and columns of the two new names are replaced. Rows are judged one by one, so
+    repeated rows have one result; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x width numbers, whatever the corpus
 
@@ -111,14 +112,16 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
         best[~letters], score[~letters] = UNDETERMINED, 0.0
         return pd.DataFrame({"lang": best, "score": np.round(score.astype(float), 4)})
 
-    return docs.withColumn("__language", of_text(F.col(text_col).cast("string"))).withColumn(out, F.col("__language.lang")).withColumn(score_out, F.col("__language.score")).drop("__language")
+    found = docs.select(F.struct("*").alias("doc"), of_text(F.col(text_col).cast("string")).alias("found"))
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in (out, score_out)]
+    return found.select(*kept, F.col("found.lang").alias(out), F.col("found.score").alias(score_out))
 
 
 def identify(docs: DataFrame, per_language: int = 500) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs``.
 
     Learns from the text and non-null lang of at most ``per_language`` documents of each
-    language whose crc32(doc_id) modulo 3 is not 1.
+    language whose crc32(doc_id) modulo 3 is not 1, within the bounds of ``training``.
     """
     model = train(training.sample_by_value(docs, "lang", 3, 1, per_language))
     found = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
