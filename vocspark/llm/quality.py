@@ -1,8 +1,8 @@
 """Quality classifier: averaged hashed word and character n-gram vectors with a softmax.
 
-Each word, each run of 3, 4 or 5 bytes, and the pair pattern "same word again" or not has a
-learned vector in a table of fixed size that it shares with what hashes to the same place. A document is the mean of its vectors; a linear
-layer and a softmax give the probability of label 1. Vectors and layer are trained together by
+Each word, each pair of neighbouring words, and each run of 3, 4 or 5 bytes has a learned vector
+in a table of fixed size that it shares with what hashes to the same place. A document is the
+mean of its vectors; a linear layer and a softmax give the probability of label 1. Vectors and layer are trained together by
 stochastic gradient descent on a bounded sample of labelled rows.
 
 After training, only a vector's product with the difference of the two output rows matters, so
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocspark.llm import training
-from vocspark.llm.textarrays import Words, row_slices, text_buffer
+from vocspark.llm.textarrays import Words, mix, row_slices, text_buffer
 
 GRAMS = (3, 4, 5)
 
@@ -40,9 +40,10 @@ def _features(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tupl
     shift = np.uint64(64 - bits)
     words = Words(data, offsets, lower=False)
     yield (words.hash >> shift).astype(np.int64), words.bounds[:-1], words.bounds[1:]
-    same = np.zeros(len(words.hash), dtype=np.int64)
-    same[1:] = words.hash[1:] == words.hash[:-1]
-    yield same, np.minimum(words.bounds[:-1] + 1, words.bounds[1:]), words.bounds[1:]
+    pairs = np.zeros(len(words.hash), dtype=np.int64)  # by the second word
+    with np.errstate(over="ignore"):
+        pairs[1:] = mix(words.hash[:-1] * np.uint64(0x9E3779B97F4A7C15) + words.hash[1:]) >> shift
+    yield pairs, np.minimum(words.bounds[:-1] + 1, words.bounds[1:]), words.bounds[1:]
     wide = data.astype(np.uint64)
     for n in GRAMS:
         count = max(len(data) - n + 1, 0)
@@ -138,7 +139,8 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
-    Learns from at most ``max_rows`` labelled rows whose crc32(doc_id) modulo 4 is not 2.
+    Learns from at most ``max_rows`` labelled rows whose crc32(doc_id) modulo 4 is not 2, within
+    the byte budget of ``training``.
     """
     model = train(training.labelled_sample(docs, labels, "quality", 4, 2, max_rows))
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
