@@ -49,14 +49,15 @@ def _holds(near: Column, shift: Column):
 
 
 def windows(benchmark: DataFrame, size: int, shingle: int) -> DataFrame:
-    """(words, items, n, shingles): distinct windows with the ids of the items that have them.
+    """(window, words, items, n, shingles): distinct windows with the ids of the items that have them.
 
-    shingles has (off, key) for each place in the window. Items without an id or words have none.
+    window is a number (a hash of the words), shingles has (off, key) for each place in the window.
+    Items without an id or words have none.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where("item is not null and size(w) > 0")
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))), lambda i: F.slice(F.col("w"), i + 1, size))
     found = items.select("item", F.explode(runs).alias("words")).groupBy("words").agg(F.collect_set("item").alias("items"))
-    found = found.withColumn("n", F.least(F.size("words"), F.lit(shingle)))
+    found = found.withColumn("window", F.xxhash64("words")).withColumn("n", F.least(F.size("words"), F.lit(shingle)))
     keys = F.lit(None)
     for n in range(1, shingle + 1):
         keys = F.when(F.col("n") == n, _keys(n)).otherwise(keys)
@@ -81,12 +82,15 @@ def _row_hash() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, size: int, shingle: int, max_broadcast: int) -> tuple[DataFrame, DataFrame | None]:
-    """The rows as (doc_id, w, hash, id), and the windows that occur as (id, hash, hits), if the benchmark has any."""
+def _hits(docs: DataFrame, benchmark: DataFrame, size: int, shingle: int, max_broadcast: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The rows as (doc_id, w, hash, id), the windows that occur as (id, hash, hits), if the benchmark has any, and its (window, item).
+
+    A hit has the number of its window only, so that a window which many items share is one hit.
+    """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"), _row_hash().alias("hash"))
     base = base.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     held = windows(benchmark, size, shingle)
-    sizes = {r["n"]: r["count"] for r in held.groupBy("n").count().collect()}  # at most ``shingle`` rows
+    sizes = {r["n"]: r["pairs"] for r in held.groupBy("n").agg(F.sum(F.size("items")).alias("pairs")).collect()}  # at most ``shingle`` rows
     small = sum(sizes.values()) <= max_broadcast
     side = F.broadcast if small else lambda df: df
     matches = None
@@ -96,14 +100,14 @@ def _hits(docs: DataFrame, benchmark: DataFrame, size: int, shingle: int, max_br
         places = _places(base, n, size)
         counts = places.select("key").join(side(known), "key", "left_semi").groupBy("key").count()
         # Rarest shingle of each window whose shingles all occur.
-        each = own.select("words", "items", F.size("shingles").alias("all"), F.explode("shingles").alias("s")).join(side(counts), F.col("s.key") == counts["key"])
-        anchors = each.groupBy("words", "items", "all").agg(F.count("*").alias("seen"), F.min(F.struct("count", "key", F.col("s.off").alias("off"))).alias("rarest")).where("seen = all")
-        anchors = anchors.groupBy(F.col("rarest.key").alias("key")).agg(F.collect_list(F.struct("words", "items", F.col("rarest.off").alias("off"))).alias("windows"))
+        each = own.select("words", "window", F.size("shingles").alias("all"), F.explode("shingles").alias("s")).join(side(counts), F.col("s.key") == counts["key"])
+        anchors = each.groupBy("words", "window", "all").agg(F.count("*").alias("seen"), F.min(F.struct("count", "key", F.col("s.off").alias("off"))).alias("rarest")).where("seen = all")
+        anchors = anchors.groupBy(F.col("rarest.key").alias("key")).agg(F.collect_list(F.struct("words", "window", F.col("rarest.off").alias("off"))).alias("windows"))
         joined = places.join(side(anchors), "key")
         found = joined.select("id", "hash", "pos", F.filter("windows", _holds(F.col("near"), F.col("shift"))).alias("windows")).where("size(windows) > 0")
-        found = found.select("id", "hash", F.transform("windows", lambda x: F.struct((F.col("pos") - x["off"]).alias("first"), (F.col("pos") - x["off"] + F.size(x["words"])).alias("end"), x["items"].alias("items"))).alias("hits"))
+        found = found.select("id", "hash", F.transform("windows", lambda x: F.struct((F.col("pos") - x["off"]).alias("first"), (F.col("pos") - x["off"] + F.size(x["words"])).alias("end"), x["window"].alias("window"))).alias("hits"))
         matches = found if matches is None else matches.unionByName(found)
-    return base, matches
+    return base, matches, side(held.select("window", F.explode("items").alias("item")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int = 3, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
@@ -113,7 +117,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle
     window. Null texts have no words. Repeated rows each have their result; an empty benchmark
     hits nothing. Other columns of either table are not read.
     """
-    base, matches = _hits(docs, benchmark, size, shingle, max_broadcast)
+    base, matches, items = _hits(docs, benchmark, size, shingle, max_broadcast)
     empty_sha = F.sha2(F.lit(""), 256)
     if matches is None:
         return base.select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), empty_sha.alias("items_sha256"), F.lit(False).alias("contaminated"))
@@ -125,8 +129,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle
         lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(x["first"], s["upto"]), F.lit(0))).alias("n"), F.greatest(s["upto"], x["end"]).alias("upto")),
         lambda s: s["n"],
     )
-    items = F.array_sort(F.array_distinct(F.flatten("hits.items")))
-    per_doc = per_doc.select("id", "hash", covered.cast("long").alias("n_hit"), items.alias("items"))
+    per_doc = per_doc.select("id", "hash", covered.cast("long").alias("n_hit"), F.array_distinct("hits.window").alias("windows"))
+    found = per_doc.select("id", "hash", "n_hit", F.explode("windows").alias("window")).join(items, "window")
+    per_doc = found.groupBy("id", "hash", "n_hit").agg(F.array_sort(F.collect_set("item")).alias("items"))
     return base.select("doc_id", "id", "hash", F.size("w").cast("long").alias("n_words")).join(per_doc, ["id", "hash"], "left").select(
         "doc_id",
         "n_words",
@@ -144,7 +149,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int =
     without an id. Without it, each row is judged by its own id and text: clean rows stay,
     whatever other rows have the same id or none.
     """
-    _, matches = _hits(docs, benchmark, size, shingle, MAX_BROADCAST_WINDOWS)
+    _, matches, _ = _hits(docs, benchmark, size, shingle, MAX_BROADCAST_WINDOWS)
     if matches is None:
         return docs
     hit = matches.select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct()
