@@ -4,11 +4,12 @@ import hashlib
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import connection, same
 from tests.conftest import SF
 from tests.llm import helpers as H
-from vocspark.llm import buckets, components, fingerprints, linededup, neardup, queries
+from vocspark.llm import buckets, components, edits, fingerprints, linededup, neardup, queries
 from vocspark.llm.scratch import Scratch
 
 
@@ -136,6 +137,62 @@ def test_recall_of_short_long_and_non_latin_lines(spark):
         assert len(ids) >= 40 and found >= 0.9 * len(ids), (kind, found, len(ids))
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edits_against_plain_distance():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    x, y = [], []
+    for _ in range(400):
+        a = "".join(rng.choice("abc é漢") for _ in range(rng.choice((0, 1, 2, 9, 30, 70))))
+        b = list(a)
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(("", "a", "xy", "漢"))
+        x.append(a)
+        y.append("".join(b) if rng.random() < 0.9 else "".join(rng.choice("abc") for _ in range(len(a))))
+    most = np.array([rng.choice((0, 1, 2, 7, 9, 20, 100)) for _ in x])
+    assert edits.within(x, y, most).tolist() == [plain_distance(a, b) <= m for a, b, m in zip(x, y, most)]
+    assert edits.within(["a" * 70_000 + "b" * 50], ["a" * 70_000 + "c" * 50], np.array([7000])).tolist() == [True]
+    assert edits.within([], [], np.zeros(0, int)).tolist() == []
+
+
+def test_lines_against_all_pairs(spark):
+    """Nine in ten of all pairs of lines with the similarity are in one class, and each class is held together by such pairs."""
+    import numpy as np
+
+    rows = linededup.line_classes(queries.table(spark, SF, "documents")).collect()
+    texts = {r["doc_id"]: (r["text"] or "").split("\n") for r in queries.table(spark, SF, "documents").collect()}
+    of = {linededup.normal_form(texts[r["doc_id"]][r["line"]]): r["class_id"] for r in rows}
+    forms = sorted(of, key=len)
+    size = np.array([len(f) for f in forms])
+    i = np.repeat(np.arange(len(forms)), np.searchsorted(size, size / 0.9 + 1e-9, side="right") - np.arange(len(forms)))
+    j = np.arange(len(i)) - np.searchsorted(i, i) + i
+    i, j = i[i < j], j[i < j]
+    alike = np.concatenate([edits.within([forms[p] for p in i[a : a + 4096]], [forms[p] for p in j[a : a + 4096]], ((size[j[a : a + 4096]]) * 0.1 + 1e-9).astype(int)) for a in range(0, len(i), 4096)])
+    links = [(forms[p], forms[q]) for p, q in zip(i[alike], j[alike])]
+    assert len(links) == 40 and sum(of[a] == of[b] for a, b in links) >= 0.9 * len(links)
+    joined = H.components(forms, [(a, b) for a, b in links if of[a] == of[b]])
+    assert all((joined[a] == joined[b]) == (of[a] == of[b]) for a in forms for b in forms[:200])
+
+
+def test_many_equal_lines_in_one_text(spark):
+    """Lines go by runs, in one pass: a text of very many equal lines keeps the first."""
+    docs = spark.createDataFrame([(1, "\n".join(["same line again"] * 60_000) + "\n\nend"), (2, "same line again\nother")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
+    assert out == {1: "same line again\n\nend", 2: "other"}
+
+
 def test_line_edge_rows(spark):
     docs = H.edge_docs(spark)
     out = linededup.dedup_lines(docs)
@@ -199,6 +256,29 @@ def test_fingerprint_edge_rows(spark):
     assert alone["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and alone["near_next"] == 1.0
 
 
+def test_fingerprints_with_thousands_of_ranges(spark):
+    """As many ranges as a large session has, ids that repeat or lack, and the same rows from one range."""
+    texts = [(None if i % 3 == 0 else i // 2, f"text {i} " + "word " * (i % 7)) for i in range(240)] + [(None, None)] * 3
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = [sorted(tuple(r) for r in fingerprints.fingerprint_with_next(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))), n).collect()) for n in (1, 3000)]
+    ids = lambda rows: sorted(r[0] for r in rows)
+    assert len(out[0]) == len(out[1]) == len(texts) and ids(out[0]) == ids(out[1])
+    assert {r[3] for r in out[0]} == {r[3] for r in out[1]}
+    single = spark.createDataFrame([(i, t or "") for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    a, b = (sorted(tuple(r) for r in fingerprints.fingerprint_with_next(single, n).collect()) for n in (1, 300))
+    assert a == b
+    assert fingerprints.fingerprint_with_next(docs, 8).count() == len(texts)
+
+
+def test_hot_place_takes_several_ranges():
+    import numpy as np
+
+    cuts = np.array([5, 9, 9, 9, 12])
+    place, tie = np.array([4, 5, 9, 9, 9, 10, 12]), np.array([0, 0, -(1 << 63), 0, (1 << 63) - 1, 0, 0])
+    got = fingerprints._range_numbers(cuts, place, tie).tolist()
+    assert got == sorted(got) and got[0] == 0 and got[2] == 1 and got[4] == 4 and got[5] == 4 and got[6] == 5
+
+
 @pytest.mark.parametrize("radius", (-1, 8))
 def test_radius_is_checked(spark, radius):
     with pytest.raises(ValueError):

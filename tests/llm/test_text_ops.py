@@ -142,6 +142,120 @@ def test_toxicity_matching():
     assert m.level("idiot " + "word " * 1000) < m.level("idiot word")
 
 
+def test_toxicity_folding():
+    m = toxicity.Matcher(toxicity.ToxicityModel({"idiot": 3.0, "trash": 2.0}, ["trash can"]))
+    hit = lambda t: m.level(t) > 0
+    assert not hit("trash  can") and not hit("trash\ncan") and not hit("trash \t can") and hit("trash canister")
+    assert hit("id\u200biot") and hit("i\u00addi\ufeffot") and hit("idiot5") and hit("5idiot") and hit("1d10t5!")
+    assert not hit("idiot5a") and not hit("a5idiot")
+
+
+def test_toxicity_against_plain_search():
+    """Each place of each term looked at by itself, without an automaton."""
+    import random
+
+    rng = random.Random(8)
+    model = toxicity.ToxicityModel({"bad": 1.5, "badly": 2.0, "vile rat": 3.0, "rat": 1.0}, ["not bad", "rat race"])
+    matcher = toxicity.Matcher(model)
+    parts = ["bad", "badly", "b4d", "not", "vile", "rat", "race", "rats", "b\u0430d", " ", " ", "\n", ".", "5", "x", "ok"]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) + rng.choice(("", " ")) for _ in range(rng.randrange(14)))
+        plain = " ".join(text.lower().translate(toxicity._FOLD).split())
+        folded = plain.translate(toxicity._DIGITS)
+
+        def places(term):
+            for at in range(len(folded) - len(term) + 1):
+                before, after = plain[:at].rstrip("0123456789"), plain[at + len(term) :].lstrip("0123456789")
+                if folded[at : at + len(term)] == term and not before[-1:].isalpha() and not after[:1].isalpha():
+                    yield at, at + len(term) - 1
+
+        hidden = {p for e in model.exceptions for a, b in places(e) for p in range(a, b + 1)}
+        total = sum(w for t, w in model.weights.items() for a, b in places(t) if not (a in hidden and b in hidden))
+        assert matcher.level(text) == pytest.approx(total / np.log2(2 + folded.count(" ")) if total else 0.0), text
+
+
+def test_lexicon_is_not_cut(spark):
+    """All terms and exceptions that qualify are kept, however many and whatever they begin with."""
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(10_000 + i))
+    rows = [(f"{before} q{name(i)}", 1) for i in range(1100) for before in ("ka", "ke", "ki", "ko", "ku", "ky", "la", "le", "li", "lo", "lu", "ly", "ma", "me")]
+    rows += [(f"z{name(i)[:3]} q{name(i)}", 0) for i in range(1100) for _ in range(3)] + [(f"plain {name(i)}", 0) for i in range(30_000)]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, label int"))
+    assert {f"q{name(i)}" for i in range(1100)} <= set(model.weights)
+    assert {f"z{name(i)[:3]} q{name(i)}" for i in range(1100)} <= set(model.exceptions)
+
+
+def test_language_against_a_plain_kernel(spark):
+    """Sets of n-grams, their kernel with the landmarks, and the regressions, one text at a time."""
+    import pyarrow as pa
+
+    texts = [r["text"] for r in queries.table(spark, SF, "documents").where("length(text) < 3000").limit(25).collect()] + ["a", "漢字 かな", "Ab"]
+    model = langid.train(training.sample_by_value(queries.table(spark, SF, "documents"), "lang", 3, 1, 20))
+    width = model.landmarks.shape[1]
+
+    def grams(text):
+        raw, places = H.lower_az(text).encode(), set()
+        for n in langid.GRAMS:
+            for at in range(len(raw) - n + 1):
+                places.add(((int.from_bytes(raw[at : at + n], "big") * 2654435761 + (n * 0x9E3779B1 & 0xFFFFFFFF)) & 0xFFFFFFFF) >> (32 - width.bit_length() + 1))
+        return places
+
+    out = langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    marks = [set(np.flatnonzero(m)) for m in model.landmarks]
+    for r in out:
+        own = grams(texts[r["doc_id"]])
+        kernel = np.array([len(own & m) / np.sqrt(max(len(own), 1) * len(m)) for m in marks])
+        margins = kernel @ model.weights * 4
+        shares = np.exp(margins - margins.max())
+        assert r["lang_pred"] == model.languages[int(margins.argmax())] and r["score"] == pytest.approx(float((shares / shares.sum()).max()), abs=2e-4)
+    clash = spark.createDataFrame([(1, "x", "own", "a")], "doc_id long, text string, __language string, found string")
+    assert langid.predict(clash, model).first().asDict().items() >= {"__language": "own", "found": "a"}.items()
+    assert langid.identify(H.empty_docs(spark)).count() == 0
+
+
+def test_language_sample_of_hot_ids_and_values(spark):
+    rows = [(7, f"text {i}", "xx") for i in range(300)] + [(100 + i, f"other {i}", f"l{i % 3}") for i in range(300)] + [(None, "none", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = training.sample_by_value(docs, "lang", 3, 5, 20).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in drawn} == {"xx": 1, "l0": 20, "l1": 20, "l2": 20}
+    few = training.sample_by_value(docs, "lang", 3, 5, 20, max_bytes=160)
+    assert 0 < few.agg(F.sum(F.octet_length("text"))).first()[0] <= 160
+
+
+def test_quality_against_a_plain_average(spark):
+    """Each feature's number taken by itself and averaged, then the softmax of two outputs."""
+    import pyarrow as pa
+
+    from vocspark.llm import textarrays
+
+    rng = np.random.default_rng(3)
+    model = quality.QualityModel(rng.normal(size=1 << 10).astype(np.float32), -0.3, 10)
+    texts = ["Word word another  word", "", "a", "ünï cödé 漢字\tx", "one two two two", " \n", "q" * 50]
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ x >> shift) * factor) & mask
+        return x ^ x >> 31
+
+    def polynomial(raw):
+        return sum(int(textarrays._VALUES[b]) * pow(textarrays._BASE, i, 1 << 64) for i, b in enumerate(raw)) & mask
+
+    def features(text):
+        raw = text.encode()
+        hashes = [mixed(polynomial(w)) for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+        yield from (h >> 54 for h in hashes)
+        yield from (mixed((a * 0x9E3779B97F4A7C15 + b) & mask) >> 54 for a, b in zip(hashes, hashes[1:]))
+        for n in quality.GRAMS:
+            for at in range(len(raw) - n + 1):
+                yield ((int.from_bytes(bytes([n]) + raw[at : at + n], "big") * 0x9E3779B97F4A7C15) & mask) >> 54
+
+    scores = quality.score_texts(pa.array(texts), model)
+    for text, score in zip(texts, scores):
+        own = [float(model.logit[f]) for f in features(text)]
+        out = np.exp([0.0, (sum(own) / len(own) if own else 0.0) + model.bias])
+        assert score == pytest.approx(out[1] / out.sum(), abs=2e-6)
+
+
 # --- chat
 def test_chat_equals_sql(spark, con):
     same(queries.op8_chat_formatting(spark, SF), con, chat.ORACLE_SQL)
@@ -162,6 +276,31 @@ def test_chat_spans_and_rewrites(spark):
     assert {(r["conv_id"], r["n_turns"], r["loss_chars"]) for r in out} == {(1, 3, 0), (None, 1, 0)}
 
 
+def test_chat_turns_are_located_in_their_own_place():
+    """Headers with the turn's number, and a rewrite at one length only."""
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(130)]
+    numbered = lambda t: "".join(f"<{i}:{r}>{x}</>" for i, (r, x) in enumerate(t))
+    text, spans, rewrites = chat.turn_spans(numbered, turns)
+    assert not rewrites and [text[s[2] : s[3]] for s in spans] == [t for _, t in turns]
+    assert all(text[s[0] : s[1]] == f"<{i}:{turns[i][0]}>{turns[i][1]}</>" for i, s in enumerate(spans))
+    once = lambda t: ("!" if len(t) == 97 else "") + numbered(t)
+    assert chat.turn_spans(once, turns)[1:] == ([], True)
+
+
+def test_chat_template_that_depends_on_the_text():
+    sized = lambda t: "".join(f"{len(x)}:{x}{'*' * len(x)};" for _, x in t)
+    spans = chat.turn_spans(sized, [("user", "a"), ("assistant", "long text"), ("assistant", "b")])[1]
+    assert [s[4] for s in spans] == [False, False, True] and spans[1][2:4] == (None, None)
+
+
+def test_chat_edge_tables(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "q", "x", "y"), (-1, 5, "user", "own", "x", "y"), (2, None, None, "", "x", "y")], "conv_id long, turn long, role string, text string, turns string, formatted string")
+    out = {r["conv_id"]: r["n_turns"] for r in chat.digests(chat.format_conversations(chat.with_hostile(rows))).collect()}
+    assert out == {1: 1, 2: 1, -1: 3}
+    assert chat.format_conversations(rows.limit(0)).count() == 0
+    assert [r["conv_id"] for r in chat.digests(chat.format_conversations(chat.with_hostile(rows.limit(0)))).collect()] == [-1]
+
+
 # --- packing
 def check_packing(rows, docs, tokenizer):
     pieces = {}
@@ -192,7 +331,7 @@ def test_packing(spark):
     used = check_packing(rows, docs, tokenizer)
     assert used <= sum(r["length"] for r in rows) / 4096 * 1.02 + 2
     table = queries.table(spark, SF, "documents")
-    assert check_packing(packing.pack_documents(table, queries.tokenizer_path(), docs_per_shard=16).collect(), docs, tokenizer) <= used * 1.1
+    assert check_packing(packing.pack_documents(table, queries.tokenizer_path(), per_shard=16).collect(), docs, tokenizer) <= used * 1.1
     odd = ["<|endoftext|>a .,b 'S don't İK ẞ ß  x́", "a b c\x1cd", "\x00 x. y,", None, "", "wörd. Straße, é."]
     frame = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
     check_packing(packing.pack_documents(frame, queries.tokenizer_path()).collect(), list(enumerate(odd)), tokenizer)
@@ -200,6 +339,32 @@ def test_packing(spark):
     assert packing.pack_documents(H.empty_docs(spark), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_of_pieces_that_never_fit_together(spark):
+    """Documents of 2,100 tokens: no level gathers them in one group."""
+    pieces = spark.range(20_000).selectExpr("cast(if(id % 3 = 0, null, 5) as long) as doc_id", "0 as piece", "0L as start", "2100L as length", "1L as ids_crc32")
+    rows = packing.pack(pieces, per_shard=1000).collect()
+    assert len({r["sequence_id"] for r in rows}) == 20_000 and all(r["offset"] == 0 for r in rows)
+    groups = np.unique([r["sequence_id"] >> 32 for r in rows], return_counts=True)[1]
+    assert groups.max() <= 1200
+    whole = spark.range(300).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id % 2 = 0, 4096L, 1L) as length", "1L as ids_crc32")
+    assert len({r["sequence_id"] for r in packing.pack(whole, per_shard=50).collect()}) == 151
+
+
+def test_packing_levels_cost_no_sequence(spark):
+    """What the share of open sequences that is packed again leaves out changes nothing here."""
+    rng = np.random.default_rng(5)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), 1) for i, n in enumerate(np.minimum(rng.lognormal(6, 1, 6000), 4096).clip(1))], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    used = [packing.pack(pieces, per_shard=400, repack=share).select("sequence_id").distinct().count() for share in (15 / 16, 1.0)]
+    assert used[0] <= used[1] + 1 and used[0] <= pieces.agg(F.sum("length")).first()[0] / 4096 * 1.01 + 2
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        packing.WordTokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_sum_of_squares_rule():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 400)
@@ -233,8 +398,9 @@ def test_pipeline(spark, tmp_path):
         if i < 4:
             assert out.columns == docs.columns
             assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in before.collect()}
-        if name == "line_dedup":
-            assert out.count() == before.count()
+        if name == "line_dedup":  # none without text is left that had some
+            had = {r["doc_id"] for r in before.where("trim(text) <> ''").collect()}
+            assert not had & {r["doc_id"] for r in out.where("coalesce(trim(text), '') = ''").collect()}
         if name == "benchmark_decontamination":
             assert decontamination.contamination(out, queries.table(spark, SF, "benchmark")).where("contaminated").count() == 0
         if name == "minhash_near_dedup":
@@ -244,6 +410,40 @@ def test_pipeline(spark, tmp_path):
     assert P.run(spark, SF).count() == before.count()
 
 
+def test_pipeline_edge_rows(spark, monkeypatch):
+    """Null, empty and repeated rows, clashing columns, and empty tables, in every stage; near copies by lines and as a whole."""
+    import corpus_pipeline as P
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id string, text string")
+    monkeypatch.setattr(queries, "table", lambda _, __, name: labels if name == "labels" else bench)
+    docs = H.edge_docs(spark)
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        out = stage(spark, docs, SF)
+        assert name == "best_fit_packing" or out.columns == list(P.COLUMNS)
+        rows = out.collect()
+        ids = [r["doc_id"] for r in rows]
+        if name == "line_dedup":  # the texts of 5 and 6 are another row's, and nothing is left of them
+            assert not {5, 6} & set(ids) and {1, 2, 3, 4, 8} <= set(ids)
+        elif name == "minhash_near_dedup":
+            assert {1, 2, 3, 4, 5, 8, 9, 10} <= set(ids) and not {6, 7} & set(ids)
+        elif name == "benchmark_decontamination":
+            assert len(rows) == 13
+        elif name == "best_fit_packing":
+            assert len({(r["doc_id"], r["piece"]) for r in rows}) >= 11
+
+
+def test_line_dedup_stage_and_remnants(spark):
+    import corpus_pipeline as P
+
+    lines = [f"line {i} has some words of its own like w{i * 7919} and v{i * 104729}" for i in range(12)]
+    texts = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "\n".join([*lines[:10], "a new one here"])), (4, "\n".join([*lines[:4], *[x.replace("own", "strange") + " differing" for x in lines[4:]]])), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r for r in P.line_dedup(spark, docs, SF).collect()}
+    assert set(out) == {1, 4, 5, 6} and out[1]["text"] == texts[0][1] and out[4]["n_chars"] == len(out[4]["text"])
+
+
 def neardup_clean(docs):
     from vocspark.llm import neardup
 
