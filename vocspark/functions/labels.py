@@ -79,11 +79,34 @@ def bucket(c: Column | str, buckets: int = 100) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(_col(c), F.lit(""))), 1, 8), 16, 10).cast("long") % buckets
 
 
+# Support handles, their companies, and the regions of those that have one of their own.
+COMPANY_OF_HANDLE = (
+    ("AmazonHelp", "Amazon"), ("AppleSupport", "Apple"), ("Uber_Support", "Uber"), ("Delta", "Delta Air Lines"), ("SpotifyCares", "Spotify"),
+    ("AmericanAir", "American Airlines"), ("British_Airways", "British Airways"), ("comcastcares", "Comcast / Xfinity"), ("XboxSupport", "Microsoft Xbox"), ("VirginTrains", "Virgin Trains"),
+    ("TMobileHelp", "T-Mobile"), ("SouthwestAir", "Southwest Airlines"), ("Tesco", "Tesco"), ("hulu_support", "Hulu"), ("AskPlayStation", "Sony PlayStation"),
+    ("Safaricom_Care", "Safaricom"), ("VerizonSupport", "Verizon"), ("ChipotleTweets", "Chipotle"), ("sprintcare", "Sprint"), ("Ask_Spectrum", "Charter Spectrum"),
+)
+OTHER_COMPANY = "Global Enterprise"
+REGION_OF_HANDLES = (
+    ("Europe", ("British_Airways", "SpotifyCares", "VirginTrains", "Tesco")),
+    ("North America", ("Delta", "AmericanAir", "comcastcares", "TMobileHelp", "SouthwestAir", "hulu_support", "VerizonSupport", "ChipotleTweets", "sprintcare", "Ask_Spectrum", "AppleSupport")),
+    ("Middle East & Africa", ("Safaricom_Care",)),
+)
+
+
+def company_of_handle(c: Column | str) -> Column:
+    """The company of a support handle, else the common name of all others."""
+    known = F.create_map(*(F.lit(x) for pair in COMPANY_OF_HANDLE for x in pair))
+    return F.coalesce(F.element_at(known, F.coalesce(_col(c), F.lit(""))), F.lit(OTHER_COMPANY))
+
+
 def region(c: Column | str) -> Column:
-    """A region by the value's bucket of 100."""
+    """The region of a known handle, else one by the value's bucket of 100."""
     b, name = bucket(c), F.lit(REGION_REST)
     for cut, label in reversed(REGION_CUTS):
         name = F.when(b < cut, label).otherwise(name)
+    for label, handles in reversed(REGION_OF_HANDLES):
+        name = F.when(_col(c).isin(*handles), label).otherwise(name)
     return name
 
 

@@ -23,7 +23,7 @@ def any_of(c: Column, words: Iterable[str]) -> Column:
 
 def whole_word(words: Iterable[str]) -> str:
     """A pattern for one of ``words`` between characters that are neither letters, digits nor underscores."""
-    return rf"(^|[^{LETTER}])({'|'.join(words)})($|[^{LETTER}])"
+    return rf"(?<![{LETTER}])(?:{'|'.join(words)})(?![{LETTER}])"
 
 
 def clean_text(c: Column | str) -> Column:
@@ -38,13 +38,20 @@ def simple_clean(c: Column | str) -> Column:
 
 
 def detect_language(c: Column | str) -> Column:
-    """Two-letter code by the first rule that fits, else en."""
-    text, found = _text(c), F.lit("en")
+    """Two-letter code by the first rule that fits, else en.
+
+    One expression over all words and one over all scripts tell texts that no rule fits.
+    """
+    text = _text(c)
+    script = F.lit("en")
     for code, first, last in reversed(W.LANGUAGE_SCRIPTS):
-        found = F.when(text.rlike(f"[{first}-{last}]"), code).otherwise(found)
-    for code, words in reversed(W.LANGUAGE_WORDS):
-        found = F.when(text.rlike("(?iu)" + whole_word(words)), code).otherwise(found)
-    return found
+        script = F.when(text.rlike(f"[{first}-{last}]"), code).otherwise(script)
+    word = F.lit(W.LANGUAGE_WORDS[-1][0])
+    for code, words in reversed(W.LANGUAGE_WORDS[:-1]):
+        word = F.when(text.rlike("(?iu)" + whole_word(words)), code).otherwise(word)
+    any_word = "(?iu)" + whole_word(dict.fromkeys(w for _, words in W.LANGUAGE_WORDS for w in words))
+    any_script = "[" + "".join(f"{first}-{last}" for _, first, last in W.LANGUAGE_SCRIPTS) + "]"
+    return F.when(text.rlike(any_word), word).when(text.rlike(any_script), script).otherwise("en")
 
 
 def sentiment_fast(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ LANGUAGE_WORDS = (
     ("fr", ("merci", "bonjour", "bonsoir", r"s'il\s+vous\s+plaît", r"je\s+suis", r"je\s+voudrais", "commande", "livraison", "remboursement", "annulation", "compte", "problème", "paiement")),
     ("de", ("danke", "bitte", r"guten\s+(?:tag|morgen|abend)", r"ich\s+habe", "bestellung", "lieferung", "zahlung", "rückerstattung", "konto", "problem", "fehler")),
 )
-LANGUAGE_SCRIPTS = (("ja", "぀", "ヿ"), ("zh", "一", "鿿"), ("ko", "가", "힯"), ("ar", "؀", "ۿ"), ("hi", "ऀ", "ॿ"), ("ru", "Ѐ", "ӿ"))
+LANGUAGE_SCRIPTS = (("ja", "\u3040", "\u30ff"), ("zh", "\u4e00", "\u9fff"), ("ko", "\uac00", "\ud7af"), ("ar", "\u0600", "\u06ff"), ("hi", "\u0900", "\u097f"), ("ru", "\u0400", "\u04ff"))
 
 # Sentiment, fast form.
 NEGATIVE_STEMS = ("crash", "error", "fail", "bad", "worst", "cancel", "slow", "down", "broken", "problem", "horrible", "issue", "refund", "unstable", "hate", "terrible", "sucks", "delay", "stuck", "fix", "wrong", "locked")

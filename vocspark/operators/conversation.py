@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vocspark.functions import text as T
 from vocspark.functions import wordlists as W
 from vocspark.operators import threads
+from vocspark.sources.scratch import Scratch
+
 
 def _in_order() -> WindowSpec:
     return Window.partitionBy("conversation_id").orderBy("created_at", "tweet_id")
@@ -21,9 +23,15 @@ def states(messages: DataFrame) -> DataFrame:
     """One row per conversation: counts, and whether it was reopened, resolved, escalated.
 
     Reopened: a customer writes right after an agent. Resolved: the last message is an agent's.
-    Escalated: a customer's message is urgent or negative. Ties in time follow the id.
+    Escalated: a customer's message is urgent or negative. Ties in time follow the id. Messages
+    without a column conversation_id are one conversation: resolved if an agent wrote at all,
+    never reopened.
     """
     urgent = F.lower("priority").isin(list(W.URGENT)) | (F.lower("sentiment") == "negative")
+    if "conversation_id" not in messages.columns:
+        counts = (F.count("*").alias("messages_count"), F.count_if("inbound").alias("customer_messages_count"), F.count_if(~F.col("inbound")).alias("agent_messages_count"))
+        whole = messages.agg(*counts, _any(~F.col("inbound")).alias("resolved"), _any(F.col("inbound") & urgent).alias("escalated")).where("messages_count > 0")
+        return whole.select(F.lit(None).cast("string").alias("conversation_id"), "messages_count", "customer_messages_count", "agent_messages_count", F.lit(False).alias("reopened"), "resolved", "escalated")
     m = messages.withColumn("_after_agent", F.coalesce(~F.lag("inbound").over(_in_order()), F.lit(False))).withColumn("_last", F.lead("tweet_id").over(_in_order()).isNull())
     return m.groupBy("conversation_id").agg(
         F.count("*").alias("messages_count"),
@@ -113,9 +121,12 @@ def global_kpis(messages: DataFrame) -> DataFrame:
 
 
 def batch_rows(messages: DataFrame) -> DataFrame:
-    """Messages with conversation ids, issue labels, response times and proxies: the base of the wide output."""
+    """Messages with conversation ids, issue labels, response times and proxies: the base of the wide output.
+
+    A written table, as most of what is built on it reads it several times.
+    """
     m = label_issues(messages)
-    return proxies(threads.response_times(m, allow_negative=True))
+    return Scratch(messages.sparkSession, "batch-rows").keep(proxies(threads.response_times(m, allow_negative=True)))
 
 
 WIDE = (

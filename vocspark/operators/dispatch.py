@@ -5,11 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vocspark.operators import compare, conversation, filters, kpi, trends
+
+
+
+def _topics_and_flags(messages: DataFrame, kind: str) -> DataFrame:
+    """One kind of ``compare.issue_sets`` of the newest run against the run before it."""
+    runs = messages.groupBy("dataset_run_id").agg(F.max("created_at").alias("at")).orderBy(F.desc("at"), F.desc("dataset_run_id")).limit(2)
+    runs = [r["dataset_run_id"] for r in runs.collect()]  # two names
+    now = messages.where(F.col("dataset_run_id") == runs[0]) if runs else messages
+    before = messages.where(F.col("dataset_run_id") == runs[1]) if len(runs) > 1 else messages.limit(0)
+    sets = compare.issue_sets(kpi.topics_batch(now), kpi.topics_batch(before), compare.flags_of(now))
+    return sets.where(F.col("kind") == kind)
+
+
+def _root_causes(messages: DataFrame) -> DataFrame:
+    means = messages.agg(F.avg("response_time_minutes").alias("av"), (F.avg(F.col("reopened").cast("int")) * 100).alias("ro"))
+    return kpi.root_causes(kpi.topics_batch(messages).crossJoin(F.broadcast(means)), F.col("av"), F.col("ro"))  # one row of means
+
+
+def _delta(messages: DataFrame) -> DataFrame:
+    """The last 30 days against all."""
+    newest = messages.agg((F.max("created_at") - F.expr("interval 30 days")).alias("_since"))
+    rows = messages.crossJoin(F.broadcast(newest))  # one row
+    return compare.deltas(compare.sides(rows, F.col("created_at") >= F.col("_since"), F.lit(True)))
 
-from vocspark.operators import conversation, filters, kpi, trends
 
 METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "overall": kpi.overall, "direct_rates": kpi.direct_rates, "sla": kpi.sla_tiers, "sentiment": kpi.sentiment_distribution, "csat": kpi.csat, "weighted_sentiment": kpi.weighted_sentiment, "dimensions": kpi.dimension_breakdown,
+    "kpi_summary": kpi.overall, "response_time": lambda m: m.agg(F.avg("response_time_minutes").alias("average_response_time_minutes")), "sla_turnaround": kpi.sla_tiers,
+    "resolution_rate": lambda m: kpi.overall(m).select("resolution_rate"), "escalation_rate": lambda m: kpi.overall(m).select("escalation_rate"), "reopen_rate": lambda m: kpi.direct_rates(m).select("reopen_rate"),
+    "fcr": lambda m: kpi.direct_rates(m).select("fcr_rate"), "csat_proxy": kpi.csat, "sentiment": kpi.sentiment_distribution, "sentiment_trend": trends.live, "issue_trends": trends.live,
+    "emerging_issues": lambda m: _topics_and_flags(m, "emerging"), "recurring_issues": lambda m: _topics_and_flags(m, "recurring"), "priorities": lambda m: kpi.priorities(kpi.topics_batch(m)), "root_causes": _root_causes,
+    "cluster_sentiment_stats": lambda m: kpi.cluster_stats(kpi.topics_batch(m)), "dimension_breakdowns": kpi.dimension_breakdown, "available_dimensions": kpi.spans,
+    "solution_impact": lambda m: kpi.recommendations(kpi.topics_live(m), kpi.overall(m)), "comparative_delta": _delta, "customer_pain_points": lambda m: kpi.cluster_stats(kpi.topics_batch(m)),
+    # further ones, and short names
+    "overall": kpi.overall, "direct_rates": kpi.direct_rates, "sla": kpi.sla_tiers, "csat": kpi.csat, "weighted_sentiment": kpi.weighted_sentiment, "dimensions": kpi.dimension_breakdown,
     "companies": kpi.company_list, "spans": kpi.spans, "topics": kpi.topics_live, "topics_batch": kpi.topics_batch, "samples": kpi.topic_samples, "multiplier": kpi.escalation_multiplier, "quality": kpi.quality_scores,
     "states": conversation.states, "rates": lambda m: conversation.rates(conversation.states(m)), "trend": trends.live, "batch_trend": trends.batch, "multi_period": trends.multi_period, "spikes": trends.spike_flags, "hourly": trends.hourly_zscore,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -184,6 +185,8 @@ RECOMMENDATIONS = (
     (("network", "wifi", "signal", "outage", "coverage", "internet"), "Infrastructure", "High Impact", "Audit regional POP server latency and publish real-time network status indicators."),
     ((), "Support Operations", "Operational", "Update frontline support decision trees and deploy targeted priority macros."),
 )
+WHY_TOPIC = "{volume} conversations with {negative}% negative sentiment."
+WHY_SLOW = "Average response time is {response} minutes."
 SLA_ALERT = ("Support Operations", "SLA Alert", "Slow first response", "Route high-negative-sentiment conversations to a priority queue with a tighter SLA.")
 
 
@@ -194,40 +197,76 @@ def _rule(low: Column, rules, field: int) -> Column:
     return value
 
 
+def _tenth(c: Column) -> Column:
+    return F.format_string("%.1f", F.round(c, 1))
+
+
+def _filled(sentence: str, **values: Column) -> Column:
+    """A sentence with its {names} replaced by values."""
+    parts = re.split(r"\{(\w+)\}", sentence)
+    return F.concat(*(values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+
 def recommendations(topics: DataFrame, kpis: DataFrame) -> DataFrame:
-    """Up to six actions: an SLA alert first if answers take over an hour, then one per leading topic."""
+    """Up to six actions with their reason: an SLA alert first if answers take over an hour, then one per leading topic."""
     low = F.lower(F.concat_ws(" ", "topic_keywords", "cluster_name"))
-    rows = topics.where("rank <= 5").select(F.col("rank").alias("no"), _rule(low, RECOMMENDATIONS, 1).alias("owner"), _rule(low, RECOMMENDATIONS, 2).alias("impact"), F.col("cluster_name").alias("issue"), _rule(low, RECOMMENDATIONS, 3).alias("action"))
+    why = _filled(WHY_TOPIC, volume=F.format_number("volume", 0), negative=_tenth(F.col("negative_percentage")))
+    rows = topics.where("rank <= 5").select(F.col("rank").alias("no"), _rule(low, RECOMMENDATIONS, 1).alias("owner"), _rule(low, RECOMMENDATIONS, 2).alias("impact"), F.col("cluster_name").alias("issue"), why.alias("why"), _rule(low, RECOMMENDATIONS, 3).alias("action"))
     owner, impact, issue, action = SLA_ALERT
-    alert = kpis.where("avg_response_time_minutes > 60").select(F.lit(0).alias("no"), F.lit(owner).alias("owner"), F.lit(impact).alias("impact"), F.lit(issue).alias("issue"), F.lit(action).alias("action"))
+    slow = _filled(WHY_SLOW, response=_tenth(F.col("avg_response_time_minutes")))
+    alert = kpis.where("avg_response_time_minutes > 60").select(F.lit(0).alias("no"), F.lit(owner).alias("owner"), F.lit(impact).alias("impact"), F.lit(issue).alias("issue"), slow.alias("why"), F.lit(action).alias("action"))
     return alert.unionByName(rows).withColumn("rank", F.row_number().over(Window.orderBy("no"))).where("rank <= 6").drop("no")
 
 
-# Likely cause and owner by words of a topic.
+# Likely cause, owner, evidence and fix by words of a topic.
 ROOT_CAUSES = (
-    (("delivery", "order", "track", "shipment"), "Carrier transit delays, warehouse fulfillment bottlenecks, and tracking status sync lag", "Supply Chain & Logistics"),
-    (("crash", "freeze", "bug", "glitch", "stability"), "Client build regressions, memory leaks on specific OS versions, and unhandled runtime exceptions", "Mobile & Frontend Engineering"),
-    (("bill", "charge", "invoice", "payment"), "Payment gateway timeout retries, double billing authorizations, and unclear subscription recurring terms", "Billing & Payments"),
-    (("login", "password", "auth", "2fa"), "SMS OTP delivery latency, session token timeout expiry, and account lockout friction", "Identity & Security"),
-    (("refund", "cancel", "dispute", "return"), "Delayed bank settlement timelines, multi-day merchant approval queues, and lack of return visibility", "Finance Operations"),
-)
-SLOW_CAUSE = ("Support queue triage bottleneck and complex multi-agent ticket transfers", "Support Operations")
-REOPEN_CAUSE = ("Premature ticket closure without verified issue resolution", "Support Quality Assurance")
-OTHER_CAUSE = ("Standard operational support inquiries and general service assistance", "Customer Care")
+    (("delivery", "order", "track", "shipment"), "Carrier transit delays, warehouse fulfillment bottlenecks, and tracking status sync lag", "Supply Chain & Logistics",
+     "Concentrated delivery inquiries ({volume} cases) with {negative}% negative customer tone.",
+     "Integrate real-time carrier tracking webhooks, dispatch proactive delivery ETA notifications, and implement automated one-click reship/credit workflows."),
+    (("crash", "freeze", "bug", "glitch", "stability"), "Client build regressions, memory leaks on specific OS versions, and unhandled runtime exceptions", "Mobile & Frontend Engineering",
+     "Spike in crash and error reports ({volume} cases) generating high escalation velocity.",
+     "Deploy hotfix release addressing top crash stack traces, add automated client exception monitoring, and configure canary release rollbacks."),
+    (("bill", "charge", "invoice", "payment"), "Payment gateway timeout retries, double billing authorizations, and unclear subscription recurring terms", "Billing & Payments",
+     "Billing dispute volume ({volume} cases) exhibiting elevated manager escalation rates.",
+     "Audit payment gateway retry logic, publish instant charge confirmation receipts, and create a priority billing dispute resolution queue."),
+    (("login", "password", "auth", "2fa"), "SMS OTP delivery latency, session token timeout expiry, and account lockout friction", "Identity & Security",
+     "Repeated authentication failures ({volume} cases) driving customer repeat contact.",
+     "Implement multi-provider OTP fallbacks, introduce biometric authentication recovery, and provide self-service automated password reset."),
+    (("refund", "cancel", "dispute", "return"), "Delayed bank settlement timelines, multi-day merchant approval queues, and lack of return visibility", "Finance Operations",
+     "Refund status inquiries ({volume} cases) driving high reopen rates.",
+     "Automate instant wallet credits for pre-verified return scans and provide clear 3-5 day settlement progress trackers."),
+)
+SLOW_CAUSE = (
+    "Support queue triage bottleneck and complex multi-agent ticket transfers", "Support Operations",
+    "Mean response SLA of {response}m significantly exceeds baseline average of {average}m.",
+    "Implement automated intent-based routing to dedicated subject matter queues and configure automated response macros.",
+)
+REOPEN_CAUSE = (
+    "Premature ticket closure without verified issue resolution", "Support Quality Assurance",
+    "High thread reopen rate of {reopen}% indicates incomplete first-contact resolution.",
+    "Introduce mandatory customer resolution confirmation checks prior to case closure and revise agent troubleshooting scripts.",
+)
+OTHER_CAUSE = (
+    "Standard operational support inquiries and general service assistance", "Customer Care",
+    "Routine customer service demand ({volume} cases) resolved through standard channels.",
+    "Publish self-service FAQ knowledge base articles and expand AI automated deflection capabilities.",
+)
 
 
 def root_causes(topics: DataFrame, avg_response: Column, reopen_rate: Column, top: int = 6) -> DataFrame:
-    """Likely cause, owner and severity of the first eight topics; the ``top`` by severity."""
+    """Likely cause, owner, evidence, fix and severity of the first eight topics; the ``top`` by severity."""
     low = F.lower("topic_keywords")
+    values = {"volume": F.format_number("volume", 0), "negative": _tenth(F.col("negative_percentage")), "response": _tenth(F.col("avg_response_time")), "average": _tenth(avg_response), "reopen": _tenth(reopen_rate)}
 
     def field(i: int) -> Column:
-        value = F.when(F.col("avg_response_time") > F.greatest(F.lit(60.0), avg_response * 1.15), SLOW_CAUSE[i - 1]).when(reopen_rate > 15, REOPEN_CAUSE[i - 1]).otherwise(OTHER_CAUSE[i - 1])
-        for row in reversed(ROOT_CAUSES):
-            value = F.when(T.any_of(low, row[0]), row[i]).otherwise(value)
+        say = lambda row: _filled(row[i], **values)
+        value = F.when(F.col("avg_response_time") > F.greatest(F.lit(60.0), avg_response * 1.15), say(SLOW_CAUSE)).when(reopen_rate > 15, say(REOPEN_CAUSE)).otherwise(say(OTHER_CAUSE))
+        for words, *row in reversed(ROOT_CAUSES):
+            value = F.when(T.any_of(low, words), say(row)).otherwise(value)
         return value
 
     severity = F.col("volume") * (F.col("negative_percentage") / 100 + 0.2) + F.col("escalation_cases") * 0.5 + F.greatest(F.lit(0.0), F.col("avg_response_time") - 60) / 20
-    out = topics.where("rank <= 8").select("topic_keywords", "cluster_name", field(1).alias("likely_root_cause"), field(2).alias("owner"), severity.alias("severity_score"), "volume")
+    out = topics.where("rank <= 8").select("topic_keywords", "cluster_name", *(field(i).alias(name) for i, name in enumerate(("likely_root_cause", "owner", "evidence", "recommended_fix"))), severity.alias("severity_score"), "volume")
     return out.withColumn("severity_rank", F.row_number().over(Window.orderBy(F.desc("severity_score"), "topic_keywords"))).where(F.col("severity_rank") <= top)
 
 

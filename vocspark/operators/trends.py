@@ -27,18 +27,26 @@ def live(messages: DataFrame, granularity: str = "day") -> DataFrame:
     return out.withColumn("resolution", F.when(F.col("_in") > 0, F.least(F.lit(100.0), F.col("_out") / F.col("_in") * 100)).otherwise(0.0)).drop("_in", "_out")
 
 
-def batch(messages: DataFrame, granularity: str = "daily") -> DataFrame:
-    """Counts by tone with flag-based escalation and resolution; a resolution of 0 falls back to the status column."""
+def _batch(messages: DataFrame, granularity: str, *more: Column) -> DataFrame:
     status = F.lower("resolution_status").isin(list(W.RESOLVED_STATUSES))
-    out = messages.where("created_at is not null").groupBy(period(granularity).alias("period")).agg(F.count("*").alias("total"), _count("positive").alias("positive"), _count("neutral").alias("neutral"), _count("negative").alias("negative"), (F.avg(F.col("escalated").cast("int")) * 100).alias("escalation"), (F.avg(F.col("fcr").cast("int")) * 100).alias("_flag"), (F.avg(F.coalesce(status, F.lit(False)).cast("int")) * 100).alias("_status"))
+    rate = lambda c: F.avg(c.cast("int")) * 100
+    out = messages.where("created_at is not null").groupBy(period(granularity).alias("period")).agg(
+        F.count("*").alias("total"), _count("positive").alias("positive"), _count("neutral").alias("neutral"), _count("negative").alias("negative"),
+        rate(F.col("escalated")).alias("escalation"), rate(F.col("fcr")).alias("_flag"), rate(F.coalesce(status, F.lit(False))).alias("_status"), *more,
+    )
     return out.withColumn("resolution", F.when(F.col("_flag") > 0, F.col("_flag")).otherwise(F.col("_status"))).drop("_flag", "_status")
 
 
+def batch(messages: DataFrame, granularity: str = "daily") -> DataFrame:
+    """Counts by tone with flag-based escalation and resolution; a resolution of 0 falls back to the status column."""
+    return _batch(messages, granularity)
+
+
 def multi_period(messages: DataFrame, granularity: str = "daily") -> DataFrame:
     """Total, resolution, average response, and count and share of negative and positive, per period."""
-    out = batch(messages, granularity).select("period", "total", "resolution", "negative", "positive")
-    response = messages.where("created_at is not null").groupBy(period(granularity).alias("period")).agg(F.coalesce(F.avg("response_time_minutes"), F.lit(0.0)).alias("avg_response"))
-    return out.join(response, "period").withColumn("negative_percentage", F.col("negative") / F.col("total") * 100).withColumn("positive_percentage", F.col("positive") / F.col("total") * 100)
+    out = _batch(messages, granularity, F.coalesce(F.avg("response_time_minutes"), F.lit(0.0)).alias("avg_response"))
+    share = lambda c: (F.col(c) / F.col("total") * 100).alias(f"{c}_percentage")
+    return out.select("period", "total", "resolution", "negative", "positive", "avg_response", share("negative"), share("positive"))
 
 
 def daily_volumes(messages: DataFrame, category: str = "topic_keywords") -> DataFrame:

@@ -36,6 +36,15 @@ _TARGET = T.StructType([T.StructField("TWEET_ID", T.LongType()), T.StructField("
 over_events("a3_match_columns", lambda m: io.match_columns(m, _TARGET).withColumnsRenamed({"TWEET_ID": "tweet_id", "Author_Id": "author_id", "RESPONSE_TIME_MINUTES": "minutes", "MISSING": "missing"}), "select tweet_id, author_id, response_time_minutes as minutes, cast(null as varchar) as missing from ev")
 
 
+def _a3_bad(spark, d):
+    raw = adapters.from_events(spark, d).select(F.when(F.col("tweet_id") % 7 == 0, F.concat(F.lit("n"), "tweet_id")).otherwise(F.col("tweet_id").cast("string")).alias("Tweet_ID"), F.col("author_id"), F.when(F.col("tweet_id") % 5 == 0, F.lit("slow")).when(F.col("tweet_id") % 3 != 0, F.col("response_time_minutes").cast("string")).alias("response_time_minutes"))
+    good, bad = io.match_rows(raw, _TARGET)
+    return good.groupBy(F.lit("").alias("bad_columns")).agg(F.count("*").alias("n"), F.sum(F.coalesce("TWEET_ID", F.lit(0))).alias("ids")).unionByName(bad.groupBy(F.array_join("bad_columns", ",").alias("bad_columns")).agg(F.count("*").alias("n"), F.sum(F.regexp_replace("Tweet_ID", "n", "").cast("long")).alias("ids")))
+
+
+register("a3_bad_rows", _a3_bad, f"{_EV}, r as (select tweet_id, concat_ws(',', case when tweet_id % 7 = 0 then 'TWEET_ID' end, case when tweet_id % 5 = 0 then 'RESPONSE_TIME_MINUTES' end) as bad_columns from ev) select bad_columns, count(*) as n, cast(sum(tweet_id) as bigint) as ids from r group by 1")
+
+
 def _a4(spark, d):
     m = adapters.from_events(spark, d).select(F.when(F.col("tweet_id") % 5 == 0, F.concat(F.lit("x"), F.col("tweet_id").cast("string"))).otherwise(F.col("tweet_id").cast("string")).alias("tweet_id"), "author_id", "created_at", "text", F.when(F.col("tweet_id") % 2 == 0, F.col("priority")).alias("priority"))
     path = fresh(spark, "raw")
@@ -138,7 +147,7 @@ def _source(spark, d, name):
 def _a2(spark, d):
     path, out, log, point = (fresh(spark, n) for n in ("stream-csv", "stream-out", "stream-log", "stream-point"))
     io.write_csv(_raw(spark, d).repartition(3), path)
-    jobs.ingest(jobs.read_stream(spark, path, io.MESSAGES, 1, "csv", multiLine=True, escape='"').select("tweet_id", "text"), out, log, point, "run_s").awaitTermination()
+    jobs.ingest(jobs.read_csv_stream(spark, path).select("tweet_id", "text"), out, log, point, "run_s").awaitTermination()
     return spark.read.parquet(out).groupBy("dataset_run_id", "detected_language").agg(F.count("*").alias("n"))
 
 
@@ -166,19 +175,40 @@ def _j3(spark, d):
 register("j3_backfill_language", _j3, f"{_EV} select tweet_id, case when tweet_id % 4 = 0 then 'xx' else {SQL['language']('text')} end as detected_language from ev")
 
 
-def _j4(spark, d):
-    from uuid import uuid4
+def _arrivals(spark, d, name, stream, mode):
+    """``stream`` over messages that arrive eight days at a time, then late ones, then one that closes all windows; its output as a table."""
+    path, out, point = fresh(spark, f"{name}-in"), fresh(spark, f"{name}-out"), fresh(spark, f"{name}-point")
+    m = adapters.from_events(spark, d)
+    eight = [m.where(F.dayofmonth("created_at").between(first, first + 7)) for first in range(1, 32, 8)]
+    late = m.where(F.dayofmonth("created_at") <= 2).withColumn("conversation_id", F.concat(F.lit("late-"), "conversation_id"))
+    close = m.where("tweet_id = 1").withColumns({"created_at": F.lit("2030-01-01").cast("timestamp"), "conversation_id": F.lit("close")})
+    for part in (*eight, late, close):
+        part.write.mode("append").parquet(path)
+        found = jobs.run_to_files(stream(jobs.read_stream(spark, path, m.schema, 10_000)), out, point, mode)
+    return found
+
 
-    return jobs.run_to_memory(jobs.trend(_source(spark, d, "trend-in"), "1 day", "1 hour"), f"trend_{uuid4().hex}", fresh(spark, "trend-point"), "complete")
+def _j4(spark, d):
+    return _arrivals(spark, d, "trend", lambda m: jobs.trend(m, "1 day", "1 hour"), "append").drop("batch_id")
 
 
 register("j4_stream_trend", _j4, f"{_EV} select strftime(created_at, '%Y-%m-%d 00:00') as period, count(*) as total, count(*) filter (sentiment = 'positive') as positive, count(*) filter (sentiment = 'negative') as negative, count(*) filter (inbound) as inbound from ev group by 1")
 
 
 def _j5(spark, d):
-    states = jobs.run_to_files(jobs.conversation_states(_source(spark, d, "state-in")), fresh(spark, "state-out"), fresh(spark, "state-point"))
-    return states.groupBy("conversation_id").agg(F.max_by(F.struct("messages_count", "reopened", "resolved", "escalated"), "messages_count").alias("s")).select("conversation_id", "s.*")
+    states = _arrivals(spark, d, "state", jobs.conversation_states, "update").where("conversation_id <> 'close' and conversation_id not like 'late-%'")
+    last = states.groupBy("conversation_id").agg(F.max_by(F.struct("messages_count", "reopened", "resolved", "escalated", "ended"), F.struct("messages_count", "ended")).alias("s"))
+    return last.select("conversation_id", "s.*")
 
 
-register("j5_stream_states", _j5, f"{_EV}, {_STATES.replace(' from cv ', ' from ev ')} select conversation_id, messages_count, reopened, resolved, escalated from st")
+register("j5_stream_states", _j5, f"{_EV}, {_STATES.replace(' from cv ', ' from ev ')} select conversation_id, messages_count, reopened, resolved, escalated, true as ended from st")
 register("dispatch_overall", lambda spark, d: dispatch.run_metrics(adapters.from_events(spark, d), ["overall"], sentiment="negative")["overall"].select("total_records", "urgent_count"), f"{_EV} select count(*) as total_records, count(*) filter (priority in ('high', 'urgent', 'critical')) as urgent_count from ev where sentiment = 'negative'")
+_SLICE = f"{_EV}, sl as (select * from ev where sentiment = 'negative')"
+register("dispatch_response_time", lambda spark, d: dispatch.run_metrics(adapters.from_events(spark, d), ["response_time"], sentiment="negative")["response_time"], f"{_SLICE} select avg(response_time_minutes) as average_response_time_minutes from sl")
+register("dispatch_rates", lambda spark, d: (lambda r: r["fcr"].crossJoin(r["reopen_rate"]).crossJoin(r["resolution_rate"]))(dispatch.run_metrics(adapters.from_events(spark, d), ["fcr", "reopen_rate", "resolution_rate"])), f"{_EV} select avg(fcr::int) * 100 as fcr_rate, avg(reopened::int) * 100 as reopen_rate, avg(fcr::int) * 100 as resolution_rate from ev")
+register(
+    "dispatch_comparative_delta",
+    lambda spark, d: dispatch.run_metrics(adapters.from_events(spark, d), ["comparative_delta"])["comparative_delta"].where("metric in ('total_records', 'negative_percentage')").select("metric", "current", "previous", "delta"),
+    f"{_EV}, c as (select * from ev where created_at >= (select max(created_at) - interval 30 day from ev)), v as (select 'total_records' as metric, (select count(*) from c)::double as current, (select count(*) from ev)::double as previous union all select 'negative_percentage', (select avg((sentiment = 'negative')::int) * 100 from c), (select avg((sentiment = 'negative')::int) * 100 from ev)) select *, current - previous as delta from v",
+)
+register("dispatch_all", lambda spark, d: (lambda found: __import__("functools").reduce(lambda a, b: a.unionByName(b), [df.agg(F.lit(name).alias("metric"), F.count("*").alias("rows")) for name, df in found.items()]))(dispatch.run_metrics(adapters.from_events(spark, d), sorted(dispatch.METRICS))).where("rows > 0").select("metric"), "select unnest([" + ", ".join(f"'{n}'" for n in sorted(dispatch.METRICS)) + "]) as metric from (select count(*) as n from events) where n > 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from vocspark.functions import wordlists as W
@@ -72,17 +74,31 @@ def _field(rules, i: int, low: str) -> str:
     return case([(_any(low, row[0]), text(row[i])) for row in rules[:-1]], text(rules[-1][i]))
 
 
+def _tenth(value: str) -> str:
+    return f"printf('%.1f', round({value}, 1))"
+
+
+def _sentence(sentence: str, **values: str) -> str:
+    """SQL of a sentence with its {names} replaced by values."""
+    return " || ".join(values[x] if i % 2 else text(x) for i, x in enumerate(re.split(r"\{(\w+)\}", sentence)))
+
+
+_VOLUME = "format('{:,}', volume)"
 _LOW = "lower(topic_keywords || ' ' || cluster_name)"
 over_events(
     "e23_recommendations",
     lambda m: kpi.recommendations(kpi.topics_live(m), kpi.overall(m)),
-    f", {_LIVE}, {_OVERALL}, r as (select 0 as no, {', '.join(text(x) + ' as ' + n for x, n in zip(kpi.SLA_ALERT, ('owner', 'impact', 'issue', 'action')))} from ov where avg_response_time_minutes > 60 union all select rank, {_field(kpi.RECOMMENDATIONS, 1, _LOW)}, {_field(kpi.RECOMMENDATIONS, 2, _LOW)}, cluster_name, {_field(kpi.RECOMMENDATIONS, 3, _LOW)} from tl where rank <= 5) select owner, impact, issue, action, rank from (select *, row_number() over (order by no) as rank from r) where rank <= 6",
+    f", {_LIVE}, {_OVERALL}, r as (select 0 as no, {', '.join(text(x) + ' as ' + n for x, n in zip(kpi.SLA_ALERT[:3], ('owner', 'impact', 'issue')))}, {_sentence(kpi.WHY_SLOW, response=_tenth('avg_response_time_minutes'))} as why, {text(kpi.SLA_ALERT[3])} as action from ov where avg_response_time_minutes > 60 union all select rank, {_field(kpi.RECOMMENDATIONS, 1, _LOW)}, {_field(kpi.RECOMMENDATIONS, 2, _LOW)}, cluster_name, {_sentence(kpi.WHY_TOPIC, volume=_VOLUME, negative=_tenth('negative_percentage'))}, {_field(kpi.RECOMMENDATIONS, 3, _LOW)} from tl where rank <= 5) select owner, impact, issue, why, action, rank from (select *, row_number() over (order by no) as rank from r) where rank <= 6",
+)
+_SAID = {"volume": _VOLUME, "negative": _tenth("negative_percentage"), "response": _tenth("avg_response_time"), "average": _tenth("av"), "reopen": _tenth("ro")}
+_CAUSE = ", ".join(
+    case([(_any("lower(topic_keywords)", words), _sentence(row[i], **_SAID)) for words, *row in kpi.ROOT_CAUSES] + [("avg_response_time > greatest(60, av * 1.15)", _sentence(kpi.SLOW_CAUSE[i], **_SAID)), ("ro > 15", _sentence(kpi.REOPEN_CAUSE[i], **_SAID))], _sentence(kpi.OTHER_CAUSE[i], **_SAID)) + f" as {name}"
+    for i, name in enumerate(("likely_root_cause", "owner", "evidence", "recommended_fix"))
 )
-_CAUSE = [case([(_any("lower(topic_keywords)", row[0]), text(row[i])) for row in kpi.ROOT_CAUSES] + [("avg_response_time > greatest(60, av * 1.15)", text(kpi.SLOW_CAUSE[i - 1])), ("ro > 15", text(kpi.REOPEN_CAUSE[i - 1]))], text(kpi.OTHER_CAUSE[i - 1])) for i in (1, 2)]
 over_events(
     "e24_root_causes",
     lambda m: (lambda t: kpi.root_causes(t, F.col("av"), F.col("ro")))(kpi.topics_batch(m).crossJoin(F.broadcast(m.agg(F.avg("response_time_minutes").alias("av"), (F.avg(F.col("reopened").cast("int")) * 100).alias("ro"))))),
-    f", {_BATCH}, k as (select avg(response_time_minutes) as av, avg(reopened::int) * 100 as ro from ev), rc as (select topic_keywords, cluster_name, {_CAUSE[0]} as likely_root_cause, {_CAUSE[1]} as owner, volume * (negative_percentage / 100 + 0.2) + escalation_cases * 0.5 + greatest(0, avg_response_time - 60) / 20 as severity_score, volume from tb cross join k where rank <= 8) select * from (select *, row_number() over (order by severity_score desc, topic_keywords) as severity_rank from rc) where severity_rank <= 6",
+    f", {_BATCH}, k as (select avg(response_time_minutes) as av, avg(reopened::int) * 100 as ro from ev), rc as (select topic_keywords, cluster_name, {_CAUSE}, volume * (negative_percentage / 100 + 0.2) + escalation_cases * 0.5 + greatest(0, avg_response_time - 60) / 20 as severity_score, volume from tb cross join k where rank <= 8) select * from (select *, row_number() over (order by severity_score desc, topic_keywords) as severity_rank from rc) where severity_rank <= 6",
 )
 over_events("e25_priorities", lambda m: kpi.priorities(kpi.topics_batch(m)), f", {_BATCH} select topic_keywords, volume, negative_complaints, case when negative_complaints > 5 or escalation_cases > 3 then 'High' when volume > 8 then 'Medium' else 'Normal' end as priority from tb where rank <= 10")
 over_events("e26_escalation_multiplier", kpi.escalation_multiplier, f", {_OVERALL} select greatest(1.0, (negative_count + urgent_count) * 10.0 / total_records) as multiplier from ov")

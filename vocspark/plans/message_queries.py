@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vocspark.functions import labels
 from vocspark.operators import conversation, filters, threads
-from vocspark.plans.registry import over_conversations, over_events, register
+from vocspark.plans.registry import over_conversations, over_events, register, text
 from vocspark.plans.text_queries import SQL
 from vocspark.sources import adapters
 
@@ -78,6 +78,19 @@ _STATES = """st0 as (select *, lag(inbound) over w as before, lead(tweet_id) ove
 st as (select conversation_id, count(*) as messages_count, count(*) filter (inbound) as customer_messages_count, count(*) filter (not inbound) as agent_messages_count,
   coalesce(bool_or(inbound and coalesce(not before, false)), false) as reopened, coalesce(bool_or(not inbound and after_id is null), false) as resolved, coalesce(bool_or(inbound and (priority in ('high', 'urgent', 'critical') or sentiment = 'negative')), false) as escalated from st0 group by 1)"""
 over_conversations("e1_conversation_states", lambda m: conversation.states(adapters.threaded(m)), f", {_STATES} select * from st")
+_HANDLES = [h for h, _ in labels.COMPANY_OF_HANDLE] + ["someone_else"]
+_HANDLE_SQL = f"case tweet_id % {len(_HANDLES)} " + " ".join(f"when {i} then {text(h)}" for i, h in enumerate(_HANDLES)) + " end"
+over_events(
+    "b9_handle_company_region",
+    lambda m: m.withColumn("handle", F.element_at(F.array(*map(F.lit, _HANDLES)), (F.col("tweet_id") % len(_HANDLES) + 1).cast("int"))).groupBy("handle", labels.company_of_handle("handle").alias("company"), labels.region("handle").alias("region")).agg(F.count("*").alias("messages")),
+    f", h as (select {_HANDLE_SQL} as handle from ev), b as (select handle, cast(('0x' || substr(md5(handle), 1, 8)) as bigint) % 100 as b from h) select handle, case handle " + " ".join(f"when {text(h)} then {text(c)}" for h, c in labels.COMPANY_OF_HANDLE) + f" else {text(labels.OTHER_COMPANY)} end as company, case "
+    + " ".join(f"when handle in ({', '.join(map(text, hs))}) then {text(r)}" for r, hs in labels.REGION_OF_HANDLES) + " when b < 52 then 'North America' when b < 74 then 'Europe' when b < 88 then 'Asia Pacific' when b < 95 then 'Latin America' else 'Middle East & Africa' end as region, count(*) as messages from b group by 1, 2, 3",
+)
+over_events(
+    "e2_rates_without_ids",
+    lambda m: conversation.rates(conversation.states(m.drop("conversation_id"))),
+    "select cast(1 as bigint) as total_conversations, bool_or(not inbound)::int * 100.0 as resolution_rate, bool_or(inbound and (priority in ('high', 'urgent', 'critical') or sentiment = 'negative'))::int * 100.0 as escalation_rate, 0.0::double as reopen_rate, 'success' as status from ev",
+)
 over_conversations("e2_conversation_rates", lambda m: conversation.rates(conversation.states(adapters.threaded(m))), f", {_STATES} select count(*) as total_conversations, avg(resolved::int) * 100 as resolution_rate, avg(escalated::int) * 100 as escalation_rate, avg(reopened::int) * 100 as reopen_rate, 'success' as status from st")
 
 # --- batch layer

@@ -21,7 +21,7 @@ def _spelling(m):
 over_conversations("c16_spell_correction", _spelling)
 over_conversations(
     "c17_query_gate",
-    lambda m: m.select("tweet_id", S.quality_status(F.when(F.col("tweet_id") % 3 == 0, F.substring("text", 1, 40)).when(F.col("tweet_id") % 3 == 1, F.get(F.split("text", " "), F.lit(0))).otherwise(F.lit(" "))).alias("status")),
+    lambda m: m.select("tweet_id", S.quality_status("text").alias("status")),
 )
 over_conversations(
     "c18_sub_queries",
@@ -29,7 +29,7 @@ over_conversations(
     r""", p as (select tweet_id, trim(text) as raw, list_filter(list_transform(string_split_regex(trim(text), '(?i)\s+(?:and also|in addition to|as well as|also|plus|and|;)\s+'), lambda x: trim(x)), lambda x: len(string_split_regex(x, '\s+')) >= 2) as parts from cv),
 q as (select tweet_id, case when len(parts) >= 2 then parts else [raw] end as parts from p) select tweet_id, cast(generate_subscripts(parts, 1) - 1 as integer) as no, md5(unnest(parts)) as part_md5 from q""",
 )
-over_conversations("c18_negation_focus", lambda m: m.select("tweet_id", S.focus_and_excluded(F.concat(F.substring("text", 1, 40), F.lit(" without "), F.substring("text", -30, 30))).alias("f")).select("tweet_id", "f.focus", F.array_join("f.excluded", ",").alias("excluded")))
+over_conversations("c18_negation_focus", lambda m: m.select("tweet_id", S.focus_and_excluded("text").alias("f")).select("tweet_id", "f.focus", F.array_join("f.excluded", ",").alias("excluded")))
 
 # --- vectors
 _VECTORS = """qv as (select vec_id as query_id, embedding as q from embeddings where vec_id % 50 = 0), sims as (select query_id, vec_id as id, round(list_cosine_similarity(cast(q as double[]), cast(embedding as double[])), 6) as similarity from qv cross join embeddings),
@@ -52,19 +52,19 @@ def _messages(spark, d):
 
 
 def _queries(m):
-    """The opening messages of every tenth conversation ask."""
-    return m.where("tweet_id % 1000 = 1").select(F.col("tweet_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    """The whole opening messages of the conversations whose id is divisible by 50 ask."""
+    return m.where("tweet_id % 5000 = 1").select(F.col("tweet_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _candidates(spark, d, limit=10):
     m = _messages(spark, d)
     q = _queries(m)
     hits = R.keyword_search(m, q, limit)
-    return hits.join(F.broadcast(q), "query_id").join(m, "tweet_id").select("query_id", "query", F.col("tweet_id").alias("id"), "rank", "text", "inbound", "author_id", "topic_keywords", (1 / (1 + F.col("rank"))).alias("score"), F.array(F.lit("delayed"), F.lit("login")).alias("excluded"))
+    return hits.join(q, "query_id").join(m, "tweet_id").select("query_id", "query", F.col("tweet_id").alias("id"), "rank", "text", "inbound", "author_id", "topic_keywords", (1 / (1 + F.col("rank"))).alias("score"), F.array(F.lit("delayed"), F.lit("login")).alias("excluded"))
 
 
 _STOP = "[" + ", ".join(map(text, R.KEYWORD_STOPWORDS)) + "]"
-_KEYWORDS = rf"""{adapters.CONVERSATIONS_SQL}, q as (select tweet_id as query_id, substr(text, 1, 60) as query from cv where tweet_id % 1000 = 1),
+_KEYWORDS = rf"""{adapters.CONVERSATIONS_SQL}, q as (select tweet_id as query_id, text as query from cv where tweet_id % 5000 = 1),
 qw as (select query_id, query, list_slice(list_filter(string_split_regex(lower(query), '\s+'), lambda w: length(w) > 2 and not list_contains({_STOP}, w)), 1, 4) as words from q),
 kw as (select query_id, tweet_id, row_number() over (partition by query_id order by case when sentiment = 'negative' then 0 else 1 end, tweet_id desc) as rank from cv, qw where inbound and length(text) >= 25 and len(list_filter(words, lambda w: contains(lower(text || ' General Support'), w))) > 0),
 cand as (select kw.query_id, q.query, kw.tweet_id as id, rank, cv.text, inbound, author_id, 1.0 / (1 + rank) as score from kw join q using (query_id) join cv on cv.tweet_id = kw.tweet_id where rank <= 10)"""
@@ -106,8 +106,8 @@ register("i9_diversify", lambda spark, d: R.diversify(_candidates(spark, d)))
 over_documents("i10_near_groups", R.near_groups)
 register(
     "i11_distinct_snippets",
-    lambda spark, d: R.distinct_snippets(_candidates(spark, d).withColumn("text", F.substring("text", 1, 30)), 5, 20).select("query_id", "place", "id", F.md5("snippet").alias("snippet_md5")),
-    f"with {_KEYWORDS}, o as (select *, row_number() over (partition by query_id, substr(text, 1, 30) order by rank) as n from cand) select query_id, place, id, md5(substr(text, 1, 20)) as snippet_md5 from (select *, row_number() over (partition by query_id order by rank) as place from o where n = 1) where place <= 5",
+    lambda spark, d: R.distinct_snippets(_candidates(spark, d, 20)).select("query_id", "place", "id", F.md5("snippet").alias("snippet_md5")),
+    f"with {_KEYWORDS.replace('rank <= 10', 'rank <= 20')}, o as (select *, row_number() over (partition by query_id, text order by rank) as n from cand) select query_id, place, id, md5(substr(text, 1, 500)) as snippet_md5 from (select *, row_number() over (partition by query_id order by rank) as place from o where n = 1) where place <= 12",
 )
 register(
     "i12_composite_relevance",
@@ -126,12 +126,18 @@ select chunk_id, chunk_type, md5(text) as text, inbound, {_WORDS.format(c='text'
 
 
 def _fill(spark, d):
-    hits = _hits(spark, d, 6)
-    lexical = hits.select("query_id", ((F.col("id") * 7) % 500).alias("id"), "rank")
+    """A vector's number is that of the conversation whose opening it stands for."""
+    opening = lambda c: (F.col(c) * 100 + 1).alias(c)
+    hits = _hits(spark, d, 6).select(opening("query_id"), opening("id"), "rank")
+    lexical = R.keyword_search(_messages(spark, d), _queries(_messages(spark, d))).withColumnRenamed("tweet_id", "id")
     return R.hybrid_fill(hits, lexical, 10)
 
 
-register("i14_hybrid_fill", _fill, f"with {_VECTORS}, b as (select query_id, id, rank, 0 as source from top where rank <= 6 union all select query_id, (id * 7) % 500, rank, 1 from top where rank <= 6), o as (select *, row_number() over (partition by query_id, id order by source, rank) as n from b) select query_id, id, source, place from (select *, row_number() over (partition by query_id order by source, rank) as place from o where n = 1) where place <= 10")
+register(
+    "i14_hybrid_fill",
+    _fill,
+    f"with {_KEYWORDS}, {_VECTORS}, b as (select query_id * 100 + 1 as query_id, id * 100 + 1 as id, rank, 0 as source from top where rank <= 6 union all select query_id, tweet_id, rank, 1 from kw where rank <= 10), o as (select *, row_number() over (partition by query_id, id order by source, rank) as n from b) select query_id, id, source, place from (select *, row_number() over (partition by query_id order by source, rank) as place from o where n = 1) where place <= 10",
+)
 register(
     "i15_log_summary",
     lambda spark, d: R.log_summary(_hits(spark, d, 1).select((F.col("query_id") % 40 + 5.0).alias("latency_ms"), "similarity", (F.col("id") % 3 != 0).alias("in_domain"))),

@@ -99,7 +99,7 @@ over_conversations(
     lambda m: m.select("tweet_id", T.cluster_name(T.topic_rule("text")["topic_keywords"]).alias("by_topic"), T.cluster_name("text").alias("by_text")),
     f"select tweet_id, {_cluster_sql(case([(_any(low, s), text(k)) for _, k, s in W.TOPIC_DOMAINS], text(W.OTHER_TOPIC[1])))} as by_topic, {_cluster_sql('text')} as by_text from cv",
 )
-over_events("c8_department", lambda m: m.select("tweet_id", T.department(T.cluster_name("topic_keywords")).alias("by_cluster"), T.department("text").alias("by_text")), f"select tweet_id, {_department_sql('(' + _cluster_sql('topic_keywords') + ')')} as by_cluster, {_department_sql('text')} as by_text from ev")
+over_events("c8_department", lambda m: m.select("tweet_id", "text", T.cluster_name("topic_keywords").alias("cluster")).select("tweet_id", T.department("cluster").alias("by_cluster"), T.department("text").alias("by_text")), f"select tweet_id, {_department_sql('(' + _cluster_sql('topic_keywords') + ')')} as by_cluster, {_department_sql('text')} as by_text from ev")
 over_conversations("c9_issue_category", lambda m: m.select("tweet_id", T.issue_category("text").alias("issue_category")), f"select tweet_id, {_category_sql('text')} as issue_category from cv")
 over_conversations(
     "c10_issue_subcategory",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = MESSAGES, la
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("_corrupt_record")
 
 
+def csv_schema(spark: SparkSession, path: str, rows: int = 1000, **options: object) -> T.StructType:
+    """The schema of CSV files with a header, resolved once on the first ``rows``: long, double, boolean, timestamp, else string."""
+    first = spark.read.options(header=True, multiLine=True, escape='"').options(**options).csv(path).limit(rows)
+    kinds = ("bigint", "double", "boolean", "timestamp")
+    fits = {(c, k): F.count(F.col(f"`{c}`").try_cast(k)) == F.count(f"`{c}`") for c in first.columns for k in kinds}
+    some = {c: F.count(f"`{c}`") > 0 for c in first.columns}
+    found = first.agg(*(x.alias(f"fit_{i}") for i, x in enumerate([*fits.values(), *some.values()]))).first()
+    known = dict(zip([*fits, *some], found))
+    return T.StructType([T.StructField(c, T._parse_datatype_string(next((k for k in kinds if known[c] and known[c, k]), "string"))) for c in first.columns])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
@@ -39,15 +50,31 @@ def match_columns(df: DataFrame, target: T.StructType) -> DataFrame:
     return df.select(*((F.col(f"`{low[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in low else F.lit(None).cast(f.dataType)).alias(f.name) for f in target.fields))
 
 
+def match_rows(df: DataFrame, target: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(good rows in the columns of ``target``, bad rows as they came with ``bad_columns``): see ``match_columns``.
+
+    A row is bad if a value that is there does not fit its column's type; it goes to the second
+    frame, and loading goes on.
+    """
+    low = {c.lower(): c for c in df.columns}
+    fields = [f for f in target.fields if f.name.lower() in low]
+    misfit = lambda f: F.col(f"`{low[f.name.lower()]}`").isNotNull() & F.col(f"`{low[f.name.lower()]}`").try_cast(f.dataType).isNull()
+    names = F.array_compact(F.array(*(F.when(misfit(f), f.name) for f in fields))) if fields else F.array().cast("array<string>")
+    judged = df.select(F.struct("*").alias("row"), names.alias("names"))
+    return match_columns(judged.where("size(names) = 0").select("row.*"), target), judged.where("size(names) > 0").select("row.*", F.col("names").alias("bad_columns"))
+
+
 def with_defaults(df: DataFrame, run_id: str) -> DataFrame:
-    """Raw rows ready to append: defaults for missing columns, a number in place of an id that is none."""
+    """Raw rows ready to append: defaults for missing columns, a negative number in place of an id that is none.
+
+    Rows that are equal in id, time, author and text get equal numbers.
+    """
     for name, value in RAW_DEFAULTS.items():
         df = df.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in df.columns else F.lit(value))
     number = F.col("tweet_id").cast("string").try_cast("long")
-    # Only rows without a number are ranked, so that the ordering stays small.
-    odd = df.where(number.isNull()).withColumn("tweet_id", F.row_number().over(Window.orderBy("created_at", "author_id", "text")).cast("long"))
-    even = df.where(number.isNotNull()).withColumn("tweet_id", number)
-    return even.unionByName(odd).withColumn("dataset_run_id", F.lit(run_id))
+    # A negative number from the row's own hash needs no ordering of all rows, and is the same in a second run.
+    own = -1 - F.abs(F.xxhash64("tweet_id", "created_at", "author_id", "text") % (1 << 62))
+    return df.withColumn("tweet_id", F.coalesce(number, own)).withColumn("dataset_run_id", F.lit(run_id))
 
 
 def append_messages(df: DataFrame, path: str) -> None:
@@ -74,8 +101,10 @@ def replace_runs(df: DataFrame, path: str, run: str = "dataset_run_id") -> None:
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest: str = "created_at") -> DataFrame:
     """Rows of both, one per key: the newest, and the new table's on ties."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(newest), F.desc("_new")))).where("_n = 1").drop("_n", "_new")
+    both = old.select("*", F.lit(0).alias("upsert_side")).unionByName(new.select("*", F.lit(1).alias("upsert_side")), allowMissingColumns=True)
+    rows = both.select(*(F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)), F.col(newest).alias("newest"), "upsert_side", F.struct(*(c for c in both.columns if c != "upsert_side")).alias("row"))
+    latest = rows.groupBy(*(f"key_{i}" for i in range(len(keys)))).agg(F.max_by("row", F.struct("newest", "upsert_side")).alias("row"))
+    return latest.select("row.*")
 
 
 def without_run(df: DataFrame, run_id: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vocspark.functions import text as X
 from vocspark.functions import wordlists as W
+from vocspark.sources import io
 
 
 def enrich(messages: DataFrame) -> DataFrame:
@@ -51,8 +52,13 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.option("header", True).csv(path) if source == "csv" else reader.format(source).load(path)
 
 
+def read_csv_stream(spark: SparkSession, path: str, files_per_batch: int = 1, rows: int = 1000) -> DataFrame:
+    """CSV files as a stream whose schema is resolved once, on the first ``rows`` of those that are there."""
+    return read_stream(spark, path, io.csv_schema(spark, path, rows), files_per_batch, "csv", multiLine=True, escape='"')
+
+
 def trend(messages: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Counts by tone per tumbling window; on a stream, rows later than the watermark are left out."""
+    """Counts by tone per tumbling window; on a stream in append mode, a window is a row once the watermark has passed it, and later rows are left out."""
     rows = messages.withWatermark("created_at", late).groupBy(F.window("created_at", size).alias("w"))
     tone = lambda s: F.count_if(F.lower("sentiment") == s)
     out = rows.agg(F.count("*").alias("total"), tone("positive").alias("positive"), tone("negative").alias("negative"), F.count_if("inbound").alias("inbound"))
@@ -60,30 +66,36 @@ def trend(messages: DataFrame, size: str = "1 day", late: str = "1 hour") -> Dat
 
 
 STATE = "messages long, last_at long, last_id long, last_inbound boolean, reopened boolean, escalated boolean"
-STATES = "conversation_id string, messages_count long, reopened boolean, resolved boolean, escalated boolean"
+STATES = "conversation_id string, messages_count long, reopened boolean, resolved boolean, escalated boolean, ended boolean"
+
 
+def _update(idle_ms: int):
+    def update(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, at, last_id, inbound, reopened, escalated = state.get if state.exists else (0, 0, 0, True, False, False)
+        ended = state.hasTimedOut
+        if ended:
+            state.remove()
+        else:
+            for r in pd.concat(list(batches)).sort_values(["created_at", "tweet_id"]).itertuples():
+                reopened = reopened or (n > 0 and r.inbound and not inbound)
+                escalated = escalated or bool(r.inbound and (str(r.priority).lower() in W.URGENT or str(r.sentiment).lower() == "negative"))
+                n, at, last_id, inbound = n + 1, max(at, int(r.created_at.timestamp() * 1000)), int(r.tweet_id), bool(r.inbound)
+            state.update((n, at, last_id, inbound, reopened, escalated))
+            state.setTimeoutTimestamp(max(at + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"conversation_id": [key[0]], "messages_count": [n], "reopened": [reopened], "resolved": [not inbound], "escalated": [escalated], "ended": [ended]})
 
-def _update(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, at, last_id, inbound, reopened, escalated = state.get if state.exists else (0, 0, 0, True, False, False)
-    if not state.hasTimedOut:
-        for r in pd.concat(list(batches)).sort_values(["created_at", "tweet_id"]).itertuples():
-            reopened = reopened or (n > 0 and r.inbound and not inbound)
-            escalated = escalated or bool(r.inbound and (str(r.priority).lower() in W.URGENT or str(r.sentiment).lower() == "negative"))
-            n, at, last_id, inbound = n + 1, int(r.created_at.timestamp()), int(r.tweet_id), bool(r.inbound)
-        state.update((n, at, last_id, inbound, reopened, escalated))
-    else:
-        state.remove()
-    yield pd.DataFrame({"conversation_id": [key[0]], "messages_count": [n], "reopened": [reopened], "resolved": [not inbound], "escalated": [escalated]})
+    return update
 
 
-def conversation_states(messages: DataFrame) -> DataFrame:
+def conversation_states(messages: DataFrame, late: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
     """A row per conversation and batch with its state so far; the last one is the conversation's.
 
     State is a few values per conversation, not its messages. Within a batch, messages are taken
-    in order of time and id; batches are taken as they come.
+    in order of time and id; batches are taken as they come. A conversation whose last message is
+    ``idle_ms`` older than the watermark ends: it has a last row with ``ended``, and its state goes.
     """
-    rows = messages.select("conversation_id", "tweet_id", "created_at", "inbound", "priority", "sentiment")
-    return rows.groupBy("conversation_id").applyInPandasWithState(_update, STATES, STATE, "update", GroupStateTimeout.NoTimeout)
+    rows = messages.select("conversation_id", "tweet_id", "created_at", "inbound", "priority", "sentiment").withWatermark("created_at", late)
+    return rows.groupBy("conversation_id").applyInPandasWithState(_update(idle_ms), STATES, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_files(df: DataFrame, out: str, checkpoint: str, mode: str = "update") -> DataFrame:
@@ -98,10 +110,3 @@ def run_to_files(df: DataFrame, out: str, checkpoint: str, mode: str = "update")
 
     df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(out)
-
-
-def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All available input through ``df`` into a table of this session; for small results and tests."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
