@@ -44,6 +44,14 @@ def leader_pairs(buckets: DataFrame, several: DataFrame) -> DataFrame:
     return twos.unionByName(rest).distinct()
 
 
+def likeliest_leaders(buckets: DataFrame, several: DataFrame) -> DataFrame:
+    """(a, b): for each node that is not the least of a bucket of its own, the one that leads most of its buckets, the least on ties."""
+    twos = several.where("members = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
+    large = bounded(several.where("members > 2").select("key", F.col("least").alias("a")), MAX_BROADCAST_KEYS)
+    led = twos.unionByName(buckets.join(large, "key").where("node <> a").select("a", F.col("node").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return led.groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("a")).select("a", "b")
+
+
 def blocks_across(buckets: DataFrame, several: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, side, node, label): members of buckets of three or more that hold several components, dealt to pairs of blocks.
 
@@ -80,22 +88,39 @@ def _in_blocks(dealt: DataFrame, payloads: DataFrame, make: Callable[[pa.Table],
     return rows.repartition("key").sortWithinPartitions("key", "side").mapInArrow(made, schema)
 
 
+#: Pairs compared at once.
+PAIRS = 1 << 15
+
+
+def _pairs_of_blocks(keys: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of rows of each key: every two of a block with itself, and those of side 0 with those of side 1."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    start = np.repeat(first, np.diff(np.append(first, len(keys))))
+    own = np.flatnonzero(side == 2)
+    before = own - start[own]  # rows of the block before this one
+    done = np.concatenate([[0], np.cumsum(before)])
+    at = 0
+    while at < len(own):
+        to = max(int(np.searchsorted(done, done[at] + PAIRS, side="right")) - 1, at + 1)
+        times = before[at:to]
+        yield np.repeat(own[at:to], times), np.repeat(start[own[at:to]] + times - np.cumsum(times), times) + np.arange(times.sum())
+        at = to
+    for s, t in zip(first, np.append(first[1:], len(keys))):
+        if side[s] != 2:
+            middle = s + int((side[s:t] == 0).sum())
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(s, middle), np.arange(middle, t), indexing="ij"))
+            for at in range(0, len(i), PAIRS):
+                yield i[at : at + PAIRS], j[at : at + PAIRS]
+
+
 def _met(table: pa.Table, compare: Compare) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of different labels that ``compare`` keeps, key by key."""
+    """Places of the pairs of different labels that ``compare`` keeps."""
     keys, side, label = (table.column(i).to_numpy() for i in (0, 1, 3))
     payload = table.column(4).to_pylist()
-    cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else [0]
-    for s, t in zip(cuts, cuts[1:]):
-        if side[s] == 2:
-            i, j = np.triu_indices(t - s, 1)
-            i, j = i + s, j + s
-        else:
-            middle = s + int((side[s:t] == 0).sum())
-            i, j = (x.ravel() for x in np.meshgrid(np.arange(s, middle), np.arange(middle, t), indexing="ij"))
+    for i, j in _pairs_of_blocks(keys, side):
         other = label[i] != label[j]
-        i, j = i[other], j[other]
-        for at in range(0, len(i), 1 << 14):
-            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        if other.any():
+            x, y = i[other], j[other]
             alive = compare(payload, x, y)
             yield x[alive], y[alive]
 
