@@ -155,3 +155,50 @@ def test_vector_topk_blocks(spark, monkeypatch):
     whole = {tuple(r) for r in retrieval.vector_topk(v, v.where("vec_id < 9"), 3).collect()}
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
     assert {tuple(r) for r in retrieval.vector_topk(v, v.where("vec_id < 9"), 3).collect()} == whole and len(whole) == 27
+
+
+def test_circle_of_replies_has_its_least_id(spark):
+    from vocspark.operators import threads
+
+    rows = [(1, None), (2, 1), (3, 2), (10, 12), (11, 10), (12, 11), (13, 12), (5, 13), (20, 99)]
+    messages = spark.createDataFrame([(i, up, None, "x", "y") for i, up in rows], "tweet_id long, in_response_to_tweet_id long, created_at timestamp, root string, id string")
+    out = {r["tweet_id"]: r["conversation_id"] for r in threads.conversation_roots(messages).collect()}
+    assert out == {1: "1", 2: "1", 3: "1", 10: "10", 11: "10", 12: "10", 13: "10", 5: "10", 20: "99"}
+
+
+def test_upsert_keeps_columns_of_any_name(spark):
+    from vocspark.sources import io
+
+    old = spark.createDataFrame([("r", 1, "a", "p"), ("s", 1, "b", "p")], "run_id string, created_at int, _new string, newest string")
+    new = spark.createDataFrame([("r", 1, "c", "q")], "run_id string, created_at int, _new string, newest string")
+    assert sorted(map(tuple, io.upsert(old, new, ["run_id"]).collect())) == [("r", 1, "c", "q"), ("s", 1, "b", "p")]
+
+
+def test_late_rows_and_ending_states(spark, tmp_path):
+    """A row past the watermark is left out in append mode, and an idle conversation ends once."""
+    from datetime import datetime
+
+    from vocspark.streaming import jobs
+
+    schema = "conversation_id string, tweet_id long, created_at timestamp, inbound boolean, priority string, sentiment string"
+    path = str(tmp_path / "in")
+    parts = [[("a", 1, datetime(2024, 1, 1, 10), True, "normal", "negative")], [("b", 2, datetime(2024, 1, 5, 10), False, "normal", "positive")], [("c", 3, datetime(2024, 1, 1, 11), True, "normal", "positive")], [("z", 4, datetime(2024, 2, 1), True, "normal", "neutral")]]
+    for part in parts:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(path)
+        stream = lambda: jobs.read_stream(spark, path, spark.createDataFrame([], schema).schema, 100)
+        days = jobs.run_to_files(jobs.trend(stream()), str(tmp_path / "days"), str(tmp_path / "p1"), "append")
+        states = jobs.run_to_files(jobs.conversation_states(stream()), str(tmp_path / "states"), str(tmp_path / "p2"))
+    assert {(r["period"], r["total"], r["negative"]) for r in days.collect()} == {("2024-01-01 00:00", 1, 1), ("2024-01-05 00:00", 1, 0)}
+    ended = [r["conversation_id"] for r in states.where("ended").collect()]
+    assert sorted(set(ended)) == sorted(ended) and {"a", "b"} <= set(ended) and "z" not in ended
+
+
+def test_rows_that_do_not_fit_go_to_the_side(spark):
+    from pyspark.sql import types as T
+
+    from vocspark.sources import io
+
+    raw = spark.createDataFrame([("1", "2.5"), ("x", "2"), ("3", "y"), (None, None)], "Id string, names string")
+    good, bad = io.match_rows(raw, T.StructType([T.StructField("ID", T.LongType()), T.StructField("NAMES", T.DoubleType())]))
+    assert sorted(map(tuple, good.collect()), key=str) == [(1, 2.5), (None, None)]
+    assert sorted((r["Id"], r["bad_columns"]) for r in bad.collect()) == [("3", ["NAMES"]), ("x", ["ID"])]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vocspark.functions import text as T
 from vocspark.functions import wordlists as W
 from vocspark.operators import trends
+from vocspark.operators.sizes import bounded
 
 METRICS = {"resolution_rate": True, "escalation_rate": False, "reopen_rate": False, "avg_response_time_minutes": False, "negative_percentage": False, "positive_percentage": True, "csat_proxy": True, "total_records": True}
 
@@ -71,14 +72,14 @@ def issue_sets(topics: DataFrame, previous_topics: DataFrame, flags: DataFrame,
     messages and were seen before, new ones were not.
     """
     generic = F.lower(F.trim("topic_keywords")).isin(list(W.GENERIC_TOPICS)) | F.lower("topic_keywords").contains("unclassified")
-    t = topics.where(~generic).join(F.broadcast(flags.withColumnRenamed("category", "topic_keywords")), "topic_keywords", "left")
+    t = topics.where(~generic).join(bounded(flags.withColumnRenamed("category", "topic_keywords")), "topic_keywords", "left")
     place = F.col("rank") - 1
     measured = F.coalesce(F.col("spike_score") > 0, F.lit(False))
     t = t.withColumn("z_measured", measured).withColumn("z_score", F.when(measured, F.col("spike_score")).otherwise(2.2 + place * 0.45 + F.col("negative_percentage") / 50))
     t = t.withColumn("surge_percentage", F.least(F.lit(420.0), F.greatest(F.lit(45.0), F.col("z_score") * 42 + place * 24 + F.col("negative_percentage") * 1.5)))
     t = t.withColumn("severity", F.when(F.col("z_score") >= 3, "CRITICAL_SURGE").when(F.col("z_score") >= 2, "HIGH_VELOCITY_SPIKE").otherwise("SURGING"))
-    seen = previous_topics.select("topic_keywords").distinct()
-    kinds = {"emerging": t, "recurring": t.where("volume >= 10").join(F.broadcast(seen), "topic_keywords", "left_semi"), "new": t.join(F.broadcast(seen), "topic_keywords", "left_anti")}
+    seen = bounded(previous_topics.select("topic_keywords").distinct())
+    kinds = {"emerging": t, "recurring": t.where("volume >= 10").join(seen, "topic_keywords", "left_semi"), "new": t.join(seen, "topic_keywords", "left_anti")}
     out = None
     for kind, df in kinds.items():
         df = df.withColumn("kind", F.lit(kind)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("pain_score"), "topic_keywords"))).where(F.col("place") <= top)

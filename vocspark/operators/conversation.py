@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vocspark.functions import text as T
 from vocspark.functions import wordlists as W
 from vocspark.operators import threads
+from vocspark.operators.sizes import bounded
 from vocspark.sources.scratch import Scratch
 
 
@@ -140,7 +141,7 @@ def issue_columns(rows: DataFrame) -> DataFrame:
     """``rows`` of ``batch_rows`` with issue volume, growth, spikes, novelty: aggregates by category and day, broadcast back."""
     daily = daily_issues(rows).select("issue_category", "date", "issue_growth_rate", "spike_score", "spike_detected")
     firsts = rows.groupBy("issue_category").agg(F.min("date").alias("_first"))
-    m = threads.with_group_counts(rows).join(F.broadcast(daily), ["issue_category", "date"], "left").join(F.broadcast(firsts), "issue_category", "left")
+    m = threads.with_group_counts(rows).join(bounded(daily), ["issue_category", "date"], "left").join(bounded(firsts), "issue_category", "left")
     m = m.withColumn("new_issue", F.col("date") == F.col("_first")).drop("_first")
     return m.withColumn("emerging_issue", F.coalesce((F.col("issue_growth_rate") >= 50) & (F.col("issue_volume") >= 2), F.lit(False)))
 

@@ -127,8 +127,14 @@ def company_list(messages: DataFrame, top: int = 50) -> DataFrame:
 
 def spans(messages: DataFrame, most: int = 30) -> DataFrame:
     """First and last day, years, and up to ``most`` companies, products and regions in alphabetical order."""
-    listed = lambda c: F.slice(F.array_sort(F.collect_set(c), lambda a, b: F.when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).otherwise(0)), 1, most)
-    return messages.agg(F.date_format(F.min("created_at"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("last_day"), F.array_sort(F.collect_set(F.year("created_at"))).alias("years"), listed("company").alias("companies"), listed("product").alias("products"), listed("region").alias("regions"))
+    columns = {"company": "companies", "product": "products", "region": "regions"}
+    values = messages.select(*columns).unpivot([], list(columns), "column", "value").where("value is not null").distinct()
+    order = F.row_number().over(Window.partitionBy("column").orderBy(F.lower("value"), "value"))
+    first = values.withColumn("place", order).where(F.col("place") <= most)  # a top-k per column, so few rows meet
+    of = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("column") == c, F.struct("place", "value")))), lambda x: x["value"])
+    listed = first.agg(*(of(c).alias(name) for c, name in columns.items()))
+    whole = messages.agg(F.date_format(F.min("created_at"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("last_day"), F.array_sort(F.collect_set(F.year("created_at"))).alias("years"))
+    return whole.crossJoin(listed)  # one row each
 
 
 def _generic(topic: Column) -> Column:
@@ -157,7 +163,8 @@ def topics_batch(messages: DataFrame, top: int = 10) -> DataFrame:
     out = out.withColumn("cluster_name", T.cluster_name("topic_keywords")).withColumn("negative_percentage", _share(F.col("negative_complaints"), v)).withColumn("resolution_rate", _share(F.col("resolved"), v)).drop("resolved")
     raw = v * (F.col("negative_complaints") / v + F.col("escalation_cases") / v * 0.5 + 0.2)
     out = out.withColumn("pain_score", raw * F.when(_generic(F.col("topic_keywords")), 0.05).otherwise(1.0)).withColumn("documented_pain", F.col("negative_percentage") * v * (1 + F.col("avg_response_time") / 100))
-    return _ranked(out).where(F.col("rank") <= top)
+    first = out.orderBy(_generic(F.col("topic_keywords")), F.desc("pain_score"), "topic_keywords").limit(top)
+    return _ranked(first)
 
 
 def topic_samples(messages: DataFrame, per_topic: int = 3) -> DataFrame:

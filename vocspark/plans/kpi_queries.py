@@ -138,6 +138,11 @@ over_conversations(
 )
 _CD = f"{VIEW_SQL}, cd as (select issue_category as category, date, count(distinct conversation_id) as conversations from cw group by 1, 2)"
 over_conversations("f9_emerging_issues", lambda m: trends.emerging_issues(conversation.view(_rows(m))).withColumn("date", F.col("date").cast("string")), f", {_CD} select category, cast(date as varchar) as date, conversations, previous, growth from (select *, (conversations - previous) * 100.0 / previous as growth from (select *, lag(conversations) over (partition by category order by date) as previous, row_number() over (partition by category order by date desc) as r from cd)) where r = 1 and growth >= 20")
+over_events(
+    "f9_growth_by_topic",
+    lambda m: trends.emerging_issues(m.withColumn("date", F.to_date("created_at")), "topic_keywords", -100.0).withColumn("date", F.col("date").cast("string")),
+    ", cd as (select topic_keywords as category, cast(created_at as date) as date, count(distinct conversation_id) as conversations from ev group by 1, 2), g as (select *, lag(conversations) over (partition by category order by date) as previous, row_number() over (partition by category order by date desc) as r from cd) select category, cast(date as varchar) as date, conversations, previous, (conversations - previous) * 100.0 / previous as growth from g where r = 1 and (conversations - previous) * 100.0 / previous >= -100",
+)
 over_conversations("f10_halves", lambda m: trends.halves(conversation.view(_rows(m))), f", {_CD} select *, (second_half - first_half) * 100.0 / first_half as change, case when (second_half - first_half) * 100.0 / first_half > 5 then 'increasing' when (second_half - first_half) * 100.0 / first_half < -5 then 'decreasing' else 'stable' end as direction from (select category, avg(conversations) filter (n <= days // 2) as first_half, avg(conversations) filter (n > days // 2) as second_half from (select *, row_number() over (partition by category order by date) as n, count(*) over (partition by category) as days from cd) where days >= 2 group by 1)")
 over_events(
     "f11_hourly_zscore",
