@@ -35,6 +35,9 @@ BANDS, ROWS, BATCH = 24, 5, 24
 MISS = 1e-4
 #: Nodes whose ids may be broadcast to pick their texts (8 bytes each); more are joined by shuffle.
 MAX_BROADCAST_NODES = 2_000_000
+#: Nodes that may be broadcast with their component (16 bytes each, to the rows of all documents); more are joined by
+#: shuffle, where adaptive execution splits the rows of a node that very many documents have.
+MAX_BROADCAST_SHARED = 1_000_000
 
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -199,7 +202,7 @@ class _Finder:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.rows = self.scratch.keep(self.docs.mapInArrow(_describe, "doc_id long, n_shingles long, node long, sig binary"))
         usable = self.rows.where("n_shingles > 0 and doc_id is not null")
-        self.nodes = self.scratch.keep(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")))
+        self.nodes = self.scratch.keep(usable.groupBy("node").agg(F.count("*").alias("rows"), F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")))
         self.buckets = self.nodes.select("node", "sig").mapInArrow(_bands, "key long, node long")
         self.several = buckets.crowded(self.buckets, self.scratch)
 
@@ -252,10 +255,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = run.across(labels)
     if more.limit(1).count():
         labels = components(links.union(more), run.scratch)
-    grouped = run.nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_node = grouped.join(least, "label").select("node", "component_id")
-    out = run.rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    # Only nodes of several rows or with links are looked up; any other row is its own component.
+    linked = run.scratch.keep(run.nodes.select("node", "rep").join(labels, "node"))
+    least = buckets.bounded(linked.groupBy("label").agg(F.min("rep").alias("component_id")), MAX_BROADCAST_NODES)
+    of_node = linked.join(least, "label").select("node", "component_id")
+    alone = run.nodes.where("rows > 1").join(linked, "node", "left_anti").select("node", F.col("rep").alias("component_id"))
+    shared = buckets.bounded(run.scratch.keep(of_node.unionByName(alone)), MAX_BROADCAST_SHARED)
+    out = run.rows.select("doc_id", "n_shingles", "node").join(shared, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
