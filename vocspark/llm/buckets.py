@@ -22,8 +22,8 @@ BLOCK = 256
 #: Keys of large buckets that may be broadcast (some 24 bytes each); more are joined by shuffle.
 MAX_BROADCAST_KEYS = 1_000_000
 
-#: Takes the payloads of the left and right nodes of some pairs; gives the places of those to keep.
-Compare = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
+#: Takes all payloads, the places there of the left and right nodes of some pairs, and the pairs' buckets; gives the places of the pairs to keep.
+Compare = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def bounded(df: DataFrame, limit: int) -> DataFrame:
@@ -53,7 +53,7 @@ def likeliest_leaders(buckets: DataFrame, several: DataFrame) -> DataFrame:
 
 
 def blocks_across(buckets: DataFrame, several: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, side, node, label): members of buckets of three or more that hold several components, dealt to pairs of blocks.
+    """(key, side, node, label, bucket): members of buckets of three or more that hold several components, dealt to pairs of blocks.
 
     labels (node, label) may lack nodes without links. A key is a pair of blocks of one bucket:
     its two blocks have sides 0 and 1, a block with itself has side 2.
@@ -64,11 +64,11 @@ def blocks_across(buckets: DataFrame, several: DataFrame, labels: DataFrame, scr
     rows = rows.join(mixed.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key")
     rows = rows.withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int"))
-    return rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), side.alias("side"), "node", "label")
+    return rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), side.alias("side"), "node", "label", F.col("key").alias("bucket"))
 
 
 def _in_blocks(dealt: DataFrame, payloads: DataFrame, make: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """``make`` over the rows (key, side, node, label, payload) of whole keys."""
+    """``make`` over the rows (key, side, node, label, bucket, payload) of whole keys."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -84,7 +84,7 @@ def _in_blocks(dealt: DataFrame, payloads: DataFrame, make: Callable[[pa.Table],
         if held is not None:
             yield make(held)
 
-    rows = dealt.join(payloads, "node").select("key", "side", "node", "label", "payload")
+    rows = dealt.join(payloads, "node").select("key", "side", "node", "label", "bucket", "payload")
     return rows.repartition("key").sortWithinPartitions("key", "side").mapInArrow(made, schema)
 
 
@@ -115,13 +115,13 @@ def _pairs_of_blocks(keys: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.nd
 
 def _met(table: pa.Table, compare: Compare) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the pairs of different labels that ``compare`` keeps."""
-    keys, side, label = (table.column(i).to_numpy() for i in (0, 1, 3))
-    payload = table.column(4).to_pylist()
+    keys, side, label, bucket = (table.column(i).to_numpy() for i in (0, 1, 3, 4))
+    payload = table.column(5).to_pylist()
     for i, j in _pairs_of_blocks(keys, side):
         other = label[i] != label[j]
         if other.any():
             x, y = i[other], j[other]
-            alive = compare(payload, x, y)
+            alive = compare(payload, x, y, bucket[x])
             yield x[alive], y[alive]
 
 
@@ -144,7 +144,7 @@ def rows_across(dealt: DataFrame, payloads: DataFrame, compare: Compare) -> Data
         used = np.zeros(table.num_rows, dtype=bool)
         for x, y in _met(table, compare):
             used[x] = used[y] = True
-        kept = table.select([0, 1, 2, 3]).filter(pa.array(used)).combine_chunks()
+        kept = table.select([0, 1, 2, 3, 4]).filter(pa.array(used)).combine_chunks()
         return pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in kept.columns], names=kept.column_names)
 
-    return _in_blocks(dealt, payloads, rows, "key long, side int, node long, label long")
+    return _in_blocks(dealt, payloads, rows, "key long, side int, node long, label long, bucket long")

@@ -162,7 +162,7 @@ def hamming(a: str, b: str):
     return total
 
 
-def _near_bits(payload: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _near_bits(payload: list[bytes], x: np.ndarray, y: np.ndarray, *_: np.ndarray) -> np.ndarray:
     prints = np.frombuffer(b"".join(payload), dtype=np.uint8).reshape(len(payload), -1)
     return np.flatnonzero(np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64) <= CLASS_RADIUS)
 

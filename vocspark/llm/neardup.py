@@ -160,7 +160,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SIG_BYTES = BANDS * ROWS * 4
 
 
-def _compare(payload: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _compare(payload: list[bytes], x: np.ndarray, y: np.ndarray, *_: np.ndarray) -> np.ndarray:
     """Survivors by the signatures that payloads begin with."""
     if not len(x):
         return x
@@ -169,7 +169,7 @@ def _compare(payload: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return survivors(rows[at[: len(x)]], rows[at[len(x) :]])
 
 
-def _compare_sets(payload: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _compare_sets(payload: list[bytes], x: np.ndarray, y: np.ndarray, *_: np.ndarray) -> np.ndarray:
     """Survivors whose full sets, after the signature, reach the threshold.
 
     A pair that others of this call have already joined is not counted again.
