@@ -427,7 +427,7 @@ def test_pipeline_edge_rows(spark, monkeypatch):
         if name == "line_dedup":  # the texts of 5 and 6 are another row's, and nothing is left of them
             assert not {5, 6} & set(ids) and {1, 2, 3, 4, 8} <= set(ids)
         elif name == "minhash_near_dedup":
-            assert {1, 2, 3, 4, 5, 8, 9, 10} <= set(ids) and not {6, 7} & set(ids)
+            assert {1, 2, 3, 4, 5, 8, 10} <= set(ids) and not {6, 7, 9} & set(ids)  # 9 is 5 with a few words before
         elif name == "benchmark_decontamination":
             assert len(rows) == 13
         elif name == "best_fit_packing":
