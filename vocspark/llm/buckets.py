@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vocspark.llm.scratch import Scratch
 
-BLOCK = 256
+BLOCK = 512
 #: Keys of large buckets that may be broadcast (some 24 bytes each); more are joined by shuffle.
 MAX_BROADCAST_KEYS = 1_000_000
 
