@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocspark.llm import chat, decontamination, fingerprints, langid, linededup, neardup, packing, pii, quality, toxicity
+from vocspark.llm import centroids, chat, decontamination, fingerprints, langid, linededup, neardup, packing, pii, quality, runs, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.collapse_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.ORACLE_SQL, "op5_minhash_neardup": neardup.ORACLE_SQL, "op8_chat_formatting": chat.ORACLE_SQL}
+    return {"op2_decontamination": decontamination.ORACLE_SQL, "op5_minhash_neardup": neardup.ORACLE_SQL, "op8_chat_formatting": chat.ORACLE_SQL, "op12_centroid_clustering": centroids.ORACLE_SQL}
