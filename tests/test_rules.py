@@ -66,7 +66,7 @@ def test_four_messages(spark):
 
 def test_thread_roots(spark):
     rows = [(5, None, True, T0, None, 4, "n", "n", "x"), (4, None, True, T0, None, 3, "n", "n", "x"), (3, None, True, T0, None, None, "n", "n", "x"), (9, None, True, T0, None, 77, "n", "n", "x"), (9, None, True, T0, None, 77, "n", "n", "x"), (20, None, True, T0, None, 21, "n", "n", "x"), (21, None, True, T0, None, 20, "n", "n", "x")]
-    out = threads.conversation_roots(spark.createDataFrame(rows, MSG), max_rounds=6)
+    out = threads.conversation_roots(spark.createDataFrame(rows, MSG))
     assert {(r["tweet_id"], r["conversation_id"]) for r in out.collect() if r["tweet_id"] < 20} == {(5, "3"), (4, "3"), (3, "3"), (9, "77")}
     assert out.count() == 7
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vocspark.functions import search_text as S
 from vocspark.operators import retrieval as R
+from vocspark.operators import vectors as V
 from vocspark.plans.registry import over_conversations, over_documents, register, text
 from vocspark.plans.text_queries import L
 from vocspark.sources import adapters
@@ -42,8 +43,27 @@ def _hits(spark, d, k=15):
 
 
 register("i1_vector_topk", _hits, f"with {_VECTORS} select query_id, id, similarity, rank from top where rank <= 15")
+
+
+def _indexed(spark, d, probes=None):
+    v = adapters.read(spark, d, "embeddings")
+    index = V.build_index(v)
+    return V.search_index(index, v.where("vec_id % 50 = 0"), probes=probes)
+
+
+register("i1_vector_index", _indexed)
+register("i1_vector_index_all_cells", lambda spark, d: _indexed(spark, d, V.MOST_CELLS), f"with {_VECTORS} select query_id, id, similarity, rank from top where rank <= 15")
 register("i2_ingest_points", lambda spark, d: R.ingest_points(adapters.from_events(spark, d).withColumn("key", F.when(F.col("tweet_id") % 2 == 0, F.col("tweet_id").cast("string")).otherwise(F.col("conversation_id"))), "key").select("id", F.md5("document").alias("document_md5"), "payload.topic_keywords"))
 register("i17_embedding_clusters", lambda spark, d: R.embedding_clusters(adapters.read(spark, d, "embeddings")))
+register(
+    "i17_density_clusters",
+    lambda spark, d: V.density_clusters(adapters.read(spark, d, "embeddings"), 0.36, 3),
+    """with recursive s as materialized (select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as score from embeddings a cross join embeddings b where score >= 0.36),
+n as materialized (select a as id, count(*) as n_near, count(*) >= 3 as is_core from s group by a), link as materialized (select a, b from s join n x on x.id = a and x.is_core join n y on y.id = b and y.is_core),
+reach as (select id, id as root from n where is_core union select link.b, reach.root from reach join link on link.a = reach.id), topic as (select id, min(root) as topic_id from reach group by id),
+border as (select a as id, arg_min(topic_id, (-score, b)) as topic_id, max(score) as score from s join topic on topic.id = b group by a)
+select id, coalesce(t.topic_id, e.topic_id, -1) as topic_id, is_core, n_near, case when is_core then 1.0 else coalesce(e.score, 0.0) end as confidence from n left join topic t using (id) left join border e using (id)""",
+)
 
 
 # --- keywords and candidates
