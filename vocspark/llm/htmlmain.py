@@ -220,10 +220,13 @@ def _own_labels(blocks: list[Block]) -> list[bool] | None:
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES, made: int = MADE_PAGES, seed: int = 13) -> Field:
     """A field trained on pages made of the texts of ``sample`` pages (by hash of the id), and on those of them whose tags tell.
 
-    Only pages of at most ``SAMPLE_CHARS`` characters are sampled. Without any, a few fixed words are the texts.
+    Of the pages drawn those of at most ``SAMPLE_CHARS`` characters are read; of several with one id the least. Without
+    any, a few fixed words are the texts. Ids are drawn from the narrow column first, so no task sends pages that are not used.
     """
-    text = F.col(html_col).cast("string")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), text.alias("html")).where(F.length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("id"), "id", "html").limit(sample)
+    found = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))
+    ids = found.select("id").where("id is not null").groupBy("id").count().orderBy(F.xxhash64("id"), "id").limit(sample).select("id")
+    drawn = found.join(F.broadcast(ids), "id").where(F.length("html") <= SAMPLE_CHARS).groupBy("id").agg(F.min("html").alias("html"))
+    rows = drawn.orderBy(F.xxhash64("id"), "id")
     real = [leaf_blocks(r["html"]) for r in rows.collect()]  # a bounded sample
     texts = list(dict.fromkeys(b.text for blocks in real for b in blocks))
     shorts = [html.escape(t) for t in texts if len(t) <= 30]
