@@ -45,7 +45,7 @@ def test_stream_states_stay_off_the_driver(spark, monkeypatch):
 
 def test_near_groups_follow_chains(spark):
     """Successive edits are one group though its ends are not near, and links are counted."""
-    from vocspark.operators import retrieval
+    from vocspark.operators.neargroups import near_groups
 
     words = [f"w{i}" for i in range(60)]
     docs = []
@@ -53,7 +53,7 @@ def test_near_groups_follow_chains(spark):
         docs.append((5 - step, " ".join(words)))
         words[12 * step + 5] = f"new{step}"
     docs += [(6, docs[0][1]), (9, "something else entirely here")]
-    out = {r["id"]: (r["group_id"], r["n_links"]) for r in retrieval.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), distance=0.12).collect()}
+    out = {r["id"]: (r["group_id"], r["n_links"]) for r in near_groups(spark.createDataFrame(docs, "doc_id long, text string"), distance=0.12).collect()}
     assert {i: g for i, (g, _) in out.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 9: 9}
     assert {i: n for i, (_, n) in out.items()} == {1: 1, 2: 2, 3: 2, 4: 2, 5: 1, 6: 1, 9: 0}
 

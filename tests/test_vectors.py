@@ -72,10 +72,10 @@ def test_density_visits_are_few(spark):
 
 def test_dense_groups_emit_few_links(spark):
     near = np.ones((500, 700), dtype=bool)
-    a, b = vectors._forest(near, np.arange(500), np.arange(700))
+    a, b = vectors.forest(near, np.arange(500), np.arange(700))
     assert len(a) == len(b) == 699
     near = np.eye(6, dtype=bool)[[0, 1, 2, 3]]
-    assert len(vectors._forest(near, np.arange(4), np.arange(6))[0]) == 0
+    assert len(vectors.forest(near, np.arange(4), np.arange(6))[0]) == 0
 
 
 def test_density_of_nothing(spark):
@@ -104,3 +104,57 @@ def test_index_of_given_vectors(spark):
     assert vectors.recall(vectors.search_index(index, asked), retrieval.vector_topk(v, asked)).first()["recall"] >= 0.9
     empty = vectors.build_index(v.limit(0))
     assert vectors.search_index(empty, asked).count() == 0 and vectors.search_index(index, asked.limit(0)).count() == 0
+
+
+# --- near groups of texts
+def brute_groups(docs, distance=0.35):
+    sets = {i: {tuple(w[k : k + 3]) for k in range(max(len(w) - 2, 1))} for i, t in docs for w in [(t or "").split()]}
+    near = lambda a, b: len(sets[a] & sets[b]) >= (1 - distance) * len(sets[a] | sets[b]) - 1e-9
+    forms = {}
+    for i, t in docs:
+        forms.setdefault(t, []).append(i)
+    heads = [min(v) for v in forms.values()]
+    links = {a: [b for b in heads if b != a and near(a, b)] for a in heads}
+    group = {}
+    for a in sorted(heads):
+        stack = [a]
+        while stack:
+            x = stack.pop()
+            if x not in group:
+                group[x] = a
+                stack += links[x]
+    return sorted((i, group[min(forms[t])], len(links[min(forms[t])])) for i, t in docs)
+
+
+def test_near_groups_equal_brute_force(spark, monkeypatch):
+    """Chains of edits, copies, groups that share half their words, buckets of several blocks."""
+    from vocspark.operators import neargroups
+
+    monkeypatch.setattr(neargroups, "BLOCK", 8)
+    rng = np.random.default_rng(8)
+    docs = []
+    for g in range(8):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(25):
+            words = list(words) if rng.random() < 0.3 else [f"g{g}w{i}" for i in range(60)]
+            for at in rng.integers(0, 60, rng.integers(0, 7)):
+                words[at] = f"n{rng.integers(0, 1 << 30)}"
+            docs.append(" ".join(words))
+    shared = [f"s{i}" for i in range(40)]
+    docs += [" ".join(shared + [f"x{k}y{i}" for i in range(12)]) for k in range(40)]  # near the limit: 38 of 66 shingles in common
+    docs += [docs[3]] * 4 + ["one", "one two", "", ""]
+    rows = list(enumerate(docs))
+    out = neargroups.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in out) == brute_groups(rows)
+
+
+def test_near_groups_with_a_shingle_in_all(spark):
+    """50,000 different texts that share one passage make no bucket of all, and no more rows than bands."""
+    from vocspark.operators import neargroups
+
+    words = F.concat_ws(" ", F.lit("read more here"), *(F.concat(F.lit(f"w{k}x"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100_000_000)).cast("string")) for k in range(20)))
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), words.alias("text"))
+    keys = docs.select(neargroups.shingles(F.split("text", " ")).alias("sh")).select(F.explode(neargroups._band_keys(F.col("sh"))).alias("key"))
+    assert keys.groupBy("key").count().agg(F.max("count")).first()[0] < 100
+    out = neargroups.near_groups(docs)
+    assert out.where("group_id <> id or n_links > 0").count() == 0 and out.count() == 50_000

@@ -185,33 +185,6 @@ def diversify(candidates: DataFrame, threshold: float = 0.65, most: int = 5) ->
     return forms.groupBy("query_id").applyInPandas(judge, "query_id long, id long, rank int, kept boolean, duplicate_of long")
 
 
-def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: float = 0.35) -> DataFrame:
-    """(id, group_id, n_links): connected groups of documents whose comparable texts are equal or within a Jaccard distance of three-word shingles.
-
-    Equal texts are one entry; MinHash links entries, and the smallest id of all connected ones is
-    the group's. n_links counts the other texts that a document's text is linked to itself.
-    """
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
-    from vocspark.operators.components import components
-    from vocspark.sources.scratch import Scratch
-
-    scratch = Scratch(documents.sparkSession, "near-groups")
-    rows = documents.select(F.col(id_col).alias("id"), F.md5(comparable(F.coalesce(text_col, F.lit("")))).alias("key"), F.split(comparable(F.coalesce(text_col, F.lit(""))), " ").alias("w"))
-    entries = rows.groupBy("key").agg(F.min("id").alias("least"), F.any_value("w").alias("w")).withColumn("node", F.xxhash64("key"))
-    shingles = F.when(F.size("w") < 3, F.array(F.array_join("w", " "))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 3), " ")))
-    hashed = HashingTF(inputCol="shingles", outputCol="features", numFeatures=1 << 18, binary=True).transform(entries.withColumn("shingles", shingles))
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=6, seed=7).fit(hashed)
-    # A row of the join is a pair of entries that share a hash; equal entries were merged before.
-    pairs = model.approxSimilarityJoin(hashed, hashed, distance, "distance").where("datasetA.node < datasetB.node")
-    links = scratch.keep(pairs.select(F.col("datasetA.node").alias("a"), F.col("datasetB.node").alias("b")))
-    own = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    of = entries.select("key", "least", "node").join(components(links, scratch), "node", "left").join(own, "node", "left")
-    of = scratch.keep(of.select("key", "least", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    groups = of.groupBy("label").agg(F.min("least").alias("group_id"))
-    return rows.select("id", "key").join(of.join(groups, "label").select("key", "group_id", "n_links"), "key").select("id", "group_id", "n_links")
-
-
 def distinct_snippets(candidates: DataFrame, most: int = 12, chars: int = 500) -> DataFrame:
     """The first ``most`` different texts of each query, cut to ``chars``."""
     once = candidates.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "text").orderBy("rank"))).where("n = 1")

@@ -212,7 +212,7 @@ def _sides(table: pa.Table) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, .
     return tuple(tuple(c[order[side[order] == s]] for c in (node, weight, core, v)) for s in (0, 1))
 
 
-def _forest(near: np.ndarray, mine: np.ndarray, them: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(near: np.ndarray, mine: np.ndarray, them: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As few of the links (row of ``mine``, column of ``them``) as connect all that ``near`` connects."""
     nodes, at = np.unique(np.concatenate([mine, them]), return_inverse=True)
     label, own, other = np.arange(len(nodes)), at[: len(mine)], at[len(mine) :]
@@ -260,7 +260,7 @@ def density_clusters(vectors: DataFrame, similarity: float = 0.8, least: int = 5
         (mine, _, core, a), (them, _, other, b) = _sides(table)
         them, b = them[other], b[other]
         score = np.round(a @ b.T, 6) if len(a) and len(b) else np.zeros((len(a), len(b)))
-        x, y = _forest(score[core] >= similarity, mine[core], them)
+        x, y = forest(score[core] >= similarity, mine[core], them)
         edge = np.flatnonzero(~core & (score.max(axis=1, initial=-2) >= similarity))
         nearest = score[edge].argmax(axis=1) if len(edge) else np.zeros(0, np.int64)
         best = score[edge, nearest]

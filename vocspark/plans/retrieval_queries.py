@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vocspark.functions import search_text as S
 from vocspark.operators import retrieval as R
 from vocspark.operators import vectors as V
+from vocspark.operators.neargroups import near_groups
 from vocspark.plans.registry import over_conversations, over_documents, register, text
 from vocspark.plans.text_queries import L
 from vocspark.sources import adapters
@@ -123,7 +124,20 @@ ls as (select query_id, 0 as list_no, rank as depth, id from cand union all sele
 register("i7_interleave", lambda spark, d: R.interleave(_lists(spark, d)), f"with {_LISTS} select query_id, id, row_number() over (partition by query_id order by depth, list_no) as place from (select *, row_number() over (partition by query_id, id order by depth, list_no) as n from ls) where n = 1")
 register("i8_rank_fusion", lambda spark, d: R.fuse(_lists(spark, d)), f"with {_LISTS} select query_id, id, sum(1.0 / (60 + depth)) as rrf from ls group by 1, 2")
 register("i9_diversify", lambda spark, d: R.diversify(_candidates(spark, d)))
-over_documents("i10_near_groups", R.near_groups)
+_FORM = r"trim(regexp_replace(regexp_replace({}, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+_PLAIN = "lower(coalesce(text, ''))"
+for _pattern, _plain in R._CONTRACTIONS:
+    _PLAIN = f"regexp_replace({_PLAIN}, {text(rf'\b(?:{_pattern})\b')}, '{_plain}', 'g')"
+over_documents(
+    "i10_near_groups",
+    near_groups,
+    f"""with recursive f as materialized (select doc_id as id, {_FORM.format(_PLAIN)} as form from documents), e as materialized (select min(id) as node, form, string_split(form, ' ') as w from f group by form),
+sh as materialized (select distinct node, unnest(case when len(w) < 3 then [form] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as s from e), n as (select node, count(*) as n from sh group by node),
+c as (select x.node as a, y.node as b, count(*) as common from sh x join sh y on x.s = y.s and x.node <> y.node group by all),
+link as materialized (select a, b from c join n p on p.node = a join n q on q.node = b where common >= 0.65 * (p.n + q.n - common) - 1e-7),
+reach as (select node as id, node as root from e union select link.b, reach.root from reach join link on link.a = reach.id), g as (select id as node, min(root) as group_id from reach group by id), k as (select a as node, count(*) as n_links from link group by a)
+select f.id, group_id, coalesce(n_links, 0) as n_links from f join e using (form) join g using (node) left join k using (node)""",
+)
 register(
     "i11_distinct_snippets",
     lambda spark, d: R.distinct_snippets(_candidates(spark, d, 20)).select("query_id", "place", "id", F.md5("snippet").alias("snippet_md5")),
