@@ -437,7 +437,8 @@ def test_pipeline_edge_rows(spark, monkeypatch):
 def test_line_dedup_stage_and_remnants(spark):
     import corpus_pipeline as P
 
-    lines = [f"line {i} has some words of its own like w{i * 7919} and v{i * 104729}" for i in range(12)]
+    name = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    lines = [f"line {name(i)[:9]} has {name(i)[9:17]} words of its own like w{name(i)[17:25]} and v{name(i)[25:]}" for i in range(12)]  # no two are near
     texts = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "\n".join([*lines[:10], "a new one here"])), (4, "\n".join([*lines[:4], *[x.replace("own", "strange") + " differing" for x in lines[4:]]])), (5, None), (6, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r["doc_id"]: r for r in P.line_dedup(spark, docs, SF).collect()}
