@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
+#: Removes a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +44,13 @@ class Scratch:
         """Write ``df`` as Parquet and read it back: the same rows with a one-step lineage."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        conf = self.spark.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")  # the table stands for what was shuffled to make it
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
