@@ -17,6 +17,7 @@ EMOJI = (
     ("💸", "money refund"), ("📦", "package order delivery"), ("🚚", "shipping delivery transit"), ("✈️", "flight baggage travel"), ("⏳", "slow delayed waiting"), ("⌛", "delayed response time"), ("⏱️", "response time sla"), ("🔒", "password account locked"), ("🔑", "auth login key"), ("❌", "failed error not working"),
     ("🚫", "blocked forbidden error"), ("😭", "crying upset complaint"), ("😢", "sad unhappy complaint"), ("👍", "good satisfied resolved"), ("✨", "great awesome"), ("😊", "happy satisfied"), ("💔", "broken heartbroken"), ("⚠️", "warning issue alert"), ("🚨", "critical urgent emergency"),
 )
+# Fixed values from here to EMPTY_WORDS: short forms, synonyms, symptom words, reply patterns and word lists that results depend on.
 ABBREVIATIONS = (
     ("avrg", "average"), ("avg", "average"), ("msgs", "messages"), ("msg", "message"), ("mins", "minutes"), ("min", "minute"), ("hrs", "hours"), ("hr", "hour"), ("sec", "seconds"), ("secs", "seconds"), ("ph", "phone"), ("phn", "phone"), ("updt", "update"),
     ("cust", "customer"), ("supp", "support"), ("serv", "service"), ("pwd", "password"), ("passwd", "password"), ("cant", "cannot"), ("dont", "do not"), ("wont", "will not"), ("isnt", "is not"), ("didnt", "did not"), ("hasnt", "has not"), ("havent", "have not"),
