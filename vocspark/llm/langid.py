@@ -121,7 +121,8 @@ def identify(docs: DataFrame, per_language: int = 500) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs``.
 
     Learns from the text and non-null lang of at most ``per_language`` documents of each
-    language whose crc32(doc_id) modulo 3 is not 1, within the bounds of ``training``.
+    language whose crc32(doc_id) modulo 3 is not 1, within the bounds of ``training``. One of them
+    limits the result: beyond the ``training.MAX_VALUES`` most frequent languages none is ever predicted.
     """
     model = train(training.sample_by_value(docs, "lang", 3, 1, per_language))
     found = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
