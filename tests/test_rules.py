@@ -202,3 +202,22 @@ def test_rows_that_do_not_fit_go_to_the_side(spark):
     good, bad = io.match_rows(raw, T.StructType([T.StructField("ID", T.LongType()), T.StructField("NAMES", T.DoubleType())]))
     assert sorted(map(tuple, good.collect()), key=str) == [(1, 2.5), (None, None)]
     assert sorted((r["Id"], r["bad_columns"]) for r in bad.collect()) == [("3", ["NAMES"]), ("x", ["ID"])]
+
+
+@pytest.mark.parametrize(
+    "query, focus",
+    (
+        ("My phone is not freezing, but the battery is draining very fast", "my phone battery is draining very fast"),
+        ("it is not slow, other than that the app crashes", "it app crashes"),
+        ("The app is not slow but the app crashes", "the app crashes"),
+        ("customers who are not having login issues but have delivery delays", "have delivery delays"),
+        ("not slow but late", "late"),
+        ("ignore crashes, why are deliveries late", "deliveries late"),
+        ("ignore freezing, show me battery drain issues", "battery drain issues"),
+        ("a plain question", "a plain question"),
+    ),
+)
+def test_focus_of_negated_queries(query, focus):
+    from vocspark.functions.search_text import _split_focus
+
+    assert _split_focus(query)[0] == focus

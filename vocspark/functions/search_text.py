@@ -134,12 +134,34 @@ def _inflected(words: list[str]) -> list[str]:
     return sorted(out)
 
 
-_DIRECTIVE = re.compile(r"^(?:ignore|skip|exclude|excluding|aside from)\s+([^,;\n]+?)[,;\s]+(?:tell me about|show me|look at|focus on|what about|how about)?\s*(.+)$")
+# How a request begins after what it wants left out.
+OPENERS = ("tell me about", "show me", "look at", "focus on", "what about", "how about", "why is", "why are")
+_DIRECTIVE = re.compile(r"^(?:ignore|skip|exclude|excluding|aside from)\s+([^,;\n]+?)[,;\s]+(?:" + "|".join(OPENERS) + r")?\s*(.+)$")
 _POSTFIX = re.compile(r"^(.+?)\s+(?:without|excluding|not including|except for|and not)\s+(.+)$")
-_CONTRAST = re.compile(r"[,;\s]+(?:but|however|instead|yet|though|except that|rather than)\s+")
+# What joins a negated clause to the one that is asked for, and words of a clause that are no subject.
+CONNECTIVES = ("but", "however", "instead", "yet", "though", "except that", "other than that", "rather than")
+DETERMINERS = ("the", "my", "a", "an")
+VERBS = ("is", "are", "was", "were", "has", "have", "keeps", "keep", "starts", "started")
+_CONTRAST = re.compile(r"[,;\s]+(?:" + "|".join(CONNECTIVES) + r")\s+")
 _NEGATIVE = re.compile(r"\b(?:not|no|never|without|cannot|can't|won't|isn't|aren't|don't|doesn't|didn't)\b")
 
 
+def _subject(clause: str) -> str:
+    """What a negated clause is about: its first word, with the one before if that is a determiner; nothing if no negation follows."""
+    words = clause.split()
+    size = 2 if words[:1] in (["my"], ["the"]) else 1
+    rest = words[size + (words[size : size + 1] != [] and words[size] in VERBS) :]
+    return " ".join(words[:size]) if len(rest) > 1 and rest[0] in ("not", "never", "without", "no", "isn't") else ""
+
+
+def _with_subject(subject: str, clause: str) -> str:
+    """The clause about the subject, unless it names one of the subject's longer words itself."""
+    if not subject or any(len(w) > 2 and w in clause for w in subject.split()):
+        return clause
+    first, _, rest = clause.partition(" ")
+    return f"{subject} {rest.strip() if first in DETERMINERS and rest else clause}"
+
+
 def _split_focus(query: str) -> tuple[str, list[str]]:
     """(what to look for, what to leave out)."""
     low = query.lower().strip()
@@ -152,7 +174,7 @@ def _split_focus(query: str) -> tuple[str, list[str]]:
         parts = _CONTRAST.split(low, maxsplit=1)
         if len(parts) < 2 or not _NEGATIVE.search(parts[0]) or _NEGATIVE.search(parts[1]):
             return query, []
-        left_out, focus = parts[0][_NEGATIVE.search(parts[0]).end() :], parts[1]
+        left_out, focus = parts[0][_NEGATIVE.search(parts[0]).end() :], _with_subject(_subject(parts[0]), parts[1].strip())
     words = [w for w in re.findall(r"[a-z]{3,}", left_out) if w not in EMPTY_WORDS]
     return focus.strip(), _inflected(words)
 
