@@ -1,5 +1,6 @@
 """Literal cases of the rules, and edge rows."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -114,6 +115,55 @@ def test_spelling(spark):
     assert out == {1: "my phone keeps freezing after update", 2: "average phone sloooow x1y battery"}
 
 
+def test_spelling_by_keys_equals_every_pair(spark):
+    """Keys with letters taken out find what comparing with each word finds, whatever the lengths."""
+    import random
+
+    draw = random.Random(7)
+    word = lambda n: "".join(draw.choice("abc") for _ in range(n))
+    vocabulary = sorted({word(draw.choice((3, 4, 5, 8, 13, 14, 15, 30))) for _ in range(150)})
+    asked = {word(n) for n in (3, 4, 5, 6) for _ in range(40)}
+    for w in vocabulary:
+        for _ in range(3):
+            letters = list(w)
+            for _ in range(draw.randrange(1, 4)):
+                at = draw.randrange(len(letters) + 1)
+                letters[at : at + draw.randrange(2)] = draw.choice(("", "a", "d"))
+            asked.add("".join(letters))
+    asked = sorted(a for a in asked if len(a) >= 3)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def best(a):
+        forms = [a, re.sub(r"(.)\1{2,}", r"\1\1", a), re.sub(r"(.)\1+", r"\1", a)]
+        known = [f for f in forms if f in vocabulary]
+        if known:
+            return known[0]
+        scored = [(10 * d - 2 * (w[-1] == a[-1]) + abs(len(w) - len(a)), i, w) for i, w in enumerate(vocabulary) if w[0] == a[0] and (d := distance(a, w)) <= (1 if len(a) <= 4 else 2)]
+        return min(scored)[2] if scored else a
+
+    given = spark.createDataFrame([(w, i) for i, w in enumerate(vocabulary)], "word string, ordinal int")
+    out = search_text.correct_tokens(spark.createDataFrame([(a,) for a in asked], "token string"), given).collect()
+    assert {r["token"]: r["corrected"] for r in out} == {a: best(a) for a in asked}
+    assert sum(best(a) != a for a in asked) > 100
+
+
+def test_spelling_of_whole_texts(spark):
+    words = spark.createDataFrame([("battery", 0, True), ("banana", 1, False), ("update", 2, True)], "word string, ordinal int, target boolean")
+    texts = spark.createDataFrame([(1, 'My "batery", avg SLA!'), (2, None), (3, "  "), (4, "bananas - updat ...")], "id int, text string")
+    out = {r["id"]: r["corrected"] for r in search_text.corrected_texts(texts, words, "id", "text").collect()}
+    assert out == {1: 'my "battery", average SLA!', 2: "", 3: "", 4: "bananas - update ..."}
+    assert search_text.correct_tokens(texts.selectExpr("text as token").limit(0), words).count() == 0
+    plan = search_text.correct_tokens(texts.selectExpr("text as token"), words)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_query_gate(spark):
     texts = ["xyz123 qwerty asdfghjkl", "phone", "", "?", "...", "hi", "help", "bcdfghjk is odd here", "who is the president of France", "Why are deliveries delayed this week?", None]
     assert of(spark, texts, search_text.quality_status("text")) == ["gibberish", "too_generic", "empty", "gibberish", "gibberish", "greeting", "greeting", "gibberish", "out_of_domain", "valid", "empty"]

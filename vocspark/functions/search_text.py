@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocspark.functions.text import LETTER
@@ -26,6 +26,12 @@ SYNONYMS = (
     ("handset", "phone"), ("handsets", "phones"), ("cellphone", "phone"), ("cellphones", "phones"), ("smartphone", "phone"), ("smartphones", "phones"), ("hanging", "freezing"), ("hangs", "freezes"), ("hung", "frozen"),
     ("firmware", "software update"), ("wlan", "wifi"), ("hotspot", "wifi"), ("sluggish", "slow"), ("depleted", "drained"), ("bricked", "broken"), ("overbilled", "overcharged"), ("tariff", "plan"), ("tariffs", "plans"),
 )
+CAPITALS = ("sla", "fcr", "csat", "kpi", "api", "2fa", "p0", "p1", "voc")
+ACRONYMS = ("kpis", "apis", "ui", "ux", "mfa", "sim", "wifi", "os", "ios", "p2", "p3")
+NO_TARGETS = (
+    "emea", "apac", "latam", "fcr", "sla", "csat", "kpi", "kpis", "p0", "p1", "p2", "voc", "api", "2fa", "nah", "nan", "am", "an", "as", "at", "be", "by", "do", "he",
+    "if", "in", "is", "it", "me", "my", "no", "of", "on", "or", "so", "to", "up", "us", "we",
+)
 SYMPTOMS = (
     "crash", "crashed", "crashing", "crashes", "freeze", "freezing", "frozen", "freezes", "stuck", "hanging", "slow", "lag", "lagging", "latency", "delay", "delayed", "delays", "dropped", "error", "errors", "broken", "failed", "failing", "failure",
     "bug", "bugs", "glitch", "glitches", "malfunction", "drain", "draining", "heating", "overheating", "cannot", "can't", "unable", "unusable", "unresponsive", "refund", "refunded", "charge", "charged", "overcharge", "lost", "missing", "damaged", "wrong", "late",
@@ -188,39 +194,88 @@ def focus_and_excluded(c: Column | str) -> Column:
     return F.pandas_udf(_focus_rows, "focus string, excluded array<string>")(c)
 
 
-def correct_tokens(words: DataFrame, vocabulary: DataFrame, shortest: int = 3) -> DataFrame:
-    """(token, corrected) for distinct ``words`` (token) against ``vocabulary`` (word, ordinal).
+def _less_one(c: Column) -> Column:
+    """All strings that ``c`` becomes with one of its characters taken out."""
+    cut = lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))
+    return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.length(c)), cut)).otherwise(F.array().cast("array<string>"))
+
+
+#: Letters of a word, after its first, from which letters are taken out: what lies beyond needs no key to be found.
+KEY_LETTERS = 12
+
+
+def _keys(word: Column, most: Column) -> Column:
+    """array<struct<key, n>>: a word's first letter and the next ones, less ``n`` of these, up to ``most`` (1 or 2).
 
-    Abbreviations, then synonyms, then known words as they are, then runs of a letter squeezed,
-    then the nearest word that begins alike: distance at most 1 up to four letters, else 2, by the
-    score 10 d - 4 - 2 (same end) + difference in length; the lowest ordinal on ties. Tokens with
-    digits or under ``shortest`` letters stay. The vocabulary joins on first letter and length.
+    Two words of one first letter within d edits have a key in common with at most d letters out
+    of each, and so have their beginnings: each edit takes at most one letter out of either, and
+    what one beginning is longer than its counterpart counts among the letters taken out.
     """
-    fixed = F.create_map(*(F.lit(x) for pair in (*SYNONYMS, *ABBREVIATIONS) for x in pair))
-    tokens_ = words.select(F.lower("token").alias("token")).distinct().withColumn("fixed", F.try_element_at(fixed, F.col("token")))
-    known = vocabulary.select(F.col("word").alias("_w"))
-    for name, form in (("as_is", F.col("token")), ("pairs", F.regexp_replace("token", r"(.)\1{2,}", "$1$1")), ("singles", F.regexp_replace("token", r"(.)\1+", "$1"))):
+    first, tail = F.substring(word, 1, 1), F.substring(word, 2, KEY_LETTERS)
+    levels = [F.array(tail), _less_one(tail)]
+    levels.append(F.array_distinct(F.flatten(F.transform(levels[1], _less_one))))
+
+    def keys(n: int) -> Column:
+        return F.transform(F.array_distinct(levels[n]), lambda k: F.struct(F.concat(first, k).alias("key"), F.lit(n).alias("n")))
+
+    return F.concat(keys(0), keys(1), F.when(most >= 2, keys(2)).otherwise(F.slice(keys(0), 1, 0)))
+
+
+def spelling_index(vocabulary: DataFrame) -> DataFrame:
+    """(key, n, word, ordinal) of the words that others may be corrected to; at most 79 rows a word.
+
+    ``vocabulary`` is (word, ordinal) and may have ``target``, false for words that are only known.
+    """
+    words = vocabulary.where("target") if "target" in vocabulary.columns else vocabulary
+    words = words.where(F.col("word").isNotNull() & ~F.col("word").isin(list(NO_TARGETS)))
+    return words.select("word", "ordinal", F.inline(_keys(F.col("word"), F.lit(2)))).select("key", "n", "word", "ordinal")
+
+
+def correct_tokens(words: DataFrame, vocabulary: DataFrame, shortest: int = 3, index: DataFrame | None = None) -> DataFrame:
+    """(token, corrected) for distinct ``words`` (token), in lower case, against ``vocabulary`` (word, ordinal).
+
+    Outer punctuation goes. Then abbreviations and synonyms, then acronyms and known words as they
+    are, then runs of a letter squeezed, then the nearest word that begins alike: distance at most
+    1 up to four letters, else 2, by the score 10 d - 4 - 2 (same end) + difference in length; the
+    lowest ordinal on ties. Tokens with digits or under ``shortest`` letters stay, and so do nulls
+    and tokens of punctuation. Open tokens meet words by keys with letters taken out
+    (``spelling_index``, which may be kept and handed in), never all words that begin alike.
+    """
+    bare = F.regexp_replace(F.lower("token"), r"""^[.,!?;:"'()\[\]{}]+|[.,!?;:"'()\[\]{}]+$""", "")
+    pairs = (*SYNONYMS, *ABBREVIATIONS, *((a, a.upper()) for a in CAPITALS), *((a, a) for a in ACRONYMS))
+    fixed = F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+    tokens_ = words.select(F.lower("token").alias("token"), bare.alias("bare")).distinct().withColumn("fixed", F.try_element_at(fixed, F.col("bare")))
+    known = vocabulary.select(F.col("word").alias("_w")).distinct()
+    for name, form in (("as_is", F.col("bare")), ("pairs", F.regexp_replace("bare", r"(.)\1{2,}", "$1$1")), ("singles", F.regexp_replace("bare", r"(.)\1+", "$1"))):
         tokens_ = tokens_.withColumn("_f", form).join(known, F.col("_f") == F.col("_w"), "left").withColumn(name, F.col("_w")).drop("_f", "_w")
     tokens_ = tokens_.withColumn("settled", F.coalesce("fixed", "as_is", "pairs", "singles"))
-    open_ = tokens_.where(F.col("settled").isNull() & (F.length("token") >= shortest) & ~F.col("token").rlike("[0-9]"))
-    reach = F.when(F.length("token") <= 4, 1).otherwise(2)
-    open_ = open_.select("token", reach.alias("reach"), F.substring("token", 1, 1).alias("first"), F.explode(F.sequence(F.length("token") - reach, F.length("token") + reach)).alias("size"))
-    near = open_.join(vocabulary.select("word", "ordinal", F.substring("word", 1, 1).alias("first"), F.length("word").alias("size")), ["first", "size"])
-    near = near.withColumn("d", F.levenshtein("token", "word")).where("d <= reach")
-    score = F.col("d") * 10 - 4 - F.when(F.substring("token", -1, 1) == F.substring("word", -1, 1), 2).otherwise(0) + F.abs(F.length("token") - F.length("word"))
-    best = near.groupBy("token").agg(F.min_by("word", F.struct(score, "ordinal")).alias("nearest"))
-    return tokens_.join(best, "token", "left").select("token", F.coalesce("settled", "nearest", "token").alias("corrected"))
+    open_ = tokens_.where(F.col("settled").isNull() & (F.length("bare") >= shortest) & ~F.col("bare").rlike("[0-9]")).select("bare", F.when(F.length("bare") <= 4, 1).otherwise(2).alias("reach"))
+    asked = open_.distinct().select("bare", "reach", F.inline(_keys(F.col("bare"), F.col("reach"))))
+    index = spelling_index(vocabulary) if index is None else index
+    near = asked.select("bare", "reach", "key").join(index.withColumnRenamed("n", "_n"), "key").where("_n <= reach")
+    near = near.withColumn("d", F.levenshtein("bare", "word", 2)).where("d between 0 and reach")
+    score = F.col("d") * 10 - 4 - F.when(F.substring("bare", -1, 1) == F.substring("word", -1, 1), 2).otherwise(0) + F.abs(F.length("bare") - F.length("word"))
+    best = near.groupBy("bare").agg(F.min_by("word", F.struct(score, "ordinal", "word")).alias("nearest"))
+    whole = F.when(F.col("bare") == "", F.col("token")).otherwise(F.coalesce("settled", "nearest", "bare"))
+    return tokens_.join(best, "bare", "left").select("token", whole.alias("corrected"))
 
 
-def corrected_texts(texts: DataFrame, vocabulary: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, corrected): texts with each token corrected; only distinct tokens are compared."""
-    words = texts.select(F.col(key), F.posexplode(F.filter(F.split(F.lower(column), r"\s+"), lambda w: w != "")).alias("pos", "token"))
-    fixes = correct_tokens(words.select("token"), vocabulary)
-    return words.join(fixes, "token").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "corrected"))), lambda x: x["corrected"]), " ").alias("corrected"))
+def corrected_texts(texts: DataFrame, vocabulary: DataFrame, key: str, column: str, index: DataFrame | None = None) -> DataFrame:
+    """(key, corrected): texts in lower case with each word corrected and the punctuation around it kept.
+
+    ``key`` is unique; a text that is null or has no words becomes empty. Only distinct tokens are compared.
+    """
+    parts = lambda n: F.regexp_extract("said", r"^([^\p{L}\p{N}_]*)([\p{L}\p{N}_.'-]+?)([^\p{L}\p{N}_]*)$", n)
+    words = texts.select(F.col(key).alias("_key"), F.posexplode_outer(F.filter(F.split(F.lower(column), r"\s+"), lambda w: w != "")).alias("pos", "said"))
+    words = words.withColumns({"before": parts(1), "after": parts(3), "token": F.when(parts(2) == "", F.col("said")).otherwise(parts(2))})
+    fixes = correct_tokens(words.where("token is not null").select("token"), vocabulary, index=index)
+    row = F.struct("pos", F.concat("before", "corrected", "after").alias("word"))
+    ordered = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["word"])
+    return words.join(fixes, "token", "left").groupBy(F.col("_key").alias(key)).agg(F.array_join(ordered, " ").alias("corrected"))
 
 
 def frequent_words(texts: DataFrame, column: str, least: int, letters: int = 3) -> DataFrame:
-    """(word, ordinal): words of at least ``letters`` letters a-z that occur ``least`` times, most frequent first."""
+    """(word, ordinal): words of at least ``letters`` letters a-z that occur ``least`` times; ordinals sort the most frequent first."""
     words = texts.select(F.explode(F.split(F.lower(column), "[^a-z]+")).alias("word")).where(F.length("word") >= letters)
     counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return counts.select("word", F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("ordinal"))
+    return counts.select("word", F.struct((-F.col("n")).alias("less"), "word").alias("ordinal"))

@@ -20,7 +20,20 @@ def _spelling(m):
     return S.correct_tokens(m.select(F.explode(F.split("text", r"\s+")).alias("token")).where("token rlike '^[a-zA-Z]+$'"), S.frequent_words(m, "text", 30))
 
 
-over_conversations("c16_spell_correction", _spelling)
+_FIXED = ", ".join(f"({text(a)}, {text(b)})" for a, b in (*S.SYNONYMS, *S.ABBREVIATIONS, *((a, a.upper()) for a in S.CAPITALS), *((a, a) for a in S.ACRONYMS)))
+_NO_TARGETS = ", ".join(map(text, S.NO_TARGETS))
+over_conversations(
+    "c16_spell_correction",
+    _spelling,
+    rf""", tk as (select distinct lower(w) as token from (select unnest(string_split_regex(text, '\s+')) as w from cv) where regexp_full_match(w, '[a-zA-Z]+')),
+v as materialized (select word, count(*) as n from (select unnest(string_split_regex(lower(text), '[^a-z]+')) as word from cv) where length(word) >= 3 group by 1 having count(*) >= 30),
+fx(token, fixed) as (values {_FIXED}), ch as (select token, string_split(token, '') as c from tk),
+fm as (select token, array_to_string(list_filter(c, lambda x, i: i < 3 or x <> c[i - 1] or x <> c[i - 2]), '') as pairs, array_to_string(list_filter(c, lambda x, i: i < 2 or x <> c[i - 1]), '') as singles from ch),
+st as materialized (select fm.token, coalesce(fixed, a.word, b.word, s.word) as settled from fm left join fx using (token) left join v a on a.word = fm.token left join v b on b.word = pairs left join v s on s.word = singles),
+near as (select token, word, n, levenshtein(token, word) as d from st join v on word[1] = token[1] and word not in ({_NO_TARGETS}) and abs(length(word) - length(token)) <= 2 where settled is null and length(token) >= 3 and d <= case when length(token) <= 4 then 1 else 2 end),
+best as (select token, arg_min(word, (10 * d - 4 - case when word[-1] = token[-1] then 2 else 0 end + abs(length(word) - length(token)), -n, word)) as nearest from near group by token)
+select token, coalesce(settled, nearest, token) as corrected from st left join best using (token)""",
+)
 over_conversations(
     "c17_query_gate",
     lambda m: m.select("tweet_id", S.quality_status("text").alias("status")),
