@@ -67,53 +67,6 @@ def ingest_points(messages: DataFrame, id_col: str, text_col: str = "text") -> D
     return rows.select(F.when(raw.rlike("^[0-9]+$"), raw).otherwise(F.pandas_udf(_uuid5, "string")(raw)).alias("id"), F.col(text_col).alias("document"), F.struct(*rest).alias("payload"))
 
 
-KEYWORD_STOPWORDS = ("what", "which", "where", "tell", "show", "give", "have", "with", "this", "that", "like", "about", "the", "a", "an", "is", "are", "was", "were", "for", "from", "and", "or", "inquiries", "inquiry")
-
-
-def content_words(c: Column, most: int = 4) -> Column:
-    """The first ``most`` words over two letters that are no stop words."""
-    words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(list(KEYWORD_STOPWORDS)))
-    return F.slice(words, 1, most)
-
-
-#: Distinct query words that are held at once; more are taken in blocks.
-WORD_BLOCK = 100_000
-
-
-def _messages_of_words(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, tone, tweet_id) for each of ``words``, of three letters or more, that is somewhere in a row's ``low``.
-
-    A text's distinct runs of three characters meet the first three of the words, broadcast in
-    blocks, before a word is looked for.
-    """
-    words = words.select("word").distinct()
-    blocks = max(1, -(-words.count() // WORD_BLOCK))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda i: F.substring(F.col("low"), i, F.lit(3))))
-    placed = rows.where("length(low) >= 3").select("tweet_id", "tone", "low", F.explode(runs).alias("run"))
-    out = None
-    for block in range(blocks):
-        own = words.where(F.expr(f"pmod(xxhash64(word), {blocks}) = {block}")).select("word", F.substring("word", 1, 3).alias("run"))
-        found = placed.join(F.broadcast(own), "run").where(F.col("low").contains(F.col("word"))).select("word", "tone", "tweet_id")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def keyword_search(messages: DataFrame, queries: DataFrame, limit: int = 10, shortest: int = 25) -> DataFrame:
-    """(query_id, tweet_id, rank): customer messages that contain one of a query's content words.
-
-    Negative messages come first, then the newest id. Each distinct word of all ``queries``
-    (query_id, query) finds its first ``limit`` messages, and a query's first ones are among
-    those of its words, so that no query is held against all messages.
-    """
-    asked = queries.select("query_id", F.explode(content_words(F.col("query"))).alias("word")).distinct()
-    low = F.lower(F.concat_ws(" ", "text", "topic_keywords"))
-    rows = messages.where(F.col("inbound") & (F.length("text") >= shortest)).select("tweet_id", F.coalesce((F.lower("sentiment") != "negative").cast("int"), F.lit(1)).alias("tone"), low.alias("low"))
-    order = ["tone", F.desc("tweet_id")]
-    first = _messages_of_words(rows, asked).withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where(F.col("n") <= limit)
-    hits = asked.join(first.drop("n"), "word").select("query_id", "tone", "tweet_id").distinct()
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit).select("query_id", "tweet_id", "rank")
-
-
 def rerank(candidates: DataFrame, top: int = 5) -> DataFrame:
     """Candidates (query_id, query, id, text, inbound, author_id, score, excluded) by a blend of four scores.
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vocspark.functions import search_text as S
+from vocspark.operators import keywords as K
 from vocspark.operators import retrieval as R
 from vocspark.operators import vectors as V
 from vocspark.operators.neargroups import near_groups
 from vocspark.plans.registry import over_conversations, over_documents, register, text
 from vocspark.plans.text_queries import L
 from vocspark.sources import adapters
+from vocspark.sources.shared import fresh
 
 # --- text rules
 over_conversations("c15_demojize", lambda m: m.select("tweet_id", S.demojize("text").alias("plain")))
@@ -93,16 +95,69 @@ def _queries(m):
 def _candidates(spark, d, limit=10):
     m = _messages(spark, d)
     q = _queries(m)
-    hits = R.keyword_search(m, q, limit)
+    hits = K.keyword_search(m, q, limit)
     return hits.join(q, "query_id").join(m, "tweet_id").select("query_id", "query", F.col("tweet_id").alias("id"), "rank", "text", "inbound", "author_id", "topic_keywords", (1 / (1 + F.col("rank"))).alias("score"), F.array(F.lit("delayed"), F.lit("login")).alias("excluded"))
 
 
-_STOP = "[" + ", ".join(map(text, R.KEYWORD_STOPWORDS)) + "]"
+_PLAIN_QUERY = r"trim(regexp_replace(lower(query), '[^\p{L}\p{N}_\s]', '', 'g'))"
+_STOP = "[" + ", ".join(map(text, K.KEYWORD_STOPWORDS)) + "]"
 _KEYWORDS = rf"""{adapters.CONVERSATIONS_SQL}, q as (select tweet_id as query_id, text as query from cv where tweet_id % 5000 = 1),
-qw as (select query_id, query, list_slice(list_filter(string_split_regex(lower(query), '\s+'), lambda w: length(w) > 2 and not list_contains({_STOP}, w)), 1, 4) as words from q),
+qw as (select query_id, query, list_slice(list_filter(string_split_regex({_PLAIN_QUERY}, '\s+'), lambda w: length(w) > 2 and not list_contains({_STOP}, w)), 1, 4) as words from q),
 kw as (select query_id, tweet_id, row_number() over (partition by query_id order by case when sentiment = 'negative' then 0 else 1 end, tweet_id desc) as rank from cv, qw where inbound and length(text) >= 25 and len(list_filter(words, lambda w: contains(lower(text || ' General Support'), w))) > 0),
 cand as (select kw.query_id, q.query, kw.tweet_id as id, rank, cv.text, inbound, author_id, 1.0 / (1 + rank) as score from kw join q using (query_id) join cv on cv.tweet_id = kw.tweet_id where rank <= 10)"""
-register("i3_keyword_search", lambda spark, d: R.keyword_search(_messages(spark, d), _queries(_messages(spark, d))), f"with {_KEYWORDS} select query_id, tweet_id, rank from kw where rank <= 10")
+register("i3_keyword_search", lambda spark, d: K.keyword_search(_messages(spark, d), _queries(_messages(spark, d))), f"with {_KEYWORDS} select query_id, tweet_id, rank from kw where rank <= 10")
+
+
+def _by_postings(spark, d):
+    """The same search over postings that two runs have added to a stored index, the first of them twice."""
+    m, path = _messages(spark, d), fresh(spark, "postings")
+    half = lambda n: m.where(F.col("tweet_id") % 2 == n)
+    for n in (0, 1, 0):
+        K.write_postings(half(n), path, f"run_{n}")
+    return K.keyword_search(m, _queries(m), index=K.read_postings(spark, path))
+
+
+register("i3_posting_index", _by_postings, f"with {_KEYWORDS} select query_id, tweet_id, rank from kw where rank <= 10")
+
+# Events of four kinds have a cluster; the openings ask, and some of them name a company, product or region.
+_EVENT_CLUSTERS = {"error": "Application malfunction", "purchase": "Incorrect or unexpected charges", "click": "Delivery or order issue", "signup": "Account access problem"}
+_ASKED = {"company": ("query_id // 100 % 3 = 0", "Borealis"), "region": ("query_id // 100 % 4 = 0", "EUROPE"), "product": ("query_id // 100 % 7 = 0", "product_3")}
+
+
+def _clustered(spark, d):
+    named = {adapters.EVENT_TOPICS[kind]: cluster for kind, cluster in _EVENT_CLUSTERS.items()}
+    topics = F.create_map(*(F.lit(x) for pair in named.items() for x in pair))
+    return adapters.from_events(spark, d).withColumn("topic_keywords", F.coalesce(F.try_element_at(topics, F.col("topic_keywords")), F.col("topic_keywords")))
+
+
+def _filtered(spark, d):
+    asked = {c: F.expr(f"case when {when.replace('//', 'div')} then '{value}' end") for c, (when, value) in _ASKED.items()}
+    return K.filtered_search(adapters.from_events(spark, d), _queries(_messages(spark, d)).withColumns(asked))
+
+
+_PHRASE = "case " + " ".join(f"when contains(lower(query), {text(a)}) then {text(b)}" for a, b in K.CLUSTER_PHRASES) + " end"
+_EVENT_TOPIC = "case topic_keywords " + " ".join(f"when {text(adapters.EVENT_TOPICS[a])} then {text(b)}" for a, b in _EVENT_CLUSTERS.items()) + " else topic_keywords end"
+register(
+    "i3_cluster_search",
+    lambda spark, d: K.cluster_search(_clustered(spark, d), _queries(_messages(spark, d))),
+    rf"""with {adapters.CONVERSATIONS_SQL}, {adapters.EVENTS_SQL}, em as materialized (select tweet_id, text, case when sentiment = 'negative' then 0 else 1 end as tone, {_EVENT_TOPIC} as cluster from ev where inbound and length(text) >= 25),
+q as materialized (select tweet_id as query_id, text as query, {_PHRASE} as cluster from cv where tweet_id % 5000 = 1),
+top as (select * from (select *, row_number() over (partition by cluster order by tone, tweet_id desc) as rank from em) where rank <= 15),
+hit as (select query_id, top.tweet_id, rank, true as by_cluster from q join top using (cluster)),
+qw as (select query_id, list_slice(list_filter(string_split_regex({_PLAIN_QUERY}, '\s+'), lambda w: length(w) > 2 and not list_contains({_STOP}, w)), 1, 4) as words from q where query_id not in (select query_id from hit)),
+by_word as (select query_id, tweet_id, row_number() over (partition by query_id order by tone, tweet_id desc) as rank from em, qw where len(list_filter(words, lambda w: contains(lower(text || chr(1) || cluster), w))) > 0)
+select * from hit union all select query_id, tweet_id, rank, false from by_word where rank <= 15""",
+)
+_FIRST_STOP = "[" + ", ".join(map(text, K.FIRST_STOPWORDS)) + "]"
+_FITS = " and ".join(f"(not ({when}) or lower({c}) = {text(value.lower())})" for c, (when, value) in _ASKED.items())
+register(
+    "i3_filtered_search",
+    _filtered,
+    rf"""with {adapters.CONVERSATIONS_SQL}, {adapters.EVENTS_SQL}, q as (select tweet_id as query_id, {_PLAIN_QUERY.replace('query', 'text')} as plain from cv where tweet_id % 5000 = 1),
+fk as materialized (select query_id, coalesce(list_filter(string_split_regex(plain, '\s+'), lambda w: length(w) > 3 and not list_contains({_FIRST_STOP}, w))[1], case when length(plain) > 3 then plain end) as word from q),
+em as materialized (select * from ev where length(text) >= 15 and (inbound or not (contains(lower(author_id), 'help') or contains(lower(author_id), 'support'))))
+select query_id, tweet_id, rank from (select query_id, tweet_id, row_number() over (partition by query_id order by case when sentiment = 'negative' then 0 else 1 end, created_at desc, tweet_id desc) as rank from em join fk on contains(lower(text), word) and {_FITS}) where rank <= 5""",
+)
 
 
 def _tokens(c: str, extra: str = "") -> str:
@@ -176,7 +231,7 @@ def _fill(spark, d):
     """A vector's number is that of the conversation whose opening it stands for."""
     opening = lambda c: (F.col(c) * 100 + 1).alias(c)
     hits = _hits(spark, d, 6).select(opening("query_id"), opening("id"), "rank")
-    lexical = R.keyword_search(_messages(spark, d), _queries(_messages(spark, d))).withColumnRenamed("tweet_id", "id")
+    lexical = K.keyword_search(_messages(spark, d), _queries(_messages(spark, d))).withColumnRenamed("tweet_id", "id")
     return R.hybrid_fill(hits, lexical, 10)
 
 
