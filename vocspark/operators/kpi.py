@@ -25,13 +25,42 @@ def _is(label: str) -> Column:
     return F.lower("sentiment") == label
 
 
+#: Columns of a message that ``overall_sums`` reads, for tables without some of them.
+_OVERALL_COLUMNS = {"conversation_id": "string", "sentiment": "string", "response_time_minutes": "double", "priority": "string", "inbound": "boolean", "fcr": "boolean"}
+
+
+def _counts() -> list[Column]:
+    return [
+        F.count("*").alias("total_records"), F.count_if(_is("negative")).alias("negative_count"), F.count_if(_is("positive")).alias("positive_count"), F.count_if(_is("neutral")).alias("neutral_count"),
+        F.count_if(_urgent()).alias("urgent_count"), F.count_if("inbound").alias("inbound_count"), F.count_if(~F.col("inbound")).alias("outbound_count"), F.count_if(F.coalesce("fcr", F.lit(False))).alias("resolved_count"),
+    ]
+
+
+def overall_sums(messages: DataFrame) -> DataFrame:
+    """One row that can be merged with others: counts, sum and number of response times, a sketch of conversation ids. Missing columns are null."""
+    given = messages.withColumns({c: F.lit(None).cast(kind) for c, kind in _OVERALL_COLUMNS.items() if c not in messages.columns})
+    return given.agg(*_counts(), F.sum("response_time_minutes").alias("response_sum"), F.count("response_time_minutes").alias("response_count"), F.hll_sketch_agg("conversation_id", 14).alias("conversation_sketch"))
+
+
+def merged_sums(partials: DataFrame, *by: str) -> DataFrame:
+    """``overall_sums`` rows added up for each ``by``."""
+    added = [c for c in partials.columns if c.endswith(("_count", "_records", "_sum"))]
+    return partials.groupBy(*by).agg(*(F.sum(c).alias(c) for c in added), F.hll_union_agg("conversation_sketch").alias("conversation_sketch"))
+
+
+def overall_of(sums: DataFrame) -> DataFrame:
+    """The columns of ``overall`` from sums, and ``conversations``, an estimate within about 1 %."""
+    mean = F.coalesce(F.col("response_sum") / F.nullif("response_count", F.lit(0)), F.lit(0.0))
+    out = sums.withColumns({"avg_response_time_minutes": mean, "conversations": F.hll_sketch_estimate("conversation_sketch")})
+    return _with_rates(out.drop("response_sum", "response_count", "conversation_sketch"))
+
+
 def overall(messages: DataFrame) -> DataFrame:
     """One row of counts and rates in one pass. Resolution falls back from resolved over all to outbound over inbound."""
-    out = messages.agg(
-        F.count("*").alias("total_records"), F.count_if(_is("negative")).alias("negative_count"), F.count_if(_is("positive")).alias("positive_count"), F.count_if(_is("neutral")).alias("neutral_count"),
-        F.coalesce(F.avg("response_time_minutes"), F.lit(0.0)).alias("avg_response_time_minutes"), F.count_if(_urgent()).alias("urgent_count"),
-        F.count_if("inbound").alias("inbound_count"), F.count_if(~F.col("inbound")).alias("outbound_count"), F.count_if(F.coalesce("fcr", F.lit(False))).alias("resolved_count"),
-    )
+    return _with_rates(messages.agg(*_counts(), F.coalesce(F.avg("response_time_minutes"), F.lit(0.0)).alias("avg_response_time_minutes")))
+
+
+def _with_rates(out: DataFrame) -> DataFrame:
     total = F.col("total_records")
     by_answers = F.when(F.col("inbound_count") > 0, F.least(F.lit(100.0), F.col("outbound_count") / F.col("inbound_count") * 100)).otherwise(0.0)
     return out.withColumns({

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from vocspark.functions import text as X
 from vocspark.functions import wordlists as W
 from vocspark.operators import dispatch
+from vocspark.plans.kpi_queries import _OVERALL, _OVERALL_RATES
 from vocspark.plans.message_queries import _STATES
 from vocspark.plans.registry import over_events, register
 from vocspark.plans.text_queries import SQL, _any, text
@@ -160,6 +161,13 @@ def _ingested(spark, d):
     return spark.read.parquet(out), spark.read.parquet(log)
 
 
+def _final_kpi(spark, d):
+    kept = jobs.ingest_run(_source(spark, d, "kpi-in"), fresh(spark, "kpi-run"), "run_s")
+    return kept.drop("conversations").withColumn("avg_response_time_minutes", F.round("avg_response_time_minutes", 6))
+
+
+_FINAL = _OVERALL.replace("sentiment", "s2").replace("from ev)", "from en)").replace("avg(response_time_minutes)", "round(avg(response_time_minutes), 6)")
+register("j1_final_kpi", _final_kpi, f"{_EV}, {_ENRICHED}, {_FINAL} select *, 'run_s' as dataset_run_id, {_OVERALL_RATES} from ov")
 register("j1_stream_ingest", lambda spark, d: _ingested(spark, d)[0].groupBy("sentiment", "topic_keywords").agg(F.count("*").alias("n")), f"{_EV}, {_ENRICHED} select s2 as sentiment, t2 as topic_keywords, count(*) as n from en group by 1, 2")
 register("j2_stream_progress", lambda spark, d: jobs.cumulative(_ingested(spark, d)[1]).groupBy("dataset_run_id", "status").agg(F.max("total_rows").alias("total_rows")), f"{_EV} select 'run_s' as dataset_run_id, 'written' as status, count(*) as total_rows from ev")
 
@@ -175,14 +183,21 @@ def _j3(spark, d):
 register("j3_backfill_language", _j3, f"{_EV} select tweet_id, case when tweet_id % 4 = 0 then 'xx' else {SQL['language']('text')} end as detected_language from ev")
 
 
-def _arrivals(spark, d, name, stream, mode):
-    """``stream`` over messages that arrive eight days at a time, then late ones, then one that closes all windows; its output as a table."""
+def _arrivals(spark, d, name, stream, mode, newest_first=False):
+    """``stream`` over messages that arrive eight days at a time, then late ones, then one that closes all windows; its output as a table.
+
+    With ``newest_first`` sixteen days come in two parts, the afternoons before the mornings.
+    """
     path, out, point = fresh(spark, f"{name}-in"), fresh(spark, f"{name}-out"), fresh(spark, f"{name}-point")
     m = adapters.from_events(spark, d)
-    eight = [m.where(F.dayofmonth("created_at").between(first, first + 7)) for first in range(1, 32, 8)]
+    days = lambda first, n: m.where(F.dayofmonth("created_at").between(first, first + n - 1))
+    if newest_first:
+        parts = [days(first, 16).where((F.hour("created_at") < 12) == morning) for first in (1, 17) for morning in (False, True)]
+    else:
+        parts = [days(first, 8) for first in range(1, 32, 8)]
     late = m.where(F.dayofmonth("created_at") <= 2).withColumn("conversation_id", F.concat(F.lit("late-"), "conversation_id"))
     close = m.where("tweet_id = 1").withColumns({"created_at": F.lit("2030-01-01").cast("timestamp"), "conversation_id": F.lit("close")})
-    for part in (*eight, late, close):
+    for part in (*parts, late, close):
         part.write.mode("append").parquet(path)
         found = jobs.run_to_files(stream(jobs.read_stream(spark, path, m.schema, 10_000)), out, point, mode)
     return found
@@ -196,7 +211,7 @@ register("j4_stream_trend", _j4, f"{_EV} select strftime(created_at, '%Y-%m-%d 0
 
 
 def _j5(spark, d):
-    states = _arrivals(spark, d, "state", jobs.conversation_states, "update").where("conversation_id <> 'close' and conversation_id not like 'late-%'")
+    states = _arrivals(spark, d, "state", lambda m: jobs.conversation_states(m, "17 days"), "update", newest_first=True).where("conversation_id <> 'close' and conversation_id not like 'late-%'")
     last = states.groupBy("conversation_id").agg(F.max_by(F.struct("messages_count", "reopened", "resolved", "escalated", "ended"), F.struct("messages_count", "ended")).alias("s"))
     return last.select("conversation_id", "s.*")
 

@@ -15,10 +15,11 @@ from vocspark.sources import adapters
 
 _OVERALL = """ov as (select count(*) as total_records, count(*) filter (sentiment = 'negative') as negative_count, count(*) filter (sentiment = 'positive') as positive_count, count(*) filter (sentiment = 'neutral') as neutral_count,
   avg(response_time_minutes) as avg_response_time_minutes, count(*) filter (priority in ('high', 'urgent', 'critical')) as urgent_count, count(*) filter (inbound) as inbound_count, count(*) filter (not inbound) as outbound_count, count(*) filter (fcr) as resolved_count from ev)"""
+_OVERALL_RATES = "negative_count * 100.0 / total_records as negative_percentage, positive_count * 100.0 / total_records as positive_percentage, 100.0 - (negative_count + positive_count) * 100.0 / total_records as neutral_percentage, resolved_count * 100.0 / total_records as resolution_rate, urgent_count * 100.0 / total_records as escalation_rate, (positive_count + 0.5 * neutral_count) * 100.0 / total_records as csat_proxy"
 over_events(
     "e9_overall_kpi",
     kpi.overall,
-    f", {_OVERALL} select *, negative_count * 100.0 / total_records as negative_percentage, positive_count * 100.0 / total_records as positive_percentage, 100.0 - (negative_count + positive_count) * 100.0 / total_records as neutral_percentage, resolved_count * 100.0 / total_records as resolution_rate, urgent_count * 100.0 / total_records as escalation_rate, (positive_count + 0.5 * neutral_count) * 100.0 / total_records as csat_proxy from ov",
+    f", {_OVERALL} select *, {_OVERALL_RATES} from ov",
 )
 over_events("e10_direct_rates", kpi.direct_rates, "select avg(fcr::int) * 100 as fcr_rate, avg(escalated::int) * 100 as escalated_rate, avg(reopened::int) * 100 as reopened_rate, avg(fcr::int) * 100 as resolution_rate, avg(escalated::int) * 100 as escalation_rate, avg(reopened::int) * 100 as reopen_rate from ev")
 over_events(

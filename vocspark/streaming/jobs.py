@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vocspark.functions import text as X
 from vocspark.functions import wordlists as W
+from vocspark.operators import kpi
 from vocspark.sources import io
 
 
@@ -24,22 +26,58 @@ def enrich(messages: DataFrame) -> DataFrame:
     return m.withColumn("cluster_name", X.cluster_name("topic_keywords")).drop("_s", "_t")
 
 
-def ingest(stream: DataFrame, out: str, progress: str, checkpoint: str, run_id: str) -> StreamingQuery:
+def ingest(stream: DataFrame, out: str, progress: str, checkpoint: str, run_id: str, partials: str | None = None) -> StreamingQuery:
     """Enrich each micro-batch and write it with a progress row; ends when all input there is has been read.
 
-    A batch has a partition of its own, which a retry overwrites, so rows are written once.
+    A batch has a partition of its own, which a retry overwrites, so rows are written once. Progress
+    has its rows, seconds and rows a second. With ``partials``, a batch also leaves its part of the
+    run's KPI there (``kpi.overall_sums``), made of the rows that it wrote; a retry replaces it too.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = enrich(batch).withColumn("dataset_run_id", F.lit(run_id)).withColumn("batch_id", F.lit(number))
-        mode = {"partitionOverwriteMode": "dynamic"}
-        rows.write.mode("overwrite").options(**mode).partitionBy("dataset_run_id", "batch_id").parquet(out)
-        done = batch.sparkSession.read.parquet(out).where((F.col("dataset_run_id") == run_id) & (F.col("batch_id") == number))
-        done.groupBy().agg(F.count("*").alias("rows")).withColumn("status", F.lit("written")).withColumn("dataset_run_id", F.lit(run_id)).withColumn("batch_id", F.lit(number)).write.mode("overwrite").options(**mode).partitionBy("dataset_run_id", "batch_id").parquet(progress)
+        began = time.monotonic()
+        named = lambda df: df.withColumns({"dataset_run_id": F.lit(run_id), "batch_id": F.lit(number)})
+        save = lambda df, path: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_run_id", "batch_id").parquet(path)
+        rows = named(enrich(batch))
+        save(rows, out)
+        done = batch.sparkSession.read.schema(rows.schema).parquet(out).where((F.col("dataset_run_id") == run_id) & (F.col("batch_id") == number))
+        if partials:
+            save(named(kpi.overall_sums(done)), partials)
+        counted = done.agg(F.count("*").alias("rows"))
+        seconds = F.lit(max(0.05, time.monotonic() - began))
+        save(named(counted.withColumns({"status": F.lit("written"), "seconds": seconds, "rows_per_second": F.col("rows") / seconds})), progress)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def final_kpi(partials: DataFrame) -> DataFrame:
+    """The KPI of each run (``kpi.overall`` and an estimate of its conversations) from what its batches left.
+
+    Sums are added and sketches of conversation ids merged, so no message is read again.
+    """
+    return kpi.overall_of(kpi.merged_sums(partials, "dataset_run_id"))
+
+
+def ingest_run(stream: DataFrame, folder: str, run_id: str) -> DataFrame:
+    """``ingest`` to its end, then one row of ``final_kpi`` for the run in ``folder``/summary, which is returned.
+
+    The run's status (running, then completed or failed) is appended to ``folder``/status; a failed
+    run raises, and the same call goes on after the last whole batch.
+    """
+    spark = stream.sparkSession
+    say = lambda status: spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(status).alias("status"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{folder}/status")
+    say("running")
+    try:
+        ingest(stream, f"{folder}/rows", f"{folder}/progress", f"{folder}/checkpoint", run_id, f"{folder}/partials").awaitTermination()
+        one = final_kpi(spark.read.parquet(f"{folder}/partials").where(F.col("dataset_run_id") == run_id))
+        one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_run_id").parquet(f"{folder}/summary")
+    except Exception:
+        say("failed")
+        raise
+    say("completed")
+    return spark.read.parquet(f"{folder}/summary").where(F.col("dataset_run_id") == run_id)
+
+
 def cumulative(progress: DataFrame) -> DataFrame:
     """Progress with the rows of all batches so far."""
     from pyspark.sql import Window
@@ -65,24 +103,28 @@ def trend(messages: DataFrame, size: str = "1 day", late: str = "1 hour") -> Dat
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("period"), "total", "positive", "negative", "inbound")
 
 
-STATE = "messages long, last_at long, last_id long, last_inbound boolean, reopened boolean, escalated boolean"
+STATE = "messages long, first_out array<long>, last_in array<long>, last_out array<long>, last array<long>, escalated boolean"
 STATES = "conversation_id string, messages_count long, reopened boolean, resolved boolean, escalated boolean, ended boolean"
+#: Before and after every place (microseconds, id) of a message.
+BEFORE, AFTER = (-(2**62), -(2**62)), (2**62, 2**62)
 
 
 def _update(idle_ms: int):
     def update(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, at, last_id, inbound, reopened, escalated = state.get if state.exists else (0, 0, 0, True, False, False)
+        n, *places, escalated = state.get if state.exists else (0, AFTER, BEFORE, BEFORE, BEFORE, False)
+        first_out, last_in, last_out, last = map(tuple, places)
         ended = state.hasTimedOut
         if ended:
             state.remove()
         else:
-            for r in pd.concat(list(batches)).sort_values(["created_at", "tweet_id"]).itertuples():
-                reopened = reopened or (n > 0 and r.inbound and not inbound)
-                escalated = escalated or bool(r.inbound and (str(r.priority).lower() in W.URGENT or str(r.sentiment).lower() == "negative"))
-                n, at, last_id, inbound = n + 1, max(at, int(r.created_at.timestamp() * 1000)), int(r.tweet_id), bool(r.inbound)
-            state.update((n, at, last_id, inbound, reopened, escalated))
-            state.setTimeoutTimestamp(max(at + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"conversation_id": [key[0]], "messages_count": [n], "reopened": [reopened], "resolved": [not inbound], "escalated": [escalated], "ended": [ended]})
+            for part in batches:
+                at = list(zip(part["at"].tolist(), part["id"].tolist(), strict=True))
+                out, into = ([place for place, yes in zip(at, part[side], strict=True) if yes] for side in ("out", "into"))
+                n, last, escalated = n + len(part), max([last, *at]), bool(escalated or part["urgent"].any())
+                first_out, last_out, last_in = min([first_out, *out]), max([last_out, *out]), max([last_in, *into])
+            state.update((n, list(first_out), list(last_in), list(last_out), list(last), escalated))
+            state.setTimeoutTimestamp(max(last[0] // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"conversation_id": [key[0]], "messages_count": [n], "reopened": [first_out < last_in], "resolved": [last == last_out], "escalated": [escalated], "ended": [ended]})
 
     return update
 
@@ -90,11 +132,19 @@ def _update(idle_ms: int):
 def conversation_states(messages: DataFrame, late: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
     """A row per conversation and batch with its state so far; the last one is the conversation's.
 
-    State is a few values per conversation, not its messages. Within a batch, messages are taken
-    in order of time and id; batches are taken as they come. A conversation whose last message is
-    ``idle_ms`` older than the watermark ends: it has a last row with ``ended``, and its state goes.
+    Messages count by their place (time, id) and not by arrival: a customer has come back if their
+    last message is behind the first of an agent, and the conversation is resolved if an agent's
+    message is the last of all. So the state is four places, a count and a flag per conversation,
+    whatever the batches, and equals that of a batch run over the same messages. A message of
+    unknown side counts but is of neither; without a time it is before all others, without an id
+    before those of its time. A conversation whose last message is ``idle_ms`` older than the
+    watermark ends: it has a last row with ``ended``, and its state goes.
     """
-    rows = messages.select("conversation_id", "tweet_id", "created_at", "inbound", "priority", "sentiment").withWatermark("created_at", late)
+    into, urgent = F.coalesce("inbound", F.lit(False)), F.lower("priority").isin(list(W.URGENT)) | (F.lower("sentiment") == "negative")
+    rows = messages.withWatermark("created_at", late).select(
+        "conversation_id", "created_at", F.coalesce(F.unix_micros("created_at"), F.lit(BEFORE[0])).alias("at"), F.coalesce("tweet_id", F.lit(BEFORE[1])).alias("id"),
+        into.alias("into"), F.coalesce(~F.col("inbound"), F.lit(False)).alias("out"), (into & F.coalesce(urgent, F.lit(False))).alias("urgent"),
+    )
     return rows.groupBy("conversation_id").applyInPandasWithState(_update(idle_ms), STATES, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
