@@ -271,3 +271,28 @@ def test_focus_of_negated_queries(query, focus):
     from vocspark.functions.search_text import _split_focus
 
     assert _split_focus(query)[0] == focus
+
+
+def test_diversity_figures(spark):
+    rows = [(1, 10, 1, "My phone is dead."), (1, 11, 2, "my phone is DEAD"), (1, 12, 3, "the parcel never came to me"), (1, 13, 4, " "), (1, 14, 5, "the parcel never came to us"), (2, 20, 1, None), (3, 30, 1, "a b c"), (3, 31, 2, "d e f"), (3, 32, 3, "g h i")]
+    c = spark.createDataFrame(rows, "query_id long, id long, rank int, text string")
+    judged = retrieval.diversify(c, 0.65, 2)
+    found = {(r["id"]): (r["kept"], r["duplicate_of"], r["duplicate_similarity"] and round(r["duplicate_similarity"], 2)) for r in judged.collect()}
+    assert found == {10: (True, None, None), 11: (False, 10, 1.0), 12: (True, None, None), 30: (True, None, None), 31: (True, None, None)}
+    assert sorted(map(tuple, retrieval.diversity(c, judged).collect())) == [(1, 5, 2, 1, 0.4), (2, 1, 0, 0, 0.0), (3, 3, 2, 0, 0.667)]
+    assert retrieval.diversity(c.limit(0), judged.limit(0)).count() == 0
+
+
+def test_sketched_medians_merge(spark):
+    from vocspark.operators import convdoc
+
+    view = spark.range(40_000).selectExpr("id % 7 as day", "id % 3 as kind", "id % 5 <> 0 as resolved", "case when id % 11 <> 0 then pow(id % 9973, 2) end as duration_minutes")
+    kept = convdoc.resolution_sketches(view, "day", "kind")
+    assert kept.count() == 21 and kept.select(F.max(F.length("sketch"))).first()[0] < 20_000
+    for by in (["kind"], []):
+        times = {tuple(r[c] for c in by): r for r in convdoc.sketched_times(kept, *by).collect()}
+        for r in view.where("resolved").groupBy(*by).agg(F.count("*").alias("n"), F.avg("duration_minutes").alias("mean"), F.percentile("duration_minutes", [0.5 - convdoc.RANK_ERROR, 0.5 + convdoc.RANK_ERROR]).alias("p")).collect():
+            t = times[tuple(r[c] for c in by)]
+            assert t["resolved"] == r["n"] and t["average_minutes"] == pytest.approx(r["mean"]) and r["p"][0] <= t["median_minutes"] <= r["p"][1]
+    nothing = convdoc.sketched_times(convdoc.resolution_sketches(view.where("duration_minutes is null"), "kind"), "kind")
+    assert all(r["median_minutes"] is None and r["average_minutes"] is None for r in nothing.collect()) and nothing.count() == 3

@@ -117,25 +117,39 @@ def comparable(c: Column) -> Column:
 
 
 def diversify(candidates: DataFrame, threshold: float = 0.65, most: int = 5) -> DataFrame:
-    """(query_id, id, rank, kept, duplicate_of): ranked results without near repeats, greedily, up to ``most`` kept.
+    """(query_id, id, rank, kept, duplicate_of, duplicate_similarity): ranked results without near repeats, greedily, up to ``most`` kept.
 
     Results of a query are few (a candidate limit), so each query is one group. Those after the
-    last kept one are not judged and not returned.
+    last kept one are not judged and not returned, nor are results without text.
     """
 
+    def likeness(a: str, b: str) -> float:
+        return 0.0 if not a or not b else 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, kept = [], []
         for r in pdf.sort_values("rank").itertuples():
-            twin = next((k for k in kept if r.form and k.form and (r.form == k.form or difflib.SequenceMatcher(None, r.form, k.form).ratio() >= threshold)), None)
-            rows.append((r.query_id, r.id, r.rank, twin is None, None if twin is None else twin.id))
-            if twin is None:
+            twin, near = next(((k.id, x) for k in kept if (x := likeness(r.form, k.form)) >= threshold), (None, None))
+            rows.append((r.query_id, r.id, r.rank, near is None, twin, near))
+            if near is None:
                 kept.append(r)
                 if len(kept) == most:
                     break
-        return pd.DataFrame(rows, columns=["query_id", "id", "rank", "kept", "duplicate_of"]).astype({"duplicate_of": "Int64"})
+        return pd.DataFrame(rows, columns=["query_id", "id", "rank", "kept", "duplicate_of", "duplicate_similarity"]).astype({"duplicate_of": "Int64", "duplicate_similarity": "float64"})
 
     forms = candidates.where(F.length(F.trim("text")) > 0).select("query_id", "id", "rank", comparable(F.col("text")).alias("form"))
-    return forms.groupBy("query_id").applyInPandas(judge, "query_id long, id long, rank int, kept boolean, duplicate_of long")
+    return forms.groupBy("query_id").applyInPandas(judge, "query_id long, id long, rank int, kept boolean, duplicate_of long, duplicate_similarity double")
+
+
+def diversity(candidates: DataFrame, judged: DataFrame) -> DataFrame:
+    """(query_id, original_count, deduped_count, removed_count, diversity_ratio) of each query from what ``diversify`` has judged.
+
+    The ratio is that of kept to all candidates, those without text and those not judged among them.
+    """
+    counts = judged.groupBy("query_id").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("removed"))
+    out = candidates.groupBy("query_id").agg(F.count("*").alias("original_count")).join(counts, "query_id", "left")
+    out = out.select("query_id", "original_count", F.coalesce("kept", F.lit(0)).alias("deduped_count"), F.coalesce("removed", F.lit(0)).alias("removed_count"))
+    return out.withColumn("diversity_ratio", F.round(F.col("deduped_count") / F.col("original_count"), 3))
 
 
 def distinct_snippets(candidates: DataFrame, most: int = 12, chars: int = 500) -> DataFrame:

@@ -192,6 +192,7 @@ ls as (select query_id, 0 as list_no, rank as depth, id from cand union all sele
 register("i7_interleave", lambda spark, d: R.interleave(_lists(spark, d)), f"with {_LISTS} select query_id, id, row_number() over (partition by query_id order by depth, list_no) as place from (select *, row_number() over (partition by query_id, id order by depth, list_no) as n from ls) where n = 1")
 register("i8_rank_fusion", lambda spark, d: R.fuse(_lists(spark, d)), f"with {_LISTS} select query_id, id, sum(1.0 / (60 + depth)) as rrf from ls group by 1, 2")
 register("i9_diversify", lambda spark, d: R.diversify(_candidates(spark, d)))
+register("i9_diversity", lambda spark, d: (lambda c: R.diversity(c, R.diversify(c)))(_candidates(spark, d)))
 _FORM = r"trim(regexp_replace(regexp_replace({}, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
 _PLAIN = "lower(coalesce(text, ''))"
 for _pattern, _plain in R._CONTRACTIONS:

@@ -27,6 +27,20 @@ over_conversations("e28_escalation_rates", lambda m: convdoc.escalation_rates(_v
 over_conversations("e29_resolution_rates", lambda m: convdoc.resolution_rates(_view(m)), f", {VIEW_SQL} select 'all' as value, count(*) as conversations, avg(resolved::int) * 100 as resolution_rate from cw union all select issue_category, count(*), avg(resolved::int) * 100 from cw group by 1")
 over_conversations("e29_category_sentiment", lambda m: convdoc.category_sentiment(_rows(m)), f", {VIEW_SQL} select issue_category, count(*) as messages, avg(sentiment_score) as avg_score, avg((sentiment = 'negative')::int) * 100 as negative_percentage from b3 group by 1")
 over_conversations("e30_resolution_times", lambda m: convdoc.resolution_times(_view(m)), f", {VIEW_SQL} select count(*) as resolved, avg(duration_minutes) as average_minutes, median(duration_minutes) as median_minutes from cw where resolved")
+
+
+def _sketched(m):
+    """Sketches by category and number of messages, merged by category, and whether the median found has half of the exact minutes on either side."""
+    view = _view(m).select("issue_category", "messages", "resolved", "duration_minutes")
+    times = convdoc.sketched_times(convdoc.resolution_sketches(view, "issue_category", "messages"), "issue_category")
+    found = times.select("issue_category", F.col("median_minutes").alias("found"))
+    share = lambda yes: F.avg(yes.cast("int"))
+    minutes, slack = F.col("duration_minutes"), convdoc.RANK_ERROR
+    halves = view.where("resolved and duration_minutes is not null").join(found, "issue_category").groupBy("issue_category").agg(((share(minutes < F.col("found")) <= 0.5 + slack) & (share(minutes <= F.col("found")) >= 0.5 - slack)).alias("median_holds"))
+    return times.select("issue_category", "resolved", F.round("average_minutes", 6).alias("average_minutes")).join(halves, "issue_category")
+
+
+over_conversations("e30_sketched_times", _sketched, f", {VIEW_SQL} select issue_category, count(*) as resolved, round(avg(duration_minutes), 6) as average_minutes, true as median_holds from cw where resolved group by 1")
 _TOP = "select field, value, n, row_number() over (partition by field order by n desc, value) as rank from (select field, value, count(*) as n from (unpivot (select {cols} from cw{where}) on {cols} into name field value value) where value <> 'Unknown' group by 1, 2)"
 _COLS = "issue_category, issue_subcategory, pain_point, sentiment"
 over_conversations("e31_top_labels", lambda m: convdoc.top_labels(_view(m), _COLS.split(", ")), f", {VIEW_SQL} select * from ({_TOP.format(cols=_COLS, where='')}) where rank <= 5")

@@ -148,6 +148,64 @@ def last_rows(history: DataFrame, most: int = 15) -> DataFrame:
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, id_col: str, low: int, high: int, partitions: int, properties: dict[str, str] | None = None) -> DataFrame:
-    """A database table in ranges of its id, read in parallel. Needs the driver's jar and a server."""
+    """A database table in equal ranges of its id, read in parallel. Needs the driver's jar and a server."""
     options = {"url": url, "dbtable": table, "partitionColumn": id_col, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
     return spark.read.format("jdbc").options(**options, **(properties or {})).load()
+
+
+#: Parts into which one query of counts divides a range of ids.
+JDBC_PARTS = 256
+
+
+def jdbc_ranges(spark: SparkSession, url: str, table: str, id_col: str, most_rows: int, properties: dict[str, str] | None = None) -> list[tuple[int, int]]:
+    """Ranges [low, high) of a whole-number id that cover a table in order, of at most ``most_rows`` rows each as counted.
+
+    The database counts rows in ``JDBC_PARTS`` parts of a range; a part with too many is counted in
+    parts again, and neighbours are put together while they fit. Only a single id that occurs more
+    often than that is a range by itself. The driver gets counts of parts, never rows. Empty for
+    a table without ids; nulls are in no range.
+    """
+    name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(id_col)
+
+    def ask(query: str) -> list:
+        return spark.read.format("jdbc").options(url=url, query=query, **(properties or {})).load().collect()
+
+    low, high = ask(f"select min({name}) as a, max({name}) as b from {table}")[0]
+    if low is None:
+        return []
+    counted, open_ = [], [(int(low), int(high) + 1)]
+    while open_:
+        first, end = open_.pop()
+        width = max(1, -(-(end - first) // JDBC_PARTS))
+        place = f"{name} - ({first})"
+        part = f"({place} - mod({place}, {width})) / {width}"
+        rows = ask(f"select part, count(*) as n from (select {part} as part from {table} where {name} >= {first} and {name} < {end}) p group by part")
+        for no, n in rows:
+            begin = first + int(no) * width
+            if n > most_rows and width > 1:
+                open_.append((begin, min(end, begin + width)))
+            else:
+                counted.append((begin, min(end, begin + width), int(n)))
+    ranges: list[tuple[int, int]] = []
+    held = 0
+    for begin, end, n in sorted(counted):
+        if ranges and held + n <= most_rows:
+            ranges[-1], held = (ranges[-1][0], end), held + n
+        else:
+            ranges.append((begin, end))
+            held = n
+    return ranges
+
+
+def read_jdbc_measured(spark: SparkSession, url: str, table: str, id_col: str, most_rows: int = 1_000_000, properties: dict[str, str] | None = None) -> DataFrame:
+    """A database table in parallel reads of about ``most_rows`` rows by counted ranges of its id (``jdbc_ranges``), however its ids lie.
+
+    The reads cover every id: each begins where the one before ends, the first and last are open, so
+    that rows which come in after the count are read too, and rows without an id are one read more.
+    """
+    name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(id_col)
+    cuts = [begin for begin, _ in jdbc_ranges(spark, url, table, id_col, most_rows, properties)][1:]
+    sides = [f"{name} >= {cut}" for cut in cuts], [f"{name} < {cut}" for cut in cuts]
+    reads = [" and ".join(filter(None, pair)) for pair in zip([None, *sides[0]], [*sides[1], None], strict=True)]
+    reads = [r or f"{name} is not null" for r in reads]
+    return spark.read.jdbc(url, table, predicates=[*reads, f"{name} is null"], properties=properties or {})
