@@ -296,3 +296,26 @@ def test_sketched_medians_merge(spark):
             assert t["resolved"] == r["n"] and t["average_minutes"] == pytest.approx(r["mean"]) and r["p"][0] <= t["median_minutes"] <= r["p"][1]
     nothing = convdoc.sketched_times(convdoc.resolution_sketches(view.where("duration_minutes is null"), "kind"), "kind")
     assert all(r["median_minutes"] is None and r["average_minutes"] is None for r in nothing.collect()) and nothing.count() == 3
+
+
+def test_drop_run_touches_no_other(spark, tmp_path):
+    from vocspark.sources import io
+
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a/b =c"), (2, "d"), (3, None), (4, "d")], "n int, dataset_run_id string")
+    io.append_messages(rows, path)
+    before = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet") if "=d" in str(f)}
+    assert io.drop_run(spark, path, "a/b =c") and not io.drop_run(spark, path, "a/b =c") and not io.drop_run(spark, path, "no such run")
+    assert sorted(r["n"] for r in spark.read.parquet(path).collect()) == [2, 3, 4]
+    assert io.drop_run(spark, path, None)
+    assert sorted(r["n"] for r in spark.read.parquet(path).collect()) == [2, 4]
+    assert before == {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")} and not list((tmp_path / "t").glob("_dropped*"))
+
+
+def test_emerging_issues_keep_growth_from_the_limit_on(spark):
+    """Four categories grow by 20 %, under 20 %, over it, and from nothing; the last observed day counts."""
+    counts = {"at": (5, 6), "under": (6, 7), "over": (2, 5), "first": (0, 3), "less": (5, 2)}
+    rows = [(c, T0.date() + timedelta(days=4 * day), f"{c}-{day}-{i}") for c, per_day in counts.items() for day, n in enumerate(per_day) for i in range(n)]
+    rows += rows[:3]
+    found = trends.emerging_issues(spark.createDataFrame(rows, "issue_category string, date date, conversation_id string")).collect()
+    assert {r["category"]: (r["previous"], r["conversations"], round(r["growth"], 6)) for r in found} == {"at": (5, 6, 20.0), "over": (2, 5, 150.0)}

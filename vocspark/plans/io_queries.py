@@ -98,7 +98,8 @@ over_events("a9_payloads", lambda m: io.payloads(m.groupBy("dataset_run_id").agg
 
 def _a10(spark, d):
     path = fresh(spark, "kept")
-    io.append_messages(io.without_run(adapters.from_events(spark, d), "run_a"), path)
+    io.append_messages(adapters.from_events(spark, d), path)
+    io.drop_run(spark, path, "run_a")
     return spark.read.parquet(path).groupBy("dataset_run_id").agg(F.count("*").alias("n"))
 
 

@@ -13,6 +13,7 @@ from vocspark.plans.message_queries import VIEW_SQL
 from vocspark.plans.registry import over_conversations, over_events, text
 from vocspark.plans.text_queries import SQL
 from vocspark.sources import adapters
+from vocspark.sources.scratch import Scratch
 
 
 def _rows(m):
@@ -23,6 +24,12 @@ def _view(m):
     return conversation.view(_rows(m))
 
 
+def _both(m):
+    """Conversations and messages; these are made and written once."""
+    rows = Scratch(m.sparkSession, "batch-rows").keep(_rows(m))
+    return conversation.view(rows), rows
+
+
 over_conversations("e28_escalation_rates", lambda m: convdoc.escalation_rates(_view(m)), f", {VIEW_SQL} select 'overall' as dimension, 'all' as value, count(*) as conversations, avg(escalated::int) * 100 as escalation_rate from cw " + " ".join(f"union all select '{c}', {c}, count(*), avg(escalated::int) * 100 from cw group by {c}" for c in ("issue_category", "sentiment", "priority")))
 over_conversations("e29_resolution_rates", lambda m: convdoc.resolution_rates(_view(m)), f", {VIEW_SQL} select 'all' as value, count(*) as conversations, avg(resolved::int) * 100 as resolution_rate from cw union all select issue_category, count(*), avg(resolved::int) * 100 from cw group by 1")
 over_conversations("e29_category_sentiment", lambda m: convdoc.category_sentiment(_rows(m)), f", {VIEW_SQL} select issue_category, count(*) as messages, avg(sentiment_score) as avg_score, avg((sentiment = 'negative')::int) * 100 as negative_percentage from b3 group by 1")
@@ -50,7 +57,7 @@ over_conversations(
     lambda m: convdoc.flagged(_view(m), "recurring_after_solution"),
     f", {VIEW_SQL} select 'all' as kind, 'all' as value, count(*) filter (recurring_after_solution) as n, avg(recurring_after_solution::int) * 100 as rate from cw union all select field, value, n, null from ({_TOP.format(cols='issue_category, pain_point', where=' where recurring_after_solution')}) where rank <= 5",
 )
-over_conversations("e33_sentiment_impact", lambda m: convdoc.sentiment_impact(_view(m), _rows(m)), f", {VIEW_SQL} select sentiment, conversations, resolution_rate, escalation_rate, avg_response_minutes from (select sentiment, count(*) as conversations, avg(resolved::int) * 100 as resolution_rate, avg(escalated::int) * 100 as escalation_rate from cw group by 1) left join (select sentiment, avg(response_time_minutes) as avg_response_minutes from b3 group by 1) using (sentiment)")
+over_conversations("e33_sentiment_impact", lambda m: convdoc.sentiment_impact(*_both(m)), f", {VIEW_SQL} select sentiment, conversations, resolution_rate, escalation_rate, avg_response_minutes from (select sentiment, count(*) as conversations, avg(resolved::int) * 100 as resolution_rate, avg(escalated::int) * 100 as escalation_rate from cw group by 1) left join (select sentiment, avg(response_time_minutes) as avg_response_minutes from b3 group by 1) using (sentiment)")
 over_conversations(
     "e34_ai_impact",
     lambda m: convdoc.ai_impact(_view(m).withColumns({"ai_solution_proposed": F.col("messages") > 3, "ai_solution_successful": F.col("resolved"), "sentiment_before": F.lit(-1.0), "sentiment_after": F.col("messages") % 2})),
@@ -58,7 +65,7 @@ over_conversations(
 )
 over_conversations(
     "e35_document",
-    lambda m: convdoc.document(_view(m), _rows(m)).select(F.get_json_object("document", "$.conversations").cast("long").alias("conversations"), F.get_json_object("document", "$.messages").cast("long").alias("messages"), F.get_json_object("document", "$.times.resolved").cast("long").alias("resolved"), F.get_json_object("document", "$.labels[0].value").alias("top_category"), F.get_json_object("document", "$.ai.status").alias("ai")),
+    lambda m: convdoc.document(*_both(m)).select(F.get_json_object("document", "$.conversations").cast("long").alias("conversations"), F.get_json_object("document", "$.messages").cast("long").alias("messages"), F.get_json_object("document", "$.times.resolved").cast("long").alias("resolved"), F.get_json_object("document", "$.labels[0].value").alias("top_category"), F.get_json_object("document", "$.ai.status").alias("ai")),
     f", {VIEW_SQL} select count(*) as conversations, cast(sum(messages) as bigint) as messages, count(*) filter (resolved) as resolved, (select issue_category from cw where issue_category <> 'Unknown' group by 1 order by count(*) desc, 1 limit 1) as top_category, 'not_available' as ai from cw",
 )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,6 +113,23 @@ def without_run(df: DataFrame, run_id: str) -> DataFrame:
     return df.where(F.col("dataset_run_id") != run_id)
 
 
+def drop_run(spark: SparkSession, path: str, run_id: str | None, run: str = "dataset_run_id") -> bool:
+    """Take a run out of a table partitioned by run; whether it was there. No other run is read or written.
+
+    The run's folder gets a hidden name in one step, so that who starts to read sees all of it or
+    nothing, and is deleted then; what a lost driver leaves under such a name no reader sees. A
+    store without renames moves file by file. Null names the rows without a run.
+    """
+    jvm = spark._jvm.org.apache
+    folder = jvm.hadoop.fs.Path(path, jvm.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(run, run_id))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    hidden = jvm.hadoop.fs.Path(path, f"_dropped-{uuid.uuid4().hex}")
+    if not files.exists(folder) or not files.rename(folder, hidden):
+        return False
+    files.delete(hidden, True)
+    return True
+
+
 def payloads(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., payload): all other columns as one JSON document."""
     return df.select(*keys, F.to_json(F.struct(*(c for c in df.columns if c not in keys))).alias("payload"))
