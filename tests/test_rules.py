@@ -319,3 +319,25 @@ def test_emerging_issues_keep_growth_from_the_limit_on(spark):
     rows += rows[:3]
     found = trends.emerging_issues(spark.createDataFrame(rows, "issue_category string, date date, conversation_id string")).collect()
     assert {r["category"]: (r["previous"], r["conversations"], round(r["growth"], 6)) for r in found} == {"at": (5, 6, 20.0), "over": (2, 5, 150.0)}
+
+
+def test_metrics_share_their_passes(spark, monkeypatch):
+    """Seven metrics of totals and four of topics read the messages twice; each equals what it gives alone."""
+    from tests.conftest import SF
+    from vocspark.operators import dispatch
+    from vocspark.sources import adapters
+
+    passes = []
+    for base, make in dict(dispatch.BASES).items():
+        monkeypatch.setitem(dispatch.BASES, base, lambda m, base=base, make=make: passes.append(base) or make(m))
+    m = adapters.from_events(spark, SF)
+    names = ["kpi_summary", "response_time", "resolution_rate", "escalation_rate", "reopen_rate", "fcr", "direct_rates", "topics_batch", "priorities", "cluster_sentiment_stats", "customer_pain_points"]
+    found = dispatch.run_metrics(m, names, sentiment="negative")
+    assert sorted(passes) == ["topics", "totals"]
+    for n, df in found.items():
+        alone = dispatch.METRICS[n](m.where("sentiment = 'negative'"))
+        assert df.columns == alone.columns, n
+        assert sorted(map(str, df.collect())) == sorted(map(str, alone.collect())), n
+        assert n.startswith("topics") or "events.parquet" not in "".join(df.inputFiles())
+    with pytest.raises(KeyError, match="nope"):
+        dispatch.run_metrics(m, ["fcr", "nope"])

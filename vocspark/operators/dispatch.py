@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocspark.operators import compare, conversation, filters, kpi, trends
-
+from vocspark.sources.scratch import Scratch
 
 
 def _topics_and_flags(messages: DataFrame, kind: str) -> DataFrame:
@@ -47,11 +48,29 @@ METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+#: Small tables that several metrics are made of, and how each of these is made of its table.
+BASES: dict[str, Callable[[DataFrame], DataFrame]] = {"totals": kpi.totals, "topics": kpi.topics_batch, "days": trends.live}
+SHARED: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
+    "kpi_summary": ("totals", kpi.overall_from), "overall": ("totals", kpi.overall_from), "response_time": ("totals", lambda t: t.select(F.col("response_mean").alias("average_response_time_minutes"))),
+    "resolution_rate": ("totals", lambda t: kpi.overall_from(t).select("resolution_rate")), "escalation_rate": ("totals", lambda t: kpi.overall_from(t).select("escalation_rate")),
+    "reopen_rate": ("totals", lambda t: kpi.direct_from(t).select("reopen_rate")), "fcr": ("totals", lambda t: kpi.direct_from(t).select("fcr_rate")), "direct_rates": ("totals", kpi.direct_from),
+    "topics_batch": ("topics", lambda t: t), "priorities": ("topics", kpi.priorities), "cluster_sentiment_stats": ("topics", kpi.cluster_stats), "customer_pain_points": ("topics", kpi.cluster_stats),
+    "sentiment_trend": ("days", lambda t: t), "issue_trends": ("days", lambda t: t), "trend": ("days", lambda t: t),
+}
+
+
 def run_metrics(messages: DataFrame, names: Iterable[str], **slice_: object) -> dict[str, DataFrame]:
-    """The named metrics over the messages that ``filters.slice_filter(**slice_)`` keeps. Unknown names raise KeyError."""
-    names = list(names)
+    """The named metrics over the messages that ``filters.slice_filter(**slice_)`` keeps. Unknown names raise KeyError.
+
+    A table of totals, topics or days that two or more of the names are made of is computed in one
+    pass over the messages and kept, so that more names do not mean more scans.
+    """
+    names = list(dict.fromkeys(names))
     unknown = [n for n in names if n not in METRICS]
     if unknown:
         raise KeyError(f"unknown metrics: {', '.join(unknown)}")
     kept = messages.where(filters.slice_filter(**slice_))
-    return {n: METRICS[n](kept) for n in names}
+    uses = Counter(SHARED[n][0] for n in names if n in SHARED)
+    scratch = Scratch(messages.sparkSession, "metrics") if any(n > 1 for n in uses.values()) else None
+    bases = {base: scratch.keep(BASES[base](kept)) if n > 1 else BASES[base](kept) for base, n in uses.items()}
+    return {n: SHARED[n][1](bases[SHARED[n][0]]) if n in SHARED else METRICS[n](kept) for n in names}

@@ -73,13 +73,30 @@ def _with_rates(out: DataFrame) -> DataFrame:
     })
 
 
+_DIRECT = ("fcr", "escalated", "reopened")
+
+
+def totals(messages: DataFrame) -> DataFrame:
+    """One row, in one pass, of what ``overall``, ``direct_rates`` and the mean response time are made of."""
+    rate = lambda c: F.coalesce(F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int")) * 100, F.lit(0.0))
+    return messages.agg(*_counts(), F.avg("response_time_minutes").alias("response_mean"), *(rate(c).alias(f"{c}_rate") for c in _DIRECT))
+
+
+def overall_from(row: DataFrame) -> DataFrame:
+    """``overall`` of the messages whose ``totals`` these are."""
+    given = row.withColumn("avg_response_time_minutes", F.coalesce("response_mean", F.lit(0.0)))
+    return _with_rates(given.drop("response_mean", *(f"{c}_rate" for c in _DIRECT)))
+
+
+def direct_from(row: DataFrame) -> DataFrame:
+    """``direct_rates`` of the messages whose ``totals`` these are."""
+    own = lambda c, other: F.when(F.col(c) > 0, F.col(c)).otherwise(F.col(other)).alias(other)
+    return _with_rates(row).select(*(f"{c}_rate" for c in _DIRECT), own("fcr_rate", "resolution_rate"), own("escalated_rate", "escalation_rate"), F.col("reopened_rate").alias("reopen_rate"))
+
+
 def direct_rates(messages: DataFrame) -> DataFrame:
     """fcr, escalated and reopened rates; each overrides the derived rate only where it is above 0."""
-    rate = lambda c: F.coalesce(F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int")) * 100, F.lit(0.0))
-    direct = messages.agg(rate("fcr").alias("fcr_rate"), rate("escalated").alias("escalated_rate"), rate("reopened").alias("reopened_rate"))
-    base = overall(messages).select("resolution_rate", "escalation_rate")
-    own = lambda c, other: F.when(F.col(c) > 0, F.col(c)).otherwise(other)
-    return direct.crossJoin(base).select("fcr_rate", "escalated_rate", "reopened_rate", own("fcr_rate", F.col("resolution_rate")).alias("resolution_rate"), own("escalated_rate", F.col("escalation_rate")).alias("escalation_rate"), F.col("reopened_rate").alias("reopen_rate"))
+    return direct_from(totals(messages))
 
 
 SLA_TIERS = (("< 15m", None, 15.0, "optimal"), ("15m - 60m", 15.0, 60.0, "standard"), ("1h - 4h", 60.0, 240.0, "warning"), ("> 4h", 240.0, None, "critical"))

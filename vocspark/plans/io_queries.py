@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,4 +229,34 @@ register(
     lambda spark, d: dispatch.run_metrics(adapters.from_events(spark, d), ["comparative_delta"])["comparative_delta"].where("metric in ('total_records', 'negative_percentage')").select("metric", "current", "previous", "delta"),
     f"{_EV}, c as (select * from ev where created_at >= (select max(created_at) - interval 30 day from ev)), v as (select 'total_records' as metric, (select count(*) from c)::double as current, (select count(*) from ev)::double as previous union all select 'negative_percentage', (select avg((sentiment = 'negative')::int) * 100 from c), (select avg((sentiment = 'negative')::int) * 100 from ev)) select *, current - previous as delta from v",
 )
-register("dispatch_all", lambda spark, d: (lambda found: __import__("functools").reduce(lambda a, b: a.unionByName(b), [df.agg(F.lit(name).alias("metric"), F.count("*").alias("rows")) for name, df in found.items()]))(dispatch.run_metrics(adapters.from_events(spark, d), sorted(dispatch.METRICS))).where("rows > 0").select("metric"), "select unnest([" + ", ".join(f"'{n}'" for n in sorted(dispatch.METRICS)) + "]) as metric from (select count(*) as n from events) where n > 0")
+
+
+def _all_metrics(spark, d):
+    found = dispatch.run_metrics(adapters.from_events(spark, d), sorted(dispatch.METRICS))
+    counts = [df.agg(F.lit(name).alias("metric"), F.count("*").alias("rows")) for name, df in found.items()]
+    return reduce(lambda a, b: a.unionByName(b), counts).where("rows > 0").select("metric")
+
+
+_ONE_ROW = ("kpi_summary", "response_time", "resolution_rate", "escalation_rate", "reopen_rate", "fcr")
+
+
+def _values(spark, d):
+    """(metric, name, value) of the metrics that are one row, all from one pass."""
+    found = dispatch.run_metrics(adapters.from_events(spark, d), _ONE_ROW)
+    long = [df.select(*(F.round(F.col(c).cast("double"), 6).alias(c) for c in df.columns)).unpivot([], df.columns, "name", "value").withColumn("metric", F.lit(m)) for m, df in found.items()]
+    return reduce(lambda a, b: a.unionByName(b), long).select("metric", "name", "value")
+
+
+_OVERALL_NAMES = (
+    "total_records", "negative_count", "positive_count", "neutral_count", "avg_response_time_minutes", "urgent_count", "inbound_count", "outbound_count", "resolved_count",
+    "negative_percentage", "positive_percentage", "neutral_percentage", "resolution_rate", "escalation_rate", "csat_proxy",
+)
+_RATE_ROWS = {"response_time": ("average_response_time_minutes", "avg_response_time_minutes"), "resolution_rate": ("resolution_rate",) * 2, "escalation_rate": ("escalation_rate",) * 2}
+register(
+    "dispatch_values",
+    _values,
+    f"{_EV}, {_OVERALL}, o as (select *, {_OVERALL_RATES} from ov), r as (select 'kpi_summary' as metric, unnest([" + ", ".join(f"{{'name': '{c}', 'value': round({c}::double, 6)}}" for c in _OVERALL_NAMES) + "]) as x from o"
+    + "".join(f" union all select '{m}', {{'name': '{name}', 'value': round({c}::double, 6)}} from o" for m, (name, c) in _RATE_ROWS.items())
+    + " union all select 'fcr', {'name': 'fcr_rate', 'value': round(avg(fcr::int) * 100, 6)} from ev union all select 'reopen_rate', {'name': 'reopen_rate', 'value': round(avg(reopened::int) * 100, 6)} from ev) select metric, x.name as name, x.value as value from r",
+)
+register("dispatch_all", _all_metrics, "select unnest([" + ", ".join(f"'{n}'" for n in sorted(dispatch.METRICS)) + "]) as metric from (select count(*) as n from events) where n > 0")
