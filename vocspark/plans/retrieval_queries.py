@@ -39,6 +39,11 @@ select token, coalesce(settled, nearest, token) as corrected from st left join b
 over_conversations(
     "c17_query_gate",
     lambda m: m.select("tweet_id", S.quality_status("text").alias("status")),
+    rf""", p as (select tweet_id, trim(coalesce(text, '')) as raw, lower(trim(coalesce(text, ''))) as low from cv), w as (select *, list_filter(string_split_regex(low, '[^a-z0-9_''-]+'), lambda w: w <> '') as words, regexp_replace(low, '^[.,!?]+|[.,!?]+$', '', 'g') as bare from p),
+f as (select *, len(words) <= 4 and len(list_filter(words, lambda w: regexp_matches(w, '^({'|'.join(S.MASHED)})'))) >= greatest(1, len(words) // 2) as mash,
+  len(list_filter(words, lambda w: regexp_full_match(w, '[a-z]{{6,}}') and (not regexp_matches(w, '[aeiouy]') or (length(w) >= 8 and length(regexp_replace(w, '[^aeiouy]', '', 'g')) / length(w) < 0.15)))) > 0 as unsayable from w)
+select tweet_id, case when raw = '' then 'empty' when not regexp_matches(raw, '\p{{L}}') or mash or unsayable then 'gibberish' when bare in ({', '.join(map(text, S.GREETINGS))}) then 'greeting'
+  when len(string_split_regex(raw, '\s+')) = 1 and length(raw) < 15 then 'too_generic' when regexp_matches(low, {text('|'.join(f'(?:{p})' for p in S.OUT_OF_DOMAIN))}) then 'out_of_domain' else 'valid' end as status from f""",
 )
 over_conversations(
     "c18_sub_queries",
