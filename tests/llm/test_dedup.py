@@ -283,3 +283,26 @@ def test_hot_place_takes_several_ranges():
 def test_radius_is_checked(spark, radius):
     with pytest.raises(ValueError):
         fingerprints.near_counts(spark.createDataFrame([], "fingerprint string, doc_id long"), pytest, radius)
+
+
+def test_hot_buckets_are_dealt_in_proportion(spark):
+    """Rows of one bucket grow as its members, with sizes and without, and every pair of sizes that can be near meets once."""
+    n, scratch = 20_000, Scratch(spark, "test")
+    rows = spark.range(n).select(F.lit(5).cast("long").alias("key"), F.col("id").alias("node"), (F.col("id") % 400 + 20).cast("int").alias("size"))
+    none = spark.createDataFrame([], "node long, label long")
+    several = buckets.crowded(rows, scratch)
+    assert buckets.blocks_across(rows.drop("size"), several, none, scratch).count() <= buckets.MOST_BLOCKS * n
+    assert buckets.blocks_across(rows, several, none, scratch, 0.9).count() <= 2 * buckets.MOST_BLOCKS * n
+
+
+def test_pairs_of_cells_are_those_of_the_bucket(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "BLOCK", 16)
+    scratch, size = Scratch(spark, "test"), [9 + (i * i) % 83 for i in range(300)]
+    rows = spark.createDataFrame([(5, i, s) for i, s in enumerate(size)], "key long, node long, size int")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 60)], "node long, label long")
+    dealt = buckets.blocks_across(rows, buckets.crowded(rows, scratch), labels, scratch, 0.9)
+    every = lambda payload, label: lambda x, y, bucket: __import__("numpy").arange(len(x))
+    met = [tuple(r) for r in buckets.pairs_across(dealt, rows.select("node", F.lit(b"").alias("payload")), every, 0.9).collect()]
+    label = [1 if 0 < i < 60 else i for i in range(300)]
+    near = {(i, j) for i in range(300) for j in range(i + 1, 300) if label[i] != label[j] and min(size[i], size[j]) >= 0.9 * max(size[i], size[j]) - 1e-9}
+    assert len(met) == len(set(met)) and near <= set(met)

@@ -12,7 +12,7 @@ Near classes are the connected groups within ``CLASS_RADIUS``, found for all row
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -162,9 +162,9 @@ def hamming(a: str, b: str):
     return total
 
 
-def _near_bits(payload: list[bytes], x: np.ndarray, y: np.ndarray, *_: np.ndarray) -> np.ndarray:
-    prints = np.frombuffer(b"".join(payload), dtype=np.uint8).reshape(len(payload), -1)
-    return np.flatnonzero(np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64) <= CLASS_RADIUS)
+def _near_bits(payload: list[bytes], label: np.ndarray) -> Callable:
+    prints = np.frombuffer(b"".join(payload), dtype=np.uint64).reshape(len(payload), BITS // 64)
+    return lambda x, y, bucket: np.flatnonzero(np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64) <= CLASS_RADIUS)
 
 
 def near_classes(prints: DataFrame, scratch: Scratch) -> DataFrame:

@@ -18,7 +18,7 @@ compared or already joined; no bucket is capped.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,35 +160,30 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SIG_BYTES = BANDS * ROWS * 4
 
 
-def _compare(payload: list[bytes], x: np.ndarray, y: np.ndarray, *_: np.ndarray) -> np.ndarray:
+def _compare(payload: list[bytes], label: np.ndarray) -> Callable:
     """Survivors by the signatures that payloads begin with."""
-    if not len(x):
-        return x
-    used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-    rows = np.frombuffer(b"".join(payload[i][:_SIG_BYTES] for i in used), dtype=np.uint32).reshape(len(used), -1)
-    return survivors(rows[at[: len(x)]], rows[at[len(x) :]])
+    rows = np.frombuffer(b"".join(p[:_SIG_BYTES] for p in payload), dtype=np.uint32).reshape(len(payload), -1) if payload else np.zeros((0, BANDS * ROWS), np.uint32)
+    return lambda x, y, bucket: survivors(rows[x], rows[y])
 
 
-def _compare_sets(payload: list[bytes], x: np.ndarray, y: np.ndarray, *_: np.ndarray) -> np.ndarray:
+def _compare_sets(payload: list[bytes], label: np.ndarray) -> Callable:
     """Survivors whose full sets, after the signature, reach the threshold.
 
-    A pair that others of this call have already joined is not counted again.
+    A pair whose labels others have already joined here is not counted again.
     """
-    above: dict[int, int] = {}
-
-    def root(i: int) -> int:
-        while above.get(i, i) != i:
-            above[i] = above.get(above[i], above[i])
-            i = above[i]
-        return i
-
-    keep = []
-    for p in _compare(payload, x, y):
-        i, j = root(int(x[p])), root(int(y[p]))
-        if i != j and similar(payload[x[p]][_SIG_BYTES:], payload[y[p]][_SIG_BYTES:]):
-            above[i] = j
-            keep.append(p)
-    return np.asarray(keep, dtype=np.int64)
+    signed, root, join = _compare(payload, label), *buckets.joins()
+    label = label.tolist()
+
+    def keep(x: np.ndarray, y: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        kept = []
+        for p in signed(x, y, bucket):
+            i, j = int(x[p]), int(y[p])
+            if root(label[i]) != root(label[j]) and similar(payload[i][_SIG_BYTES:], payload[j][_SIG_BYTES:]):
+                join(label[i], label[j])
+                kept.append(p)
+        return np.asarray(kept, dtype=np.int64)
+
+    return keep
 
 
 _PAIR = "a long, b long"

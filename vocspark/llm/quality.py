@@ -57,17 +57,21 @@ def _features(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tupl
 
 
 def _bags(texts: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct features of each text and their shares: views of one pair of compact arrays per range of texts."""
+    """Distinct features of each text and their shares: views of one pair of arrays, whose memory goes back whole when training ends."""
     data, offsets = text_buffer(texts)
+    # Five features a byte at most; what is not written takes no memory.
+    most = int(np.minimum(5 * np.diff(offsets), 1 << bits).sum())
+    places, shares, at = np.empty(most, dtype=np.int32), np.empty(most, dtype=np.float32), 0
     bags = []
     for a, b in row_slices(offsets):
         kinds = list(_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits))
-        own = [np.unique(np.concatenate([at[f[i] : t[i]].astype(np.int32) for at, f, t in kinds]), return_counts=True) for i in range(b - a)]
+        for i in range(b - a):
+            own, times = np.unique(np.concatenate([of[f[i] : t[i]].astype(np.int32) for of, f, t in kinds]), return_counts=True)
+            to = at + len(own)
+            places[at:to], shares[at:to] = own, (times / max(times.sum(), 1)).astype(np.float32)
+            bags.append((places[at:to], shares[at:to]))
+            at = to
         del kinds
-        places = np.concatenate([at for at, _ in own])
-        shares = np.concatenate([(times / max(times.sum(), 1)).astype(np.float32) for _, times in own])
-        ends = np.cumsum([len(at) for at, _ in own])
-        bags += [(places[s:t], shares[s:t]) for s, t in zip([0, *ends[:-1]], ends)]
     return bags
 
 
@@ -80,6 +84,7 @@ def train(sample: DataFrame, bits: int = 17, dim: int = 12, epochs: int = 6, rat
     labels = np.asarray(rows.column("label"), dtype=np.int64)
     bags = _bags(rows.column("text"), bits) if len(labels) else []
     del rows
+    pa.default_memory_pool().release_unused()
     share = (labels.sum() + 1) / (len(labels) + 2)
     rng = np.random.default_rng(seed)
     order = np.lexsort([np.asarray([len(b[0]) for b in bags]), labels]) if bags else labels
