@@ -306,3 +306,16 @@ def test_pairs_of_cells_are_those_of_the_bucket(spark, monkeypatch):
     label = [1 if 0 < i < 60 else i for i in range(300)]
     near = {(i, j) for i in range(300) for j in range(i + 1, 300) if label[i] != label[j] and min(size[i], size[j]) >= 0.9 * max(size[i], size[j]) - 1e-9}
     assert len(met) == len(set(met)) and near <= set(met)
+
+
+def test_unlike_fingerprints_share_few_class_keys(spark):
+    """All pairs within the radius share a key; of unlike ones, few do (before: 16 bits a key, so 48,000 pairs here)."""
+    import random
+
+    rng = random.Random(8)
+    prints = [rng.getrandbits(256) for _ in range(20_000)]
+    near = [p ^ sum(1 << b for b in rng.sample(range(256), fingerprints.CLASS_RADIUS)) for p in prints[:300]]
+    rows = spark.createDataFrame([(i, f"{p:064x}") for i, p in enumerate(prints + near)], "node long, fingerprint string")
+    held = rows.select(F.explode(F.array(*fingerprints._class_keys("fingerprint"))).alias("key"), "node")
+    pairs = {tuple(r) for r in buckets.leader_pairs(held, buckets.crowded(held, Scratch(spark, "test"))).collect()}
+    assert all((i, 20_000 + i) in pairs for i in range(300)) and len(pairs) < 2_000

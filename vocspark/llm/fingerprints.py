@@ -29,7 +29,8 @@ BITS = 256
 BLOCKS = 8
 #: One changed word of a text of 248 words, the median of sf0.1, moves some 256 / pi * arccos(1 - 2 / 247) = 10.4 bits.
 CLASS_RADIUS = 15
-CLASS_BLOCKS = 16
+#: Fingerprints within the radius differ in one bit at most of one of so many blocks, so they agree in three of its four bytes.
+CLASS_BLOCKS = 8
 #: Fingerprints (some 100 bytes each) that may be broadcast with what is known of them; more are joined by shuffle,
 #: where adaptive execution splits the rows of a fingerprint that very many documents have.
 MAX_BROADCAST_PRINTS = 200_000
@@ -167,15 +168,20 @@ def _near_bits(payload: list[bytes], label: np.ndarray) -> Callable:
     return lambda x, y, bucket: np.flatnonzero(np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64) <= CLASS_RADIUS)
 
 
+def _class_keys(print_col: str) -> list:
+    """For each block of 32 bits, what is left without one of its bytes: 32 keys of 24 bits, shared by few unlike fingerprints."""
+    byte = [F.substring(print_col, 2 * i + 1, 2) for i in range(BITS // 8)]
+    of = [byte[4 * b : 4 * b + 4] for b in range(CLASS_BLOCKS)]
+    return [F.xxhash64(F.lit(4 * b + i), *(x for j, x in enumerate(of[b]) if j != i)) for b in range(CLASS_BLOCKS) for i in range(4)]
+
+
 def near_classes(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """(fingerprint, near_class, class_rows): the connected group of each fingerprint within ``CLASS_RADIUS``.
 
     near_class is the smallest doc_id in the group, or null if no row there has one; class_rows counts the group's rows.
     """
     entries = scratch.keep(prints.groupBy("fingerprint").agg(F.count("*").alias("rows"), F.min("doc_id").alias("id")).withColumn("node", F.xxhash64("fingerprint")))
-    width = BITS // CLASS_BLOCKS // 4
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("fingerprint", i * width + 1, width)) for i in range(CLASS_BLOCKS)))
-    held = entries.select(F.explode(keys).alias("key"), "node")
+    held = entries.select(F.explode(F.array(*_class_keys("fingerprint"))).alias("key"), "node")
     several = buckets.crowded(held, scratch)
     ends = [entries.select(F.col("node").alias(x), F.col("fingerprint").alias(f"print_{x}")) for x in "ab"]
     pairs = buckets.leader_pairs(held, several).join(ends[1], "b").join(ends[0], "a")
