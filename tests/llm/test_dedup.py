@@ -319,3 +319,22 @@ def test_unlike_fingerprints_share_few_class_keys(spark):
     held = rows.select(F.explode(F.array(*fingerprints._class_keys("fingerprint"))).alias("key"), "node")
     pairs = {tuple(r) for r in buckets.leader_pairs(held, buckets.crowded(held, Scratch(spark, "test"))).collect()}
     assert all((i, 20_000 + i) in pairs for i in range(300)) and len(pairs) < 2_000
+
+
+def test_profiles_settle_unlike_lines_only():
+    """Of pairs within their edits none goes; unlike lines of common words go at once, before pair by pair work."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aehinorst") for _ in range(rng.randrange(2, 7))) for _ in range(300)]
+    x = [" ".join(rng.choice(words) for _ in range(rng.randrange(12, 60))) for _ in range(400)] + ["", "ab", "漢字é😀" * 9]
+    most = np.array([len(t) // 10 for t in x])
+    y = [list(t) for t in x]
+    for t, n in zip(y, most):
+        for _ in range(n):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randrange(2)] = rng.choice(("", "a", "漢"))
+    assert not edits._profiles_apart(x, ["".join(t) for t in y], most).any()
+    assert edits._profiles_apart(x[:400], x[1:401], most[:400]).mean() > 0.95
