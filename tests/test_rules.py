@@ -341,3 +341,28 @@ def test_metrics_share_their_passes(spark, monkeypatch):
         assert n.startswith("topics") or "events.parquet" not in "".join(df.inputFiles())
     with pytest.raises(KeyError, match="nope"):
         dispatch.run_metrics(m, ["fcr", "nope"])
+
+
+def test_cluster_names_of_letters_whose_case_is_no_letter_equal_sql(spark, tmp_path):
+    """ß, ligatures, İ and the last Σ of a word change case letter by letter, and all spaces are trimmed, as in SQL."""
+    import random
+
+    import duckdb
+
+    from vocspark import plans
+
+    draw = random.Random(7)
+    texts = ["a, ßbc,x", "ŉ, ﬁN", "ᾳ　,  ΑΣ ΣΑΣ,ΟΔΟΣ", "İM, İos", "sİgn", "KelvinK", None, ", ,", "ǆ,ǅ,Ǆ", "\U00010400b,\U00010d50c"]
+    texts += ["".join(draw.choice(",, ßŉﬁᾳΣσİıǅẞᲉꟜƛ　 ̇ÀàЖж\U00010428bBgGiI.'\n\t") for _ in range(12)) for _ in range(300)]
+    rows = [(i, 1, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("c7_cluster_name", "c6_topic_rule", "c1_clean_text"):
+        expected = con.sql(plans.oracles()[name]).df()
+        found = plans.queries()[name](spark, str(tmp_path)).select(*expected.columns).collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, expected.itertuples(index=False))), name
+    every = spark.range(1, 0x110000).where("id not between 55296 and 57343 and id <> 65279").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    found = every.select("id", X.lower(F.col("c")).alias("low"), X.upper(F.col("c")).alias("up")).toArrow()
+    con.register("found", found)
+    assert con.sql("select count(*), count_if(low <> lower(chr(cast(id as int)))), count_if(up <> upper(chr(cast(id as int)))) from found").fetchall() == [(1112062, 0, 0)]
