@@ -158,3 +158,33 @@ def test_near_groups_with_a_shingle_in_all(spark):
     assert keys.groupBy("key").count().agg(F.max("count")).first()[0] < 100
     out = neargroups.near_groups(docs)
     assert out.where("group_id <> id or n_links > 0").count() == 0 and out.count() == 50_000
+
+
+def test_density_rows_stay_few_where_cells_part_nothing(spark, monkeypatch):
+    """Vectors in all directions are near the border of every cell: they are not written once for each, and the result is that of all pairs."""
+    from vocspark.sources.scratch import Scratch
+
+    monkeypatch.setattr(vectors, "PER_CELL", 10)  # 60 cells are wanted
+    monkeypatch.setattr(vectors, "SCORES", 5_000, raising=False)
+    monkeypatch.setattr(vectors, "PAIRS", 3, raising=False)
+    written = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: written.append((df.columns, kept := keep(self, df))) or kept)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rng.normal(size=(600, 16)))]
+    rows += [(600 + i, rows[i][1]) for i in range(40)]
+    out = vectors.density_clusters(spark.createDataFrame(rows, SCHEMA), 0.6, 4).collect()
+    visits = [kept for names, kept in written if "home" in names]
+    assert len(visits) == 2 and max(kept.count() for kept in visits) <= 8 * 600
+    assert sorted((r["id"], r["topic_id"], r["is_core"], r["n_near"], round(r["confidence"], 6)) for r in out) == brute_dbscan(rows, 0.6, 4)
+
+
+def test_near_rows_are_those_of_double_precision():
+    """Cosines at the limit, a rounding step off, and beside it, in blocks of other sizes."""
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(50, 40))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = np.concatenate([c * a + math.sqrt(1 - c * c) * (o - (o * a).sum(axis=1, keepdims=True) * a) / np.linalg.norm(o - (o * a).sum(axis=1, keepdims=True) * a, axis=1, keepdims=True) for c in (0.36, 0.3599996, 0.3599994, 0.360001) for o in [rng.normal(size=a.shape)]])
+    near = np.concatenate([near for _, near, _, _ in vectors.near_rows(a, b, 0.36)])
+    assert (near == (np.round(a @ b.T, 6) >= 0.36)).all() and near.sum() > 150
+    assert [near.shape for _, near, _, _ in vectors.near_rows(a, b[:0], 0.36)] == [(50, 0)]

@@ -25,8 +25,12 @@ SAMPLE = 20_000
 PER_CELL, MOST_CELLS = 1_000, 1_024
 #: Vectors and queries of a piece of a cell.
 PIECE, QUERY_PIECE = 16_384, 4_096
-#: Vectors on either side when all of a piece are compared.
-BLOCK = 1_024
+#: Vectors on either side of a pair of blocks at most; few and small cells still have ``SPREAD`` blocks of ``LEAST_BLOCK``, for more tasks.
+BLOCK, SPREAD, LEAST_BLOCK = 24_576, 8, 1_024
+#: Cells that a vector is in on average at most, its home among them, and no more than half of them; else there are fewer cells.
+MOST_VISITS = 8
+#: Scores that a task holds at once, and pairs that are worked out in double precision at once.
+SCORES, PAIRS = 1_048_576, 65_536
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -175,6 +179,32 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     return both.agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
+def _visits(vectors: np.ndarray, centres: np.ndarray, apart: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home cell of each vector, and which cells it is in: its home, and those within ``reach`` of the plane between the two centres."""
+    squares = Cells(centres).distances(vectors)
+    home = squares.argmin(axis=1)
+    beyond = (squares - squares.min(axis=1, keepdims=True)) / (2 * apart[home])  # distance to the plane
+    return home, (beyond <= reach) | (np.arange(len(centres)) == home[:, None])
+
+
+def _apart(centres: np.ndarray) -> np.ndarray:
+    """Distances of the centres."""
+    return np.sqrt(np.maximum((centres**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * centres @ centres.T, 1e-30))
+
+
+def _fit_to_reach(nodes: DataFrame, reach: float) -> Cells:
+    """Cells of (node, v) in which vectors have ``MOST_VISITS`` on average at most, judged by 2,000 of them: one where cells part nothing."""
+    units = nodes.select(F.col("node").alias("id"), "v")
+    fitted, some = fit_cells(units), None
+    while len(fitted.centres) > 1:
+        some = _matrix(units.orderBy(F.xxhash64("id"), "id").limit(2_000).select("v").toArrow().column("v")) if some is None else some
+        apart = _apart(fitted.centres)
+        if sum(_visits(some[at : at + 500], fitted.centres, apart, reach)[1].sum() for at in range(0, len(some), 500)) <= min(MOST_VISITS, len(fitted.centres) / 2) * len(some):
+            break
+        fitted = fit_cells(units, max(1, len(fitted.centres) // 4))
+    return fitted
+
+
 def _dealt(nodes: DataFrame, cells: Cells, reach: float, scratch: Scratch) -> DataFrame:
     """(key, side, node, weight, core, v): all that can be within ``reach``, met in blocks.
 
@@ -185,19 +215,19 @@ def _dealt(nodes: DataFrame, cells: Cells, reach: float, scratch: Scratch) -> Da
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value.centres
-        apart = np.sqrt(np.maximum(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2), 1e-30))
+        apart = _apart(centres)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                squares = shared.value.distances(_matrix(part.column(3)))
-                home = squares.argmin(axis=1)
-                beyond = (squares - squares.min(axis=1, keepdims=True)) / (2 * apart[home])  # distance to the plane
-                row, cell = np.nonzero((beyond <= reach) | (np.arange(len(centres)) == home[:, None]))
-                columns = [c.take(pa.array(row)) for c in part.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(cell.astype(np.int32)), pa.array(cell == home[row])], names=["node", "weight", "core", "v", "cell", "home"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                home, there = _visits(_matrix(part.column(3)), centres, apart, reach)
+                row, cell = np.nonzero(there)
+                for some in (slice(k, k + 8192) for k in range(0, len(row), 8192)):
+                    columns = [c.take(pa.array(row[some])) for c in part.columns]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(cell[some].astype(np.int32)), pa.array(cell[some] == home[row[some]])], names=["node", "weight", "core", "v", "cell", "home"])
 
     rows = scratch.keep(nodes.select("node", "weight", "core", "v").mapInArrow(visits, "node long, weight long, core boolean, v array<double>, cell int, home boolean"))
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("homes"), F.ceil(F.count("*") / BLOCK).cast("int").alias("all"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.least(F.lit(max(1, SPREAD // len(cells.centres))), F.ceil(n / LEAST_BLOCK))).cast("int")
+    sizes = rows.groupBy("cell").agg(blocks(F.count_if("home")).alias("homes"), blocks(F.count("*")).alias("all"))
     rows = rows.join(F.broadcast(sizes), "cell").where("homes > 0")  # a row for each cell
     mine = rows.where("home").select("*", F.lit(0).alias("side"), F.expr("pmod(xxhash64(node), homes)").cast("int").alias("x"), F.explode(F.expr("sequence(0, all - 1)")).alias("y"))
     them = rows.select("*", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, homes - 1)")).alias("x"), F.expr("pmod(xxhash64(node, 1), all)").cast("int").alias("y"))
@@ -212,19 +242,55 @@ def _sides(table: pa.Table) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, .
     return tuple(tuple(c[order[side[order] == s]] for c in (node, weight, core, v)) for s in (0, 1))
 
 
-def forest(near: np.ndarray, mine: np.ndarray, them: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As few of the links (row of ``mine``, column of ``them``) as connect all that ``near`` connects."""
+def _cosines(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Rounded cosines of some pairs of a row of ``a`` and a row of ``b``."""
+    parts = [np.einsum("ij,ij->i", a[row[at : at + PAIRS]], b[col[at : at + PAIRS]]) for at in range(0, len(row), PAIRS)]
+    return np.round(np.concatenate([*parts, np.zeros(0)]), 6)
+
+
+def near_rows(a: np.ndarray, b: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+    """(first row, near, score, slack) of some rows of ``a`` at a time: which rows of ``b`` have that rounded cosine.
+
+    Scores are in single precision, off by ``slack`` at most; pairs that these can't tell are worked out in double.
+    """
+    if not len(b):
+        b = np.zeros((1, a.shape[1])) - 2  # no vector
+        yield from ((at, near[:, :0], score[:, :0], slack) for at, near, score, slack in near_rows(a, b, 2.0))
+        return
+    right = np.ascontiguousarray(b.astype(np.float32).T)
+    slack = (a.shape[1] + 4) * 2.0**-23 + 1e-6
+    step = max(1, SCORES // len(b))
+    for at in range(0, len(a), step):
+        score = a[at : at + step].astype(np.float32) @ right
+        near = score >= np.float32(similarity + slack)
+        row, col = np.nonzero((score >= np.float32(similarity - slack)) ^ near)
+        near[row, col] = _cosines(a, b, at + row, col) >= similarity
+        yield at, near, score, slack
+
+
+def forest(near: np.ndarray | Iterator[np.ndarray], mine: np.ndarray, them: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few of the links (row of ``mine``, column of ``them``) as connect all that the rows of ``near`` connect."""
     nodes, at = np.unique(np.concatenate([mine, them]), return_inverse=True)
-    label, own, other = np.arange(len(nodes)), at[: len(mine)], at[len(mine) :]
+    label, size, own, other = np.arange(len(nodes)), np.ones(len(nodes), dtype=np.int64), at[: len(mine)], at[len(mine) :]
     a, b = [], []
-    for i in range(len(mine)):
-        there = other[near[i]]
-        groups, first = np.unique(label[there], return_index=True)
-        new = groups != label[own[i]]
-        if new.any():
-            a += [mine[i]] * int(new.sum())
-            b += nodes[there[first[new]]].tolist()
-            label[np.isin(label, groups[new])] = label[own[i]]
+    for i, row in enumerate(near):
+        there = other[np.flatnonzero(row)]
+        mark, here = label[there], label[own[i]]
+        if (mark == here).all():
+            continue
+        groups, first = np.unique(mark, return_index=True)
+        new = groups != here
+        a += [mine[i]] * int(new.sum())
+        b += nodes[there[first[new]]].tolist()
+        groups = np.append(groups[new], here)
+        largest = groups[size[groups].argmax()]
+        moved = groups[groups != largest]
+        grown = size[moved].sum()
+        if grown == len(moved):  # single nodes, whose labels are their places
+            label[moved] = largest
+        else:
+            label[np.isin(label, moved)] = largest
+        size[largest] += grown
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
@@ -239,18 +305,21 @@ def density_clusters(vectors: DataFrame, similarity: float = 0.8, least: int = 5
 
     Equal vectors are one node with a weight. Nodes meet in cells (``_dealt``), so that none is
     compared with all, and blocks of a cell emit counts, as few links as connect them and one nearest
-    core a node, never their pairs. Rows that repeat an id count as vectors each.
+    core a node, never their pairs. Rows that repeat an id count as vectors each. Where vectors are
+    less apart than ``similarity`` reaches, cells can't part them: there are few cells then, all pairs
+    are compared, and each vector is sent to as many tasks as there are blocks of ``BLOCK``.
     """
     scratch = Scratch(vectors.sparkSession, "density")
     units = scratch.keep(unit_vectors(vectors, id_col, vector_col))
     nodes = scratch.keep(units.groupBy("v").agg(F.min("id").alias("least_id"), F.count("*").alias("weight")).select(F.coalesce("least_id", F.lit(-1)).alias("least_id"), F.xxhash64("v").alias("node"), "weight", F.lit(False).alias("core"), "v"))
-    fitted = fit_cells(nodes.select(F.col("node").alias("id"), "v"), cells)
     reach = float(np.sqrt(max(0.0, 2 - 2 * (similarity - 1e-6))))
+    fitted = fit_cells(nodes.select(F.col("node").alias("id"), "v"), cells) if cells else _fit_to_reach(nodes, reach)
 
     def counts(table: pa.Table) -> pa.Table:
         (mine, _, _, a), (_, weight, _, b) = _sides(table)
-        near = np.round(a @ b.T, 6) >= similarity if len(a) and len(b) else np.zeros((len(a), len(b)), dtype=bool)
-        return pa.table([mine, near.astype(np.int64) @ weight], names=["node", "n"])
+        single = (weight == 1).all()
+        n = [np.count_nonzero(near, axis=1) if single else (near @ weight.astype(float)).astype(np.int64) for _, near, _, _ in near_rows(a, b, similarity)]
+        return pa.table([mine, np.concatenate([*n, np.zeros(0, np.int64)])], names=["node", "n"])
 
     keys = ("cell", "x", "y")
     near = _dealt(nodes, fitted, reach, scratch).groupBy(*keys).applyInArrow(counts, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_near"))
@@ -259,14 +328,16 @@ def density_clusters(vectors: DataFrame, similarity: float = 0.8, least: int = 5
     def links(table: pa.Table) -> pa.Table:
         (mine, _, core, a), (them, _, other, b) = _sides(table)
         them, b = them[other], b[other]
-        score = np.round(a @ b.T, 6) if len(a) and len(b) else np.zeros((len(a), len(b)))
-        x, y = forest(score[core] >= similarity, mine[core], them)
-        edge = np.flatnonzero(~core & (score.max(axis=1, initial=-2) >= similarity))
-        nearest = score[edge].argmax(axis=1) if len(edge) else np.zeros(0, np.int64)
-        best = score[edge, nearest]
-        # of equal ones all go on, to be told apart by their ids
-        row, tied = np.nonzero(score[edge] == best[:, None]) if len(edge) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.table([np.concatenate([x, mine[edge][row]]), np.concatenate([y, them[tied]]), np.concatenate([np.full(len(x), np.nan), best[row]])], names=["a", "b", "score"])
+        x, y = forest((row for _, near, _, _ in near_rows(a[core], b, similarity) for row in near), mine[core], them)
+        edge, a = mine[~core], a[~core]
+        parts = [(x, y, np.full(len(x), np.nan))]
+        for at, near, score, slack in near_rows(a, b, similarity):
+            row, col = np.nonzero(near & (score >= score.max(axis=1, initial=-2, keepdims=True) - np.float32(2 * slack)))
+            exact, best = _cosines(a, b, at + row, col), np.full(len(near), -2.0)
+            np.maximum.at(best, row, exact)
+            tied = exact == best[row]  # of equal ones all go on, to be told apart by their ids
+            parts.append((edge[at + row[tied]], them[col[tied]], exact[tied]))
+        return pa.table([np.concatenate(c) for c in zip(*parts, strict=True)], names=["a", "b", "score"])
 
     found = scratch.keep(_dealt(counted, fitted, reach, scratch).groupBy(*keys).applyInArrow(links, "a long, b long, score double"))
     joined = components(found.where("isnan(score)").select("a", "b"), scratch)
