@@ -82,3 +82,49 @@ def test_failed_run_says_so_and_goes_on(spark, tmp_path, monkeypatch):
 def test_sums_of_missing_columns_and_no_rows(spark):
     one = kpi.overall_of(kpi.overall_sums(spark.createDataFrame([], "text string"))).first()
     assert one["total_records"] == 0 and one["avg_response_time_minutes"] == 0 and one["conversations"] == 0 and one["resolution_rate"] == 0
+
+
+def test_states_of_many_conversations_take_few_calls(spark, tmp_path, monkeypatch):
+    """The rows of every batch, those of ended conversations and of such as come back among them, equal a plain model; a call has many conversations."""
+    monkeypatch.setattr(jobs, "GROUPS", 3, raising=False)
+    calls, real = spark.sparkContext.accumulator(0), jobs._update
+
+    def counted(idle_ms):
+        update = real(idle_ms)
+
+        def call(*args):
+            calls.add(1)
+            yield from update(*args)
+
+        return call
+
+    monkeypatch.setattr(jobs, "_update", counted)
+    draw, path, idle, late = random.Random(3), str(tmp_path / "in"), 3_600_000, 600_000
+    parts = [[(draw.choice((None, *(f"c{n}" for n in range(150)))), i, T0 + timedelta(minutes=90 * part + draw.randrange(60)), draw.choice((True, False, None)), draw.choice(("urgent", None)), None, "") for i in range(part * 200, part * 200 + 200)] for part in range(4)]
+    parts.append([("c0", 900, T0 + timedelta(days=9), False, None, None, "")])
+    for part in parts:
+        spark.createDataFrame(part, MSG).coalesce(1).write.mode("append").parquet(path)
+        out = jobs.run_to_files(jobs.conversation_states(jobs.read_stream(spark, path, spark.createDataFrame([], MSG).schema, 100), "10 minutes", idle), str(tmp_path / "out"), str(tmp_path / "point"))
+    held, until, expected, watermark = {}, {}, [], 0
+    for part in parts:
+        for rows in (part, []):  # and the batch without rows after it, in which conversations end
+            changed = set()
+            for r in rows:
+                if int(r[2].timestamp() * 1000) >= watermark:
+                    held.setdefault(r[0], []).append(r)
+                    changed.add(r[0])
+            for c in list(held):
+                at = sorted(held[c], key=lambda r: (r[2], r[1]))
+                if c in changed:
+                    until[c] = max(int(at[-1][2].timestamp() * 1000) + idle, watermark + 1)
+                ended = c not in changed and until[c] < watermark
+                if c in changed or ended:
+                    agent, customer = [i for i, r in enumerate(at) if r[3] is False], [i for i, r in enumerate(at) if r[3]]
+                    expected.append((c, len(at), bool(agent and customer and agent[0] < customer[-1]), at[-1][3] is False, any(r[3] and r[4] for r in at), ended))
+                if ended:
+                    del held[c]
+            watermark = max([watermark, *(int(r[2].timestamp() * 1000) - late for r in rows)])
+    found = [tuple(r)[:6] for r in out.collect()]
+    order = lambda rows: sorted(rows, key=repr)
+    assert order(found) == order(expected) and sum(r[5] for r in expected) > 150
+    assert 0 < calls.value <= 3 * 2 * len(parts)
